@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("tpch",)
+FAMILIES = ("tpch", "basics")
 
 
 def all_queries() -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast by hint only when the optimizer's own estimate of it is below this.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def local_session(cores: str = "*", app: str = "planlab", **conf: str) -> SparkSession:
@@ -54,7 +54,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, without running the query."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
