@@ -186,12 +186,12 @@ def row_numbers(df: DataFrame, keys, order, out: str = "rn", parts: int | None =
 def running(
     df: DataFrame, keys, order, columns: dict[str, tuple[str, str]], parts: int | None = None
 ) -> DataFrame:
-    """Inclusive running aggregates: ``{out: ("sum" | "min" | "max", column)}``.
+    """Inclusive running aggregates: ``{out: ("sum" | "min" | "max" | "product", column)}``.
 
     ``order`` must be total within a group, so that rows and peers agree.
     """
     s = sliced(df, keys, order, parts)
-    fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    fold = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
     upto = s.local().rowsBetween(W.unboundedPreceding, 0)
     here = {out: fold[how](c).over(upto) for out, (how, c) in columns.items()}
     if not s.slices:
@@ -208,6 +208,8 @@ def running(
         carry, now = F.col(f"__p_{out}"), F.col(out)
         if how == "sum":
             merged[out] = F.coalesce(now + carry, now, carry)
+        elif how == "product":
+            merged[out] = F.coalesce(now * carry, now, carry)
         else:
             merged[out] = (F.least if how == "min" else F.greatest)(now, carry)
     return s.clean(df.withColumns(merged).drop(*[f"__p_{out}" for out in columns]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("tpch", "basics")
+FAMILIES = ("tpch", "basics", "featured")
 
 
 def all_queries() -> dict:
