@@ -21,7 +21,14 @@ def propagate(t: Tables, unknown: str = "one") -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})
+    """Round doubles for the comparison; large standard deviations carry fewer digits."""
+    return df.withColumns(
+        {
+            c: F.round(c, 3 if c.endswith("Card_std") or c.endswith(("complexity_std", "inality_std")) else digits)
+            for c, kind in df.dtypes
+            if kind == "double"
+        }
+    )
 
 
 def group_describe(t: Tables) -> DataFrame:
@@ -103,7 +110,7 @@ def measured_features(t: Tables) -> DataFrame:
     out = features.measured_feature_table(measured, log, joblog.cardinalities(t).where("data_id = 'x1'"), catalog.TABLES)
     keep = ["plan_id", "data_id", "outCardinality_mean", "outCardinality_50%", "sourceCardinalitySum", "complexity_max",
             "selectivity_mean", "filterOutCard_std", "t_0", "t_5"]
-    return rounded(out.select(*keep).withColumnRenamed("outCardinality_50%", "outCardinality_median"))
+    return rounded(out.select(*keep).withColumnRenamed("outCardinality_50%", "outCardinality_median"), 8)
 
 
 def trim_outliers(t: Tables) -> DataFrame:
@@ -149,7 +156,8 @@ _BLOCK_SQL = ", ".join(
 def _stats_sql(pact: str, prefix: str, stats=("mean", "std", "min", "max"), value="out_cardinality") -> str:
     fn = {"mean": "AVG", "std": "STDDEV_SAMP", "min": "MIN", "max": "MAX", "sum": "SUM"}
     return ", ".join(
-        f"COALESCE(ROUND({fn[s]}(CASE WHEN pact = '{pact}' THEN {value} END), 6), 0) AS {prefix}_{s}" for s in stats
+        f"COALESCE(ROUND({fn[s]}(CASE WHEN pact = '{pact}' THEN {value} END), {3 if s == 'std' else 6}), 0) AS {prefix}_{s}"
+        for s in stats
     )
 
 
@@ -159,7 +167,7 @@ _PLAN_SQL = f"""WITH RECURSIVE {joblog.propagated_sql()},
              FROM used u JOIN cards c ON u.table_name = c.table_name GROUP BY 1, 2),
     centred AS (SELECT *, out_cardinality - AVG(out_cardinality) OVER (PARTITION BY plan_id, data_id) AS d FROM sized),
     agg AS (SELECT plan_id, data_id, COUNT(*) AS outCardinality_count, ROUND(AVG(out_cardinality), 6) AS outCardinality_mean,
-        COALESCE(ROUND(STDDEV_SAMP(out_cardinality), 6), 0) AS outCardinality_std, ROUND(MIN(out_cardinality), 6) AS outCardinality_min,
+        COALESCE(ROUND(STDDEV_SAMP(out_cardinality), 3), 0) AS outCardinality_std, ROUND(MIN(out_cardinality), 6) AS outCardinality_min,
         ROUND(MAX(out_cardinality), 6) AS outCardinality_max,
         ROUND(quantile_cont(out_cardinality, 0.1), 6) AS outCardinality_10pct, ROUND(quantile_cont(out_cardinality, 0.5), 6) AS outCardinality_50pct,
         ROUND(quantile_cont(out_cardinality, 0.9), 6) AS outCardinality_90pct,
@@ -230,11 +238,11 @@ QUERIES = {
             tabs AS (SELECT plan_id, COALESCE(MAX(CASE WHEN u.table_name = 'customer' THEN rows END), 0) AS t_0,
                             COALESCE(MAX(CASE WHEN u.table_name = 'supplier' THEN rows END), 0) AS t_5
                      FROM used u JOIN cards c ON u.table_name = c.table_name AND data_id = 'x1' GROUP BY 1)
-            SELECT plan_id, data_id, ROUND(AVG(oc), 6) AS outCardinality_mean, ROUND(quantile_cont(oc, 0.5), 6) AS outCardinality_median,
-                   ROUND(SUM(CASE WHEN pact = 'Data Source' THEN oc END), 6) AS sourceCardinalitySum,
-                   ROUND(MAX(CASE WHEN pact = 'Map' THEN oc * pow(10.0, complexity) END), 6) AS complexity_max,
-                   ROUND(AVG(selectivity), 6) AS selectivity_mean,
-                   COALESCE(ROUND(STDDEV_SAMP(CASE WHEN pact = 'Filter' THEN oc END), 6), 0) AS filterOutCard_std, t_0, t_5
+            SELECT plan_id, data_id, ROUND(AVG(oc), 8) AS outCardinality_mean, ROUND(quantile_cont(oc, 0.5), 8) AS outCardinality_median,
+                   ROUND(SUM(CASE WHEN pact = 'Data Source' THEN oc END), 8) AS sourceCardinalitySum,
+                   ROUND(MAX(CASE WHEN pact = 'Map' THEN oc * pow(10.0, complexity) END), 8) AS complexity_max,
+                   ROUND(AVG(selectivity), 8) AS selectivity_mean,
+                   COALESCE(ROUND(STDDEV_SAMP(CASE WHEN pact = 'Filter' THEN oc END), 3), 0) AS filterOutCard_std, t_0, t_5
             FROM m JOIN tabs USING (plan_id) GROUP BY plan_id, data_id, t_0, t_5
             HAVING COUNT(*) FILTER (WHERE pact = 'Map') > 0 AND COUNT(*) FILTER (WHERE pact = 'Data Source') > 0""",
     ),
@@ -287,7 +295,7 @@ QUERIES = {
     "correlation": (
         q(correlation),
         " UNION ALL ".join(
-            f"SELECT '{a}' AS a, '{b}' AS b, {'0.0::DOUBLE' if 'one' in (a, b) else f'ROUND(corr({a}, {b}), 8)'} AS r FROM lineitem GROUP BY ALL"
+            f"SELECT '{a}' AS a, '{b}' AS b, {'0.0::DOUBLE' if 'one' in (a, b) else f'ROUND(corr({a}, {b}), 8)'} AS r{'' if 'one' in (a, b) else ' FROM lineitem'}"
             for a in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "one")
             for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "one")
         ),
