@@ -184,15 +184,20 @@ def row_numbers(df: DataFrame, keys, order, out: str = "rn", parts: int | None =
 
 
 def running(
-    df: DataFrame, keys, order, columns: dict[str, tuple[str, str]], parts: int | None = None
+    df: DataFrame,
+    keys,
+    order,
+    columns: dict[str, tuple[str, str]],
+    parts: int | None = None,
+    include_row: bool = True,
 ) -> DataFrame:
-    """Inclusive running aggregates: ``{out: ("sum" | "min" | "max" | "product", column)}``.
+    """Running aggregates up to each row: ``{out: ("sum" | "min" | "max" | "product", column)}``.
 
     ``order`` must be total within a group, so that rows and peers agree.
     """
     s = sliced(df, keys, order, parts)
     fold = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
-    upto = s.local().rowsBetween(W.unboundedPreceding, 0)
+    upto = s.local().rowsBetween(W.unboundedPreceding, 0 if include_row else -1)
     here = {out: fold[how](c).over(upto) for out, (how, c) in columns.items()}
     if not s.slices:
         return df.withColumns(here)
