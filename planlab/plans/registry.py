@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("tpch", "basics", "featured", "sequenced", "sampled")
+FAMILIES = ("tpch", "basics", "featured", "sequenced", "sampled", "learned", "jobbed")
 
 
 def all_queries() -> dict:
