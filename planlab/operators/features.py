@@ -102,7 +102,7 @@ def propagate(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], unk
         "__segment",
         F.coalesce("__given", "__joined", F.col("rows") * F.col("selectivity")).alias("__begin"),
     )
-    out = for_sizes(ops, data_ids).join(heads, ["plan_id", "data_id", "__segment"], "left")
+    out = ordered.hot_join(for_sizes(ops, data_ids), heads, ["plan_id", "data_id", "__segment"], "left")
     out = out.withColumn("out_cardinality", F.col("__begin") * F.col("__product"))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
@@ -281,16 +281,16 @@ def measured_feature_table(measured: DataFrame, log: DataFrame, cardinalities: D
 
 def group_mean_fill(df: DataFrame, log: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Attach each column's mean over the log rows of the group."""
-    return df.join(log.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns]), keys, "left")
+    return ordered.hot_join(df, log.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns]), keys, "left")
 
 
 def trim_outliers(df: DataFrame, value: str, by: str, b: float = 0.01) -> DataFrame:
     """Per group keep rows strictly above the ``b`` quantile, then strictly below the ``1 - b``
     quantile of what is left."""
     low = ordered.quantiles(df, [by], value, [b]).select(by, F.col("v").alias("__low"))
-    kept = df.join(low, by).where(F.col(value) > F.col("__low")).drop("__low")
+    kept = ordered.hot_join(df, low, [by]).where(F.col(value) > F.col("__low")).drop("__low")
     high = ordered.quantiles(kept, [by], value, [1.0 - b]).select(by, F.col("v").alias("__high"))
-    return kept.join(high, by).where(F.col(value) < F.col("__high")).drop("__high")
+    return ordered.hot_join(kept, high, [by]).where(F.col(value) < F.col("__high")).drop("__high")
 
 
 def trim_upper(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:

@@ -83,7 +83,7 @@ def leaf_weights(train: DataFrame, row_id: str, label: str, bags: DataFrame | No
     long = _per_tree(placed, row_id, "pos", F.col(label).alias("y"))
     long = long.withColumn("weight", F.lit(1.0)) if bags is None else long.join(bags, ["tree", row_id])
     size = long.groupBy("tree", "leaf").agg(F.sum("weight").alias("size"))  # one row per leaf
-    return long.join(size, ["tree", "leaf"]).select(
+    return ordered.hot_join(long, size, ["tree", "leaf"]).select(
         "tree", "leaf", (F.col("pos") - 1).alias("pos"), (F.col("weight") / F.col("size")).alias("w"), "y"
     )
 

@@ -14,6 +14,7 @@ mergeable quantile summaries; they only decide balance, never a result.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from planlab.session import parts_of
 
-SEARCH_STEPS = 12  # 2^12 > 2048, the most cut points a group can have
-HOT_ROWS = 200_000  # a group this small needs no cutting whatever its share
+MICRO = 1_000_000
+HOT_ROWS = 1_000_000  # a group this small is one task's work whatever its share
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -42,28 +43,20 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def _slice_of(cuts: Column, value: Column) -> Column:
-    """Slice of ``value`` among sorted cut points, found by binary search.
+def _slice_of(cuts: Column, value: Column, most: int) -> Column:
+    """Slice of ``value`` among sorted cut points (at most ``most``), found by binary search.
 
     Even slices are the open intervals between cut points, odd ones hold exactly a cut point, so
     a value with many rows sits in a slice of its own that the next order column may cut.
     """
+    strides = [1 << i for i in reversed(range(max(most, 1).bit_length()))]
 
-    def step(state, _):
-        middle = ((state["lo"] + state["hi"]) / 2).cast("int")
-        below = F.get(cuts, middle) < value
-        searching = state["lo"] < state["hi"]
-        return F.struct(
-            F.when(searching & below, middle + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(searching & ~below, middle).otherwise(state["hi"]).alias("hi"),
-        )
+    def step(at, stride):
+        return F.when(F.get(cuts, at + stride - 1) < value, at + stride).otherwise(at)
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    below = F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), step)
     slot = F.aggregate(
-        F.array_repeat(F.lit(0), SEARCH_STEPS),
-        start,
-        step,
-        lambda s: 2 * s["lo"] + F.when(F.get(cuts, s["lo"]) == value, 1).otherwise(0),
+        F.array(below), F.lit(0), lambda _, n: 2 * n + F.when(F.get(cuts, n) == value, 1).otherwise(0)
     )
     return F.when(cuts.isNull() | value.isNull(), F.lit(-1)).otherwise(slot)
 
@@ -109,6 +102,28 @@ def _cut_points(df: DataFrame, by: list[str], value: str, parts: int, hot: list)
     return spark.createDataFrame(cut.collect(), cut.schema)
 
 
+def hot_join(fact: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", parts: int | None = None) -> DataFrame:
+    """Join many rows per key with one row per key, whatever share of the rows a key holds.
+
+    ``side`` has at most one row per key, so the rows it has for the fewer than ``parts`` hot
+    keys are few enough to broadcast; all other keys take the planner's shuffle join. ``how`` is
+    ``inner``, ``left`` or ``left_semi``.
+    """
+    parts = parts or parts_of(fact.sparkSession)
+    hot, _ = _hot(fact, keys, parts, None)
+    hot = [r for r in hot if all(r[k] is not None for k in keys)]  # null keys never match
+    if not hot:
+        return fact.join(side, keys, how)
+    listed = fact.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], fact.select(*keys).schema)
+    listed = F.broadcast(listed)
+    few = F.broadcast(side.join(listed, keys, "left_semi"))
+    return (
+        fact.join(listed, keys, "left_anti")
+        .join(side, keys, how)
+        .unionByName(fact.join(listed, keys, "left_semi").join(few, keys, how))
+    )
+
+
 @dataclass
 class Sliced:
     """Rows with their slice columns; ``__hot`` marks rows of cut groups."""
@@ -163,7 +178,7 @@ def sliced(df: DataFrame, keys, order, parts: int | None = None) -> Sliced:
         out.df = null_safe(out.df, F.broadcast(cuts), out.by, "left")
         name = f"__slice{level}"
         out.df = (
-            out.df.withColumn(name, _slice_of(F.col("__cuts"), F.col(column)))
+            out.df.withColumn(name, _slice_of(F.col("__cuts"), F.col(column), min(parts, 1024)))
             .withColumn("__hot", F.col("__hot") | F.col("__cuts").isNotNull())
             .drop("__cuts")
         )
@@ -274,17 +289,20 @@ def quantiles(
     rows = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
     s = sliced(rows, keys, ["__v"], parts)
     wanted = F.array(*[F.lit(float(q)) for q in probabilities])
+    stride = gcd(*[round(q * MICRO) for q in probabilities]) / MICRO or 1.0
 
-    def covers(low: Column, count: Column, n: Column) -> Column:
-        """Probabilities whose lower or upper position lies in [low, low + count)."""
+    def touches(q, low: Column, count: Column, n: Column) -> Column:
+        """Does the lower or upper position of ``q`` lie in [low, low + count)?"""
+        place = q * (n - 1)
+        down, up = F.floor(place), F.ceil(place)
+        return ((down >= low) & (down < low + count)) | ((up >= low) & (up < low + count))
 
-        def inside(place):
-            return (place >= low) & (place < low + count)
-
-        return F.filter(
-            wanted,
-            lambda q: inside(F.floor(q * (n - 1))) | inside(F.ceil(q * (n - 1))),
-        )
+    def may_touch(low: Column, count: Column, n: Column) -> Column:
+        """Cheap test every touched row passes: a multiple of the probabilities' common stride
+        lies in the row's stretch. It keeps the exact test to a few rows per probability."""
+        last = F.greatest(n - 1, F.lit(1))
+        first_multiple = F.ceil(((low - 1) / last - 2 / MICRO) / stride)
+        return first_multiple <= F.floor(((low + count) / last + 2 / MICRO) / stride)
 
     if s.slices:
         previous = s.border_window().rowsBetween(W.unboundedPreceding, -1)
@@ -294,7 +312,8 @@ def quantiles(
             F.coalesce(F.sum("__c").over(previous), F.lit(0)).alias("__before"),
             F.sum("__c").over(W.partitionBy(*keys)).alias("__n"),
         )
-        side = side.where(F.size(covers(F.col("__before"), F.col("__c"), F.col("__n"))) > 0)
+        span = F.col("__before"), F.col("__c"), F.col("__n")
+        side = side.where(F.exists(wanted, lambda q: touches(q, *span)))
         near = s.attach(side.drop("__c")).where(~F.col("__hot") | F.col("__n").isNotNull())
     else:
         none = F.lit(None).cast("bigint")
@@ -311,14 +330,9 @@ def quantiles(
         (F.coalesce("__before", F.lit(0)) + F.sum("__c").over(upto) - F.col("__c")).alias("__low"),
         F.coalesce("__n", F.sum("__c").over(within)).alias("__n"),
     )
-    hits = runs.select(
-        *keys,
-        "__v",
-        "__low",
-        "__c",
-        "__n",
-        F.explode(covers(F.col("__low"), F.col("__c"), F.col("__n"))).alias("q"),
-    )
+    span = F.col("__low"), F.col("__c"), F.col("__n")
+    exact = F.filter(wanted, lambda q: touches(q, *span))
+    hits = runs.where(may_touch(*span)).select("*", F.explode(exact).alias("q"))
     place = F.col("q") * (F.col("__n") - 1)
 
     def at(position):

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlab.catalog import Predicate
+from planlab.operators import ordered
 from planlab.session import broadcast_if_small
 
+REPEAT = 100_000  # copies of one row a single task writes
+
 COMPARE = {
     "<=": lambda c, v: c <= v,
     "<": lambda c, v: c < v,
@@ -70,10 +73,22 @@ def join_keep_right(left: DataFrame, right: DataFrame, left_key: str, right_key:
     Only the number of matches matters, so the left side is counted per key first and the right
     row is repeated after the join: a hot key never meets itself row by row in the shuffle.
     """
-    matches = left.groupBy(F.col(left_key).alias("__k")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
-    joined = right.join(matches, F.col(right_key) == F.col("__k"))
-    repeated = joined.withColumn("__r", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
-    return repeated.select(*right.columns)
+    matches = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias(right_key)).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    return _repeated(ordered.hot_join(right, matches, [right_key])).select(*right.columns)
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Each row ``__n`` times. Counts above REPEAT are dealt out in pieces of REPEAT over the
+    cluster, so that no task writes all copies of a hot key."""
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / REPEAT)))
+    many = df.where(F.col("__n") > REPEAT).withColumn("__piece", pieces)
+    many = many.repartition("__piece").withColumn(
+        "__n", F.least(F.lit(REPEAT), F.col("__n") - F.col("__piece") * REPEAT)
+    )
+    every = df.where(F.col("__n") <= REPEAT).unionByName(many.drop("__piece"))
+    return every.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))
 
 
 def join_tiny(left: DataFrame, tiny: DataFrame, on: Column, how: str = "inner") -> DataFrame:
@@ -91,31 +106,31 @@ def member_filter(df: DataFrame, ids: DataFrame, on: Column) -> DataFrame:
     return df.join(broadcast_if_small(ids), on, "left_semi")
 
 
-def lookup_filter(df: DataFrame, lookup: DataFrame, on: Column, keep: Column) -> DataFrame:
-    """Rows that satisfy a comparison with the value looked up for their key."""
-    return df.join(broadcast_if_small(lookup), on).where(keep).select(*df.columns)
+def lookup_filter(df: DataFrame, lookup: DataFrame, key: str, keep: Column) -> DataFrame:
+    """Rows that satisfy a comparison with the value looked up for their key (one per key)."""
+    return ordered.hot_join(df, lookup, [key]).where(keep).select(*df.columns)
 
 
 def with_other(df: DataFrame, key: str, value: str, flag: Column | None = None) -> DataFrame:
-    """Per key the least and greatest ``value`` (of flagged rows): enough for EXISTS tests
-    with ``value <> value`` without pairing the rows of a key."""
+    """Rows beside the least and greatest ``value`` among the (flagged) rows of their key.
+
+    That is enough for EXISTS tests with ``value <> value``, without pairing rows of a key.
+    """
     cell = F.col(value) if flag is None else F.when(flag, F.col(value))
-    return df.groupBy(F.col(key).alias("__k")).agg(F.min(cell).alias("__lo"), F.max(cell).alias("__hi"))
+    side = df.groupBy(key).agg(F.min(cell).alias("__lo"), F.max(cell).alias("__hi"))
+    return ordered.hot_join(df, side, [key])
 
 
 def exists_other(df: DataFrame, key: str, value: str, flag: Column | None = None) -> DataFrame:
     """Rows whose key also occurs with a different ``value`` (in a flagged row)."""
-    side = with_other(df, key, value, flag)
-    joined = df.join(side, F.col(key) == F.col("__k"))
-    return joined.where((F.col("__lo") != F.col(value)) | (F.col("__hi") != F.col(value))).select(*df.columns)
+    differs = (F.col("__lo") != F.col(value)) | (F.col("__hi") != F.col(value))
+    return with_other(df, key, value, flag).where(differs).select(*df.columns)
 
 
 def not_exists_other(df: DataFrame, key: str, value: str, flag: Column | None = None) -> DataFrame:
     """Rows whose key occurs with no different ``value`` (in a flagged row)."""
-    side = with_other(df, key, value, flag)
-    joined = df.join(side, F.col(key) == F.col("__k"))
     alone = F.col("__lo").isNull() | ((F.col("__lo") == F.col(value)) & (F.col("__hi") == F.col(value)))
-    return joined.where(alone).select(*df.columns)
+    return with_other(df, key, value, flag).where(alone).select(*df.columns)
 
 
 def not_in(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -119,7 +119,7 @@ def uniform_sample(
 def uniform_sample_grouped(df: DataFrame, row_id: str, value: str, by: str, ratio: float) -> DataFrame:
     """The older walk: values over their greatest, per group, ``ratio`` of the rows, no shrinking."""
     stats = df.groupBy(by).agg(F.max(value).alias("__max"), F.count(value).alias("__n"))
-    scaled = df.join(stats, by).withColumn("__norm", F.col(value) / F.col("__max"))
+    scaled = ordered.hot_join(df, stats, [by]).withColumn("__norm", F.col(value) / F.col("__max"))
     spread = scaled.groupBy(by).agg(
         F.min("__norm").alias("low"),
         ((F.max("__norm") - F.min("__norm")) / F.floor(F.max("__n") * F.lit(ratio))).alias("step"),
@@ -147,7 +147,7 @@ def weighted_percentile(
     runs = ordered.running(runs, keys, ["v"], {"upto": ("sum", "w")})
     totals = runs.groupBy(*keys).agg(F.max("upto").alias("total"))
     if keys:
-        runs = runs.join(totals, keys)
+        runs = ordered.hot_join(runs, totals, keys)
     else:
         runs = runs.withColumn("total", totals.select("total").scalar())
     scale = F.lit(100.0) / F.col("total")

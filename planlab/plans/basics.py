@@ -30,8 +30,8 @@ def filter_contains(t: Tables) -> DataFrame:
 
 def filter_lookup(t: Tables) -> DataFrame:
     """Lines below a fifth of their part's average quantity, through a lookup table."""
-    below = t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg((0.2 * F.avg("l_quantity")).alias("v"))
-    rows = R.lookup_filter(t.lineitem, below, F.col("l_partkey") == F.col("k"), F.col("l_quantity") < F.col("v"))
+    below = t.lineitem.groupBy("l_partkey").agg((0.2 * F.avg("l_quantity")).alias("v"))
+    rows = R.lookup_filter(t.lineitem, below, "l_partkey", F.col("l_quantity") < F.col("v"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 

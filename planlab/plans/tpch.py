@@ -113,20 +113,24 @@ def customer_distribution(t: Tables) -> DataFrame:
 
 
 def small_quantity_revenue(t: Tables) -> DataFrame:
-    """T17: yearly revenue of lines below a fifth of their part's average quantity."""
+    """T17: yearly revenue of lines below a fifth of their part's average quantity.
+
+    Lines collapse to one row per part and quantity before anything is joined.
+    """
     parts = t.part.where(
         (F.col("p_brand") == "Brand#23") & F.col("p_size").between(1, 25)
     ).select("p_partkey")
-    lines = t.lineitem.select("l_partkey", "l_quantity", "l_extendedprice").join(
-        parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi"
-    )
-    threshold = lines.groupBy(F.col("l_partkey").alias("k")).agg(
-        (0.2 * F.avg("l_quantity")).alias("below")
+    lines = (
+        t.lineitem.groupBy("l_partkey", "l_quantity")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("price"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     )
+    average = F.sum(F.col("l_quantity") * F.col("n")) / F.sum("n")
+    threshold = lines.groupBy(F.col("l_partkey").alias("k")).agg((0.2 * average).alias("below"))
     return (
         lines.join(threshold, F.col("l_partkey") == F.col("k"))
         .where(F.col("l_quantity") < F.col("below"))
-        .agg(F.round(F.sum("l_extendedprice") / 7.0, 4).alias("avg_yearly"))
+        .agg(F.round(F.sum("price") / 7.0, 4).alias("avg_yearly"))
     )
 
 
