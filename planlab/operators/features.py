@@ -62,7 +62,10 @@ def propagate(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], unk
         ["pos"],
         {"__slot": ("sum", "__push"), "__segment": ("sum", "__starts"), "__k": ("sum", "__join")},
     )
-    ops = ordered.running(ops, ["plan_id", "__segment"], ["pos"], {"__product": ("product", "__factor")})
+    ops = ordered.running(
+        checkpointed(ops), ["plan_id", "__segment"], ["pos"], {"__product": ("product", "__factor")}
+    )
+    ops = checkpointed(ops)  # read three times below
 
     start_pos = F.when(F.col("__starts") == 1, F.col("pos"))
     origin = F.struct("table_name", "selectivity", "__given", "__join")
@@ -71,6 +74,9 @@ def propagate(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], unk
         F.max_by(origin, start_pos).alias("__origin"),
         F.max_by("__product", "pos").alias("__factor"),
     )
+    lacking = F.col("__k").isNotNull() & (2 * F.col("__k") >= F.col("__slot"))
+    refused = F.raise_error(F.lit("join without two open branches")).cast("bigint")
+    slots = slots.withColumn("__k", F.when(lacking, refused).otherwise(F.col("__k")))
     slots = for_sizes(slots, data_ids).withColumn("table_name", F.col("__origin.table_name"))
     sizes = broadcast_if_small(cardinalities)
     slots = slots.join(sizes, ["data_id", "table_name"], "left")
@@ -91,11 +97,8 @@ def propagate(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], unk
         "plan_id", "data_id", F.floor((F.col("__slot") + 1) / 2).alias("__k")
     ).agg(F.max("__val").alias("__joined"))
     heads = for_sizes(ops.where("__starts = 1"), data_ids)
-    checked = F.when(
-        (F.col("__join") == 1) & (2 * F.col("__k") >= F.col("__slot")),
-        F.raise_error(F.lit("join without two open branches")).cast("bigint"),
-    ).when(F.col("__join") == 1, F.col("__k"))
-    heads = heads.withColumn("__k", checked).join(sizes, ["data_id", "table_name"], "left")
+    heads = heads.withColumn("__k", F.when(F.col("__join") == 1, F.col("__k")))
+    heads = heads.join(sizes, ["data_id", "table_name"], "left")
     heads = heads.join(inputs, ["plan_id", "data_id", "__k"], "left").select(
         "plan_id",
         "data_id",

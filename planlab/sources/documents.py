@@ -56,7 +56,7 @@ def parse_plans(df: DataFrame, text: str = "value") -> DataFrame:
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
     """One row per plan file: ``plan_id`` (file), ``data_id`` (folder), run time and nodes."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     named = files.select(
         F.regexp_replace(_file_name(), r"\.json$", "").alias("plan_id"), _folder_name().alias("data_id"), "value"
     )

@@ -60,7 +60,7 @@ def random_plan(rng, length):
 @pytest.mark.parametrize("unknown", ["one", "carry"])
 def test_propagation_is_the_sequential_rule(spark, cut_everything, unknown):
     rng = random.Random(11)
-    plans = {f"p{i}": random_plan(rng, n) for i, n in enumerate([3, 8, 20, 150])}  # one holds most rows
+    plans = {f"p{i}": random_plan(rng, n) for i, n in enumerate([3, 8, 12, 60])}  # one holds most rows
     rows = [(p, j, *op) for p, ops in plans.items() for j, op in enumerate(ops)]
     schema = "plan_id string, pos long, pact string, table_name string, selectivity double, out_cardinality long"
     ops = spark.createDataFrame(rows, schema).repartition(4)
