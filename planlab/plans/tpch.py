@@ -6,17 +6,19 @@ repeats a lot carries one partial row per map task, not every row of the key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.sources.tables import Tables
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def pricing_summary(t: Tables) -> DataFrame:
     """T1: shipped lines up to a date minus an interval, grouped by flag and status."""
-    charge = REVENUE * (1 + F.col("l_tax"))
+    charge = revenue() * (1 + F.col("l_tax"))
     cutoff = F.expr("date'2001-08-01' - interval 90 days")
     sums = (
         t.lineitem.where(F.col("l_shipdate") <= cutoff)
@@ -24,7 +26,7 @@ def pricing_summary(t: Tables) -> DataFrame:
         .agg(
             F.sum("l_quantity").alias("sum_qty"),
             F.sum("l_extendedprice").alias("sum_base"),
-            F.sum(REVENUE).alias("sum_disc"),
+            F.sum(revenue()).alias("sum_disc"),
             F.sum(charge).alias("sum_chg"),
             F.sum("l_discount").alias("sum_d"),
             F.count(F.lit(1)).alias("count_order"),
@@ -57,7 +59,7 @@ def shipping_priority(t: Tables, limit: int | None = None) -> DataFrame:
     lines = (
         t.lineitem.where(F.col("l_shipdate") > day)
         .groupBy("l_orderkey")
-        .agg(F.sum(REVENUE).alias("revenue"))
+        .agg(F.sum(revenue()).alias("revenue"))
     )
     out = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "l_orderkey",
