@@ -7,9 +7,11 @@ standard deviations above the mean at the threshold. The signature is cut into c
 position, so a row enumerates, for every chunk, the chunk without each one position. Equal keys then hold every pair
 within the limit. Candidates are compared on their full sets.
 
-No bucket is expanded into pairs: its members are compared with its least member first; sets that
-are linked that way form components, and only members of one bucket that are still in different
-components and near in size are paired, once more by signature before by set.
+No bucket is expanded into pairs. Its members are compared with one of them first, the one that
+meets most others over all buckets, and sets linked that way form components. Members of one bucket
+that are still in different components are paired only if they can be links at all: by their sizes, and by the
+number of their shingles that any other open set holds. In a group of edited copies, a copy too far from the
+original is far from all others, and that number shows it without comparing it with each.
 """
 
 from __future__ import annotations
@@ -124,6 +126,16 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([rids, pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["rid", "shingles"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch.column("text")):
+            sets = shingle_sets(piece, width)
+            rids = batch.column("rid").slice(piece.first, piece.rows).to_numpy()
+            rids = np.repeat(rids, [len(s) for s in sets])
+            flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(flat)], names=["rid", "shingle"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with 100 * intersection >= percent * union on the full sets."""
     for batch in batches:
@@ -151,6 +163,25 @@ def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, most: int, pe
     return checkpointed(both.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of buckets that hold two components or more."""
+    keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return placed.join(keys, "key")
+
+
+def _shared(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``rid, alone``: how many shingles of a set no other set of these rows holds.
+
+    A shingle held once cannot lie in an intersection, so a set with few others has no partner: two sets
+    of n and m shingles are links only if percent / (100 + percent) * (n + m) are common.
+    """
+    wanted = broadcast_rows(checkpointed(rows.select("rid").distinct()))
+    every = docs.join(wanted, "rid", "left_semi").mapInArrow(lambda it: _shingle_rows(it, width), "rid long, shingle long")
+    owners = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("rid").alias("rid")).where("held = 1")
+    # repeated rows of one text are one rid, so a shingle counts once per set
+    return owners.groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -172,26 +203,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     keys = classes.select("rid", "n_shingles", "signature").mapInArrow(
         lambda it: _keys(it, chunks), "key long, rid long, n long"
     )
-    leaders = keys.groupBy("key").agg(F.min("rid").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = checkpointed(keys.join(leaders.select("key", "lead"), "key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = checkpointed(keys.join(shared, "key"))
+    # the member that meets most others leads a bucket: copies elect what they were copied from
+    met = members.groupBy("rid").agg(F.sum("c").alias("met"))
+    leaders = members.join(met, "rid").groupBy("key").agg(F.max(F.struct("met", -F.col("rid"))).alias("m"))
+    members = checkpointed(members.join(leaders.select("key", (-F.col("m")["col2"]).alias("lead")), "key").drop("c"))
     near_size = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     sizes = classes.select(F.col("rid").alias("lead"), F.col("n_shingles").alias("nl"))
     stars = members.where("rid <> lead").select("rid", "lead", "n").distinct().join(sizes, "lead")
     stars = stars.select(F.col("lead").alias("a"), F.col("rid").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb"))
     links = _verified(stars.where(near_size).select("a", "b"), classes, base, most, percent, width)
-    # members of one bucket in different components, least component first
+    # members of one bucket that are still in different components
     named = components(links)
     placed = members.join(named, members["rid"] == named["node"], "left").select(
         "key", "rid", "lead", "n", F.coalesce("component", "rid").alias("c")
     )
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.where("c0 <> c1 AND k > 2").select("key")
-    open_ = checkpointed(placed.join(mixed, "key").where("rid <> lead"))
-    left = open_.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = open_.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = left.join(right, "key").where(F.col("ca") < F.col("cb")).where(near_size)
-    more = _verified(pairs.select("a", "b").distinct(), classes, base, most, percent, width)
-    links = checkpointed(links.unionByName(more))
+    open_ = checkpointed(_mixed(placed).where("rid <> lead"))
+    able = open_.join(_shared(open_, base, width), "rid", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+    least = able.groupBy("key").agg(F.min("n").alias("n0"))
+    partner = F.greatest("n0", F.ceil(percent * F.col("n") / 100))
+    able = able.join(least, "key").where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
+    able = checkpointed(_mixed(able.select("key", "rid", "n", "s", "c")))
+    left = able.select("key", *[F.col(x).alias(f"{x}a") for x in ("rid", "n", "s", "c")])
+    right = able.select("key", *[F.col(x).alias(f"{x}b") for x in ("rid", "n", "s", "c")])
+    enough = (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "key").where(F.col("ca") < F.col("cb")).where(near_size).where(enough)
+    pairs = pairs.select(F.col("rida").alias("a"), F.col("ridb").alias("b")).distinct()
+    links = checkpointed(links.unionByName(_verified(pairs, classes, base, most, percent, width)))
     named = components(links).withColumnRenamed("node", "rid")
     reps = classes.select("digest", "rid").join(named, "rid", "left")
     reps = reps.select("digest", F.coalesce("component", "rid").alias("__c"))
