@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from planlab.llm import mixing, near, rules
+from planlab.llm import mixing, near, rules, substrings
 
 QUERIES = {
+    "op3_substring_dedup": (substrings.op3_substring_dedup, None),
     "op8_near_duplicates": (near.op8_near_duplicates, None),
     "op9_mixing": (mixing.op9_mixing, None),
     "op10_quality_rules": (rules.op10_quality_rules, rules.OP10_SQL),
