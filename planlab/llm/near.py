@@ -9,9 +9,10 @@ within the limit. Candidates are compared on their full sets.
 
 No bucket is expanded into pairs. Its members are compared with one of them first, the one that
 meets most others over all buckets, and sets linked that way form components. Members of one bucket
-that are still in different components are paired only if they can be links at all: by their sizes, and by the
-number of their shingles that any other open set holds. In a group of edited copies, a copy too far from the
-original is far from all others, and that number shows it without comparing it with each.
+that are still in different components are paired only if they can be links at all: by their sizes, by the
+number of their shingles that any other open set holds, and by a common shingle among their rarest ones. In
+a group of edited copies, a copy too far from the original is far from all others, and this shows it
+without comparing it with each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planlab.llm.common import broadcast_rows, keyed, table, unkeyed
@@ -169,17 +171,27 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(keys, "key")
 
 
-def _shared(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``rid, alone``: how many shingles of a set no other set of these rows holds.
+def _prefixes(rows: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The rarest shingles of each open set that may still have a partner: ``shingle, rid, n, s, c``.
 
-    A shingle held once cannot lie in an intersection, so a set with few others has no partner: two sets
-    of n and m shingles are links only if percent / (100 + percent) * (n + m) are common.
+    Two sets of n and m shingles are links only if percent / (100 + percent) * (n + m) shingles are
+    common. So a set of which too few shingles are held by any other open set (``s``) has no partner, and two
+    links share one of their rarest shingles, as many as may be missing and one more.
     """
-    wanted = broadcast_rows(checkpointed(rows.select("rid").distinct()))
-    every = docs.join(wanted, "rid", "left_semi").mapInArrow(lambda it: _shingle_rows(it, width), "rid long, shingle long")
-    owners = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("rid").alias("rid")).where("held = 1")
-    # repeated rows of one text are one rid, so a shingle counts once per set
-    return owners.groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
+    least = rows.groupBy("key").agg(F.min("n").alias("n0"))
+    partner = F.greatest("n0", F.ceil(percent * F.col("n") / 100))
+    sets = rows.join(least, "key").groupBy("rid").agg(F.min("n").alias("n"), F.min("c").alias("c"), F.min(partner).alias("m"))
+    sets = checkpointed(sets)
+    every = docs.join(broadcast_rows(sets.select("rid")), "rid", "left_semi")
+    every = checkpointed(every.mapInArrow(lambda it: _shingle_rows(it, width), "rid long, shingle long"))
+    held = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    common = every.join(held, "shingle")
+    counts = common.groupBy("rid").agg(F.count(F.lit(1)).alias("s"))
+    able = sets.join(counts, "rid").where((100 + percent) * F.col("s") >= percent * (F.col("n") + F.col("m")))
+    rank = F.row_number().over(W.partitionBy("rid").orderBy("held", "shingle")) + F.col("n") - F.col("s")
+    missing = F.col("n") - F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    ranked = common.join(able, "rid").withColumn("rank", rank).where(F.col("rank") <= missing + 1)
+    return checkpointed(ranked.select("shingle", "rid", "n", "s", "c"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
@@ -220,15 +232,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
         "key", "rid", "lead", "n", F.coalesce("component", "rid").alias("c")
     )
     open_ = checkpointed(_mixed(placed).where("rid <> lead"))
-    able = open_.join(_shared(open_, base, width), "rid", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
-    least = able.groupBy("key").agg(F.min("n").alias("n0"))
-    partner = F.greatest("n0", F.ceil(percent * F.col("n") / 100))
-    able = able.join(least, "key").where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
-    able = checkpointed(_mixed(able.select("key", "rid", "n", "s", "c")))
-    left = able.select("key", *[F.col(x).alias(f"{x}a") for x in ("rid", "n", "s", "c")])
-    right = able.select("key", *[F.col(x).alias(f"{x}b") for x in ("rid", "n", "s", "c")])
+    able = _prefixes(open_, base, percent, width)
+    left = able.select("shingle", *[F.col(x).alias(f"{x}a") for x in ("rid", "n", "s", "c")])
+    right = able.select("shingle", *[F.col(x).alias(f"{x}b") for x in ("rid", "n", "s", "c")])
     enough = (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "key").where(F.col("ca") < F.col("cb")).where(near_size).where(enough)
+    pairs = left.join(right, "shingle").where(F.col("ca") < F.col("cb")).where(near_size).where(enough)
     pairs = pairs.select(F.col("rida").alias("a"), F.col("ridb").alias("b")).distinct()
     links = checkpointed(links.unionByName(_verified(pairs, classes, base, most, percent, width)))
     named = components(links).withColumnRenamed("node", "rid")

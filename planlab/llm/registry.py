@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from planlab.llm import mixing, near, rules, substrings
+import corpus_pipeline
+from planlab.llm import leaks, mixing, near, rules, substrings
 
 QUERIES = {
     "op3_substring_dedup": (substrings.op3_substring_dedup, None),
+    "op4_decontamination": (leaks.op4_decontamination, None),
     "op8_near_duplicates": (near.op8_near_duplicates, None),
     "op9_mixing": (mixing.op9_mixing, None),
     "op10_quality_rules": (rules.op10_quality_rules, rules.OP10_SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

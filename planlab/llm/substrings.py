@@ -13,7 +13,7 @@ Spark then works on far fewer rows than words:
 1. symbol rounds: a row (name with its deciding words, text, place) per chosen symbol. Symbols that occur
    once rule out all windows that chose them; a whole text is named as well, so an exact copy of an
    earlier text is settled by its name alone.
-2. verification: the windows left are named by 128 bits over all their words; the least place per name is
+2. verification: the windows left are named by 96 bits over all their words; the least place per name is
    where it first occurs.
 3. each text drops the words of its windows that are left and are no first occurrence.
 Each grouping is an aggregation with map-side partial results, so names that fill a third of the corpus stay cheap.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +145,27 @@ def _polynomial(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
+class _Lists:
+    """A list column of places for the rows of a piece, searched for (row, place) pairs."""
+
+    def __init__(self, column: pa.Array):
+        column = pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column
+        sizes = pc.list_value_length(column).to_numpy()
+        self.rows = len(column)
+        row = np.repeat(np.arange(self.rows), sizes)
+        self.pairs = np.sort((row << 32) + pc.list_flatten(column).to_numpy().astype(np.int64) + 1)
+
+    def holds(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        wanted = (row << 32) + at + 1
+        if not len(self.pairs):
+            return np.zeros(len(wanted), dtype=bool)
+        return self.pairs[np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)] == wanted
+
+    def copies(self) -> np.ndarray:
+        """Rows that do not list WHOLE."""
+        return ~self.holds(np.arange(self.rows), np.full(self.rows, WHOLE))
+
+
 class _Text:
     """One piece with its windows and the symbols they take."""
 
@@ -177,15 +199,11 @@ class _Text:
             out.append(mix64((sums[b] - sums[a]) * down[a] + size * _RUN))
         return out[0], out[1]
 
-    def left(self, once: list) -> np.ndarray:
-        """Windows (indices into ``windows``) whose symbol occurs elsewhere, by the rows' lists of
-        symbols that occur once; a row without WHOLE in its list is a copy and has none left."""
-        keep = np.ones(len(self.heads), dtype=bool)
-        cuts = np.searchsorted(self.symbol_row, np.arange(self.piece.rows + 1))
-        for r, single in enumerate(once):
-            span = slice(cuts[r], cuts[r + 1])
-            keep[span] = ~np.isin(self.symbol_at[span], single) if WHOLE in single else False
-        return np.flatnonzero(keep[self.symbol]) if len(self.windows) else self.windows
+    def left(self, once: _Lists) -> np.ndarray:
+        """Starts of the windows whose symbol occurs elsewhere, by the rows' lists of symbols that
+        occur once; a row without WHOLE in its list is a copy and has none left."""
+        known = ~once.holds(self.symbol_row, self.symbol_at) & ~once.copies()[self.symbol_row]
+        return self.windows[known[self.symbol]] if len(self.windows) else self.windows
 
 
 def _symbol_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +215,7 @@ def _symbol_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([text.keys, one]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(len(text.keys), dtype=np.uint64), two]).view(np.int64)),
+                    pa.array(np.concatenate([np.zeros(len(text.keys), dtype=np.uint64), two]).astype(np.uint32).view(np.int32)),
                     pa.array(np.concatenate([rids[text.symbol_row], rids])),
                     pa.array(np.concatenate([text.symbol_at, np.full(len(rids), WHOLE)]).astype(np.int32)),
                 ],
@@ -205,22 +223,17 @@ def _symbol_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             )
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x, dtype=np.int64) if x is not None else np.zeros(0, dtype=np.int64) for x in column.to_pylist()]
-
-
 def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch.column("text")):
             text = _Text(piece, width)
-            once = _lists(batch.column("once").slice(piece.first, piece.rows))
-            at = text.windows[text.left(once)]
+            at = text.left(_Lists(batch.column("once").slice(piece.first, piece.rows)))
             rids = batch.column("rid").slice(piece.first, piece.rows).to_numpy()
             row = np.searchsorted(piece.row_words, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(window_hashes(text.words, width, 11)[at].view(np.int64)),
-                    pa.array(window_hashes(mix64(text.words + U(5)), width, 12)[at].view(np.int64)),
+                    pa.array(window_hashes(mix64(text.words + U(5)), width, 12)[at].astype(np.uint32).view(np.int32)),
                     pa.array(rids[row]),
                     pa.array((at - piece.row_words[:-1][row]).astype(np.int32)),
                 ],
@@ -228,34 +241,48 @@ def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             )
 
 
+def _joined(piece: Piece, kept: np.ndarray) -> list[bytes]:
+    """The kept words of each row joined by one space: their bytes and the one behind each, as a space."""
+    size = len(piece.data)
+    inside = np.zeros(size + 1, dtype=np.int8)
+    inside[piece.starts[kept]] += 1
+    inside[piece.ends[kept]] -= 1
+    take = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    kept_at = np.flatnonzero(kept)
+    row = np.searchsorted(piece.row_words, kept_at, side="right") - 1
+    inner = np.zeros(len(kept_at), dtype=bool)
+    inner[:-1] = row[:-1] == row[1:]  # another kept word of the row follows
+    data = piece.data.copy()
+    gaps = piece.ends[kept_at[inner]]
+    data[gaps] = 0x20
+    take[gaps] = True
+    raw = data[take].tobytes()
+    upto = np.concatenate([[0], np.cumsum(take)])
+    # bytes of a row: from its first word to the last one
+    a, b = piece.row_words[:-1], piece.row_words[1:]
+    lows = np.where(b > a, upto[np.append(piece.starts, 0)[a]], 0)
+    highs = np.where(b > a, upto[np.append(piece.ends, 0)[np.maximum(b - 1, 0)]], 0)
+    return [raw[x:y] for x, y in zip(lows.tolist(), highs.tolist())]
+
+
 def _removed(batches: Iterator[pa.RecordBatch], width: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Per row: words, words removed, digest of the kept words, and the kept words themselves."""
     for batch in batches:
         for piece in pieces(batch.column("text")):
             text = _Text(piece, width)
-            once = _lists(batch.column("once").slice(piece.first, piece.rows))
-            firsts = _lists(batch.column("firsts").slice(piece.first, piece.rows))
-            repeated = np.zeros(len(text.words) + 1, dtype=np.int64)
-            at = text.windows[text.left(once)]
+            once = _Lists(batch.column("once").slice(piece.first, piece.rows))
+            firsts = _Lists(batch.column("firsts").slice(piece.first, piece.rows))
+            at = text.left(once)
             row = np.searchsorted(piece.row_words, at, side="right") - 1
-            cuts = np.searchsorted(row, np.arange(piece.rows + 1))
-            gone = []
-            for r in range(piece.rows):
-                mine = at[cuts[r] : cuts[r + 1]] - piece.row_words[r]
-                if WHOLE not in once[r]:  # a copy of an earlier text: all its windows
-                    mine = np.arange(max(0, piece.row_words[r + 1] - piece.row_words[r] - width + 1))
-                else:
-                    mine = mine[~np.isin(mine, firsts[r])]
-                gone.append(mine + piece.row_words[r])
-            gone = np.concatenate([*gone, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            np.add.at(repeated, gone, 1)
-            np.subtract.at(repeated, gone + width, 1)
-            kept = np.cumsum(repeated[:-1]) == 0
-            raw = piece.data.tobytes()
-            spans = list(zip(piece.starts.tolist(), piece.ends.tolist()))
-            kept_texts = []
-            for a, b in zip(piece.row_words[:-1].tolist(), piece.row_words[1:].tolist()):
-                kept_texts.append(b" ".join(raw[spans[i][0] : spans[i][1]] for i in np.flatnonzero(kept[a:b]) + a))
+            at = at[~firsts.holds(row, at - piece.row_words[row])]
+            # a copy of an earlier text: all its windows
+            whole = text.windows[once.copies()[np.searchsorted(piece.row_words, text.windows, side="right") - 1]]
+            change = np.zeros(len(text.words) + 1, dtype=np.int64)
+            for gone in (at, whole):
+                change += np.bincount(gone, minlength=len(change))
+                change -= np.bincount(gone + width, minlength=len(change))
+            kept = np.cumsum(change[:-1]) == 0
+            kept_texts = _joined(piece, kept)
             sizes = piece.sizes()
             counts = np.concatenate([[0], np.cumsum(~kept)])
             removed = counts[piece.row_words[1:]] - counts[piece.row_words[:-1]]
@@ -280,13 +307,13 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
     """
     base, back = keyed(docs)
     base = base.select("rid", F.coalesce("text", F.lit("")).alias("text"))
-    symbols = base.mapInArrow(lambda it: _symbol_rows(it, width), "name long, more long, rid long, at int")
+    symbols = base.mapInArrow(lambda it: _symbol_rows(it, width), "name long, more int, rid long, at int")
     found = symbols.groupBy("name", "more").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("p"))
     # a whole text's name is listed at its first text; a symbol where it occurs once
     once = found.where((F.col("c") == 1) | (F.col("p.at") == WHOLE)).groupBy("p.rid").agg(F.collect_list("p.at").alias("once"))
     once = checkpointed(once)
     judged = base.join(once, "rid", "left")
-    windows = judged.mapInArrow(lambda it: _window_rows(it, width), "name long, more long, rid long, at int")
+    windows = judged.mapInArrow(lambda it: _window_rows(it, width), "name long, more int, rid long, at int")
     first = windows.groupBy("name", "more").agg(F.min(F.struct("rid", "at")).alias("p"))
     firsts = first.groupBy("p.rid").agg(F.collect_list("p.at").alias("firsts"))
     schema = "rid long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
