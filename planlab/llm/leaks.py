@@ -25,12 +25,21 @@ def _words(text: Column) -> Column:
     return word_array(lower_ascii(text))
 
 
-def _shingles(words: str, hashed: bool) -> Column:
-    """Hashes (or the words themselves) of all windows of five words; none for a shorter text."""
-    parts = ", ".join(f"get({words}, i + {j})" for j in range(1, WIDTH))
-    made = f"xxhash64(x, {parts})" if hashed else f"concat_ws(' ', x, {parts})"
-    every = f"transform({words}, (x, i) -> {made})"
-    return F.expr(f"slice({every}, 1, greatest(size({words}) - {WIDTH - 1}, 0))")
+def _shingles(text: Column, hashed: bool) -> Column:
+    """Hashes (or the words themselves) of all windows of five words; none for a shorter text.
+
+    The words are bound by a lambda over one element: as a column of their own the optimizer would write
+    the split out again wherever a pushed filter mentions them.
+    """
+
+    def windows(w: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            words = [x, *[F.get(w, i + j) for j in range(1, WIDTH)]]
+            return F.xxhash64(*words) if hashed else F.concat_ws(" ", *words)
+
+        return F.slice(F.transform(w, one), 1, F.greatest(F.size(w) - (WIDTH - 1), F.lit(0)))
+
+    return F.transform(F.array(_words(text)), windows)[0]
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -42,8 +51,9 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
     rows give a row each; a null doc_id is returned as such.
     """
     base, back = keyed(docs)
-    texts = items.select(F.col("item_id"), _words(F.col("text").cast("string")).alias("w")).where("item_id IS NOT NULL")
-    own = texts.select("item_id", F.explode(_shingles("w", False)).alias("shingle")).distinct()
+    texts = items.where("item_id IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"))
+    own = texts.select("item_id", F.explode_outer(_shingles(F.col("text"), False)).alias("shingle"))
+    own = own.where("shingle IS NOT NULL").distinct()
     own = own.withColumn("h", F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(j)) for j in range(WIDTH)]))
     sizes = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     own = checkpointed(own.join(sizes, "item_id"))
@@ -55,12 +65,12 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
     schema = "doc_id long, item_id long, n_shared long, n_item long"
     if top is None:
         return docs.sparkSession.createDataFrame([], schema)
-    probes = base.withColumn("w", _words(F.col("text"))).select("rid", _shingles("w", True).alias("every"))
-    probes = probes.select("rid", F.explode("every").alias("h")).where(F.col("h") <= F.lit(top))
+    low = F.filter(_shingles(F.col("text"), True), lambda h: h <= F.lit(top))
+    probes = base.select("rid", F.explode_outer(low).alias("h"))
     met = checkpointed(probes.join(broadcast_rows(sketch), "h").select("rid", "item_id").distinct())
     named = broadcast_rows(checkpointed(met.select("rid").distinct()))
-    held = base.join(named, "rid", "left_semi").withColumn("w", _words(F.col("text")))
-    held = held.select("rid", F.explode(_shingles("w", False)).alias("shingle"))
+    held = base.join(named, "rid", "left_semi")
+    held = held.select("rid", F.explode_outer(_shingles(F.col("text"), False)).alias("shingle"))
     # a shingle of many items or documents is met once per document and item
     shared = held.join(broadcast_rows(own.select("shingle", "item_id", "n_item")), "shingle").distinct()
     found = shared.groupBy("rid", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"))

@@ -14,11 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlab.llm.common import WORD, table, word_array
+from planlab.llm.common import WORD, table
 
 SAMPLE_ROWS = 2000  # rows that rank the rules
 SYMBOLS = "[#*$%&|<>]"
-BLANK = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -58,14 +57,20 @@ def _repeat_words() -> str:
     return _bound("bits", "CAST(ceil(log2(size(w) + 2)) AS INT)", inner)
 
 
+# SQL over `text`: its words, and its lines that have a word
+WORDS = "array_remove(split(coalesce(text, ''), r'[\\x20\\x09-\\x0D]+'), '')"
+LINES = "filter(split(coalesce(text, ''), '\\n'), x -> x RLIKE r'[^\\x20\\x09-\\x0D]')"
+
 # statistic -> (SQL over `text`, `w` (words) and other statistics, cost units per character and per word)
 STATISTICS = {
     "n_words": ("CAST(size(w) AS BIGINT)", 0.0, 0.1),
     "word_chars": ("CAST(length(array_join(w, '')) AS BIGINT)", 0.2, 0.5),
     "n_symbols": (f"CAST(coalesce(regexp_count(text, '{SYMBOLS}'), 0) AS BIGINT)", 1.0, 0.0),
     "capitals_only": (r"coalesce(text RLIKE '[A-Z]{2}' AND NOT text RLIKE '\\p{Ll}', false)", 0.02, 0.0),
-    "n_dup_lines": ("CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)", 0.6, 0.1),
-    "n_lines": ("CAST(size(lines) AS BIGINT)", 0.5, 0.0),
+    "n_dup_lines": (
+        _bound("lines", LINES, "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)"), 0.6, 0.1
+    ),
+    "n_lines": (f"CAST(size({LINES}) AS BIGINT)", 0.5, 0.0),
     "n_repeat_words": (_repeat_words(), 0.0, 12.0),
 }
 
@@ -85,19 +90,10 @@ def _sql(name: str) -> str:
     return STATISTICS[name][0]
 
 
-def _prepared(docs: DataFrame, needs: set[str]) -> DataFrame:
-    """Rows with the arrays the statistics read: ``w``, the words, and ``lines`` that have a word."""
-    df = docs.withColumn("w", word_array(F.col("text")))
-    if needs & {"n_dup_lines", "n_lines"}:
-        with_word = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")
-        df = df.withColumn("lines", with_word)
-    return df
-
-
 def statistics(docs: DataFrame, names: list[str]) -> DataFrame:
     """``doc_id, text`` rows with the named statistics; a null text counts as empty."""
     columns = ["doc_id", "text"]
-    df = _prepared(docs.select(*columns), set(names))
+    df = docs.select(*columns, F.expr(WORDS).alias("w"))
     return df.select(*columns, *[F.expr(_sql(n)).alias(n) for n in names])
 
 
@@ -143,16 +139,17 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, sample_rows
     """
     order = ranked(docs, rules, sample_rows)
     branches = " ".join(f"WHEN {_inlined(r)} THEN '{r.name}'" for r in order)
-    kept = [c for c in docs.columns if c != "rejected_by"]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "text")
-    needs = {u for r in rules for u in r.uses}
-    judged = _prepared(inner, needs).select("__row.*", F.expr(f"CASE {branches} END").alias("rejected_by"))
-    return judged
+    # the words are bound inside the one expression, so a filter on it may be moved anywhere
+    verdict = F.expr(_bound("w", WORDS, f"CASE {branches} END"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "rejected_by"]
+    return docs.select(*kept, verdict.alias("rejected_by"))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents no rule rejects, with the columns they came with."""
-    return verdicts(docs, rules, sample_rows).where(F.col("rejected_by").isNull()).select(*[f"`{c}`" for c in docs.columns])
+    order = ranked(docs, rules, sample_rows)
+    branches = " ".join(f"WHEN {_inlined(r)} THEN false" for r in order)
+    return docs.where(F.expr(_bound("w", WORDS, f"CASE {branches} ELSE true END")))
 
 
 def op10_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
@@ -164,8 +161,8 @@ def op10_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     order = ranked(docs, MORE)
     extra = sorted({u for r in MORE for u in r.uses} - set(base))
-    df = _prepared(docs, set(base) | set(extra))
-    df = df.select("doc_id", "text", "w", "lines", *[F.expr(_sql(n)).alias(n) for n in base])
+    df = docs.select("doc_id", "text", F.expr(WORDS).alias("w"))
+    df = df.select("doc_id", "text", "w", *[F.expr(_sql(n)).alias(n) for n in base])
     failed = F.expr(" OR ".join(f"({r.reject})" for r in BASE))
     inline = []
     for rule in order:
