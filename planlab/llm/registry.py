@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from planlab.llm import language, leaks, mixing, near, quality, rules, substrings, urls
+from planlab.llm import chats, language, leaks, licences, mixing, near, quality, rules, substrings, urls
 
 QUERIES = {
     "op1_url_filters": (urls.op1_url_filters, urls.OP1_SQL),
+    "op2_preferences": (chats.op2_preferences, None),
     "op3_substring_dedup": (substrings.op3_substring_dedup, None),
     "op4_decontamination": (leaks.op4_decontamination, None),
     "op5_language_scores": (language.op5_language_scores, None),
+    "op6_licence_scan": (licences.op6_licence_scan, None),
     "op7_quality_classifier": (quality.op7_quality_classifier, None),
     "op8_near_duplicates": (near.op8_near_duplicates, None),
     "op9_mixing": (mixing.op9_mixing, None),
