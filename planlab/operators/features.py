@@ -15,11 +15,15 @@ from planlab.session import broadcast_if_small, checkpointed
 PERCENTILES = [0.1, 0.5, 0.9]
 
 
+FIXED_SIZE = ("nation", "region")  # tables that hold the same rows at every data size
+
+
 def scaled_cardinalities(counts: DataFrame, factors: dict[str, float]) -> DataFrame:
     """Row counts of the tables at several data sizes: ``data_id, table_name, rows``."""
     sizes = F.array(*[F.struct(F.lit(d).alias("data_id"), F.lit(float(f)).alias("f")) for d, f in factors.items()])
     long = counts.select("table_name", "row_count", F.explode(sizes).alias("s"))
-    return long.select("s.data_id", "table_name", (F.col("row_count") * F.col("s.f")).alias("rows"))
+    factor = F.when(F.col("table_name").isin(*FIXED_SIZE), F.lit(1.0)).otherwise(F.col("s.f"))
+    return long.select("s.data_id", "table_name", (F.col("row_count") * factor).alias("rows"))
 
 
 def for_sizes(df: DataFrame, data_ids: list[str]) -> DataFrame:
@@ -169,7 +173,7 @@ def describe(df: DataFrame, keys: list[str], value: str, percentiles=PERCENTILES
 def ordered_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of two per-group tables; without keys both are one row."""
     if keys:
-        return a.join(b, keys, "left")
+        return ordered.null_safe(a, b, keys, "left")
     return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
 
 

@@ -19,10 +19,12 @@ from math import gcd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planlab.session import parts_of
 
 MICRO = 1_000_000
+SAMPLED = 4096  # values of a hot group that place its cuts along a text column
 HOT_ROWS = 1_000_000  # a group this small is one task's work whatever its share
 
 
@@ -88,16 +90,21 @@ def _cut_points(df: DataFrame, by: list[str], value: str, parts: int, hot: list)
         rows = null_safe(df.select(*by, value), F.broadcast(known), by, "inner")
     else:
         rows = df.select(value, F.lit(float(parts)).alias("__share"))
-    cut = rows.groupBy(*by).agg(
-        F.percentile_approx(value, grid, 10 * fine).alias("__grid"), F.max("__share").alias("__share")
-    )
+    if isinstance(df.schema[value].dataType, (T.StringType, T.BinaryType)):
+        # no quantile summary orders text: a sample by hash of about SAMPLED values a group does
+        every = max(1, sum(r["__n"] for r in hot) // (SAMPLED * len(hot)))
+        rows = rows.where(F.pmod(F.xxhash64(value), F.lit(every)) == 0)
+        grid_of, size = F.sort_array(F.collect_set(value)), F.size("__grid")
+    else:
+        grid_of, size = F.percentile_approx(value, grid, 10 * fine), F.lit(fine)
+    cut = rows.groupBy(*by).agg(grid_of.alias("__grid"), F.max("__share").alias("__share"))
     pieces = F.least(F.lit(fine), F.ceil("__share").cast("int") + 1)
     picked = F.transform(
         F.sequence(F.lit(1), pieces - 1),
-        lambda i: F.get(F.col("__grid"), F.floor(i * F.lit(fine) / pieces).cast("int") - 1),
+        lambda i: F.get(F.col("__grid"), F.floor(i * size / pieces).cast("int") - 1),
     )
     cut = cut.where(F.col("__grid").isNotNull()).select(
-        *by, F.array_sort(F.array_distinct(picked)).alias("__cuts")
+        *by, F.array_sort(F.array_distinct(F.filter(picked, lambda c: c.isNotNull()))).alias("__cuts")
     )
     return spark.createDataFrame(cut.collect(), cut.schema)
 
@@ -105,23 +112,10 @@ def _cut_points(df: DataFrame, by: list[str], value: str, parts: int, hot: list)
 def hot_join(fact: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", parts: int | None = None) -> DataFrame:
     """Join many rows per key with one row per key, whatever share of the rows a key holds.
 
-    ``side`` has at most one row per key, so the rows it has for the fewer than ``parts`` hot
-    keys are few enough to broadcast; all other keys take the planner's shuffle join. ``how`` is
-    ``inner``, ``left`` or ``left_semi``.
+    ``side`` has at most one row per key, so a hot key is hot in ``fact`` only, and adaptive
+    execution splits the fact side's large partitions of a shuffle join. Nothing runs while the plan is built.
     """
-    parts = parts or parts_of(fact.sparkSession)
-    hot, _ = _hot(fact, keys, parts, None)
-    hot = [r for r in hot if all(r[k] is not None for k in keys)]  # null keys never match
-    if not hot:
-        return fact.join(side, keys, how)
-    listed = fact.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], fact.select(*keys).schema)
-    listed = F.broadcast(listed)
-    few = F.broadcast(side.join(listed, keys, "left_semi"))
-    return (
-        fact.join(listed, keys, "left_anti")
-        .join(side, keys, how)
-        .unionByName(fact.join(listed, keys, "left_semi").join(few, keys, how))
-    )
+    return fact.join(side, keys, how)
 
 
 @dataclass

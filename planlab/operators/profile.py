@@ -63,7 +63,7 @@ def token_share(df: DataFrame, column: str, sep: str = ",") -> DataFrame:
     texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__text")).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    words = F.array_distinct(F.split("__text", sep))
+    words = F.array_distinct(F.split("__text", rf"\Q{sep}\E"))
     long = texts.select("__text", "__n", F.explode(words).alias("__word")).where("__word <> ''")
     vocabulary = long.select("__word").distinct()
     starts = F.sequence(F.lit(1), F.length("__word"))

@@ -76,19 +76,16 @@ def join_keep_right(left: DataFrame, right: DataFrame, left_key: str, right_key:
     matches = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias(right_key)).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    return _repeated(ordered.hot_join(right, matches, [right_key])).select(*right.columns)
+    return _repeated(ordered.hot_join(right, matches, [right_key]), right_key).select(*right.columns)
 
 
-def _repeated(df: DataFrame) -> DataFrame:
-    """Each row ``__n`` times. Counts above REPEAT are dealt out in pieces of REPEAT over the
-    cluster, so that no task writes all copies of a hot key."""
+def _repeated(df: DataFrame, key: str) -> DataFrame:
+    """Each row ``__n`` times, in pieces of at most REPEAT that are dealt out by key and piece, so no
+    task writes all copies of a hot key. The input is read once, so chained joins stay a chain."""
     pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / REPEAT)))
-    many = df.where(F.col("__n") > REPEAT).withColumn("__piece", pieces)
-    many = many.repartition("__piece").withColumn(
-        "__n", F.least(F.lit(REPEAT), F.col("__n") - F.col("__piece") * REPEAT)
-    )
-    every = df.where(F.col("__n") <= REPEAT).unionByName(many.drop("__piece"))
-    return every.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))
+    many = df.withColumn("__piece", pieces).repartition(key, "__piece")
+    copies = F.least(F.lit(REPEAT), F.col("__n") - F.col("__piece") * REPEAT).cast("int")
+    return many.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
 
 
 def join_tiny(left: DataFrame, tiny: DataFrame, on: Column, how: str = "inner") -> DataFrame:
@@ -111,14 +108,14 @@ def lookup_filter(df: DataFrame, lookup: DataFrame, key: str, keep: Column) -> D
     return ordered.hot_join(df, lookup, [key]).where(keep).select(*df.columns)
 
 
-def with_other(df: DataFrame, key: str, value: str, flag: Column | None = None) -> DataFrame:
+def with_other(df: DataFrame, key: str, value: str, flag: Column | None = None, how: str = "inner") -> DataFrame:
     """Rows beside the least and greatest ``value`` among the (flagged) rows of their key.
 
     That is enough for EXISTS tests with ``value <> value``, without pairing rows of a key.
     """
     cell = F.col(value) if flag is None else F.when(flag, F.col(value))
     side = df.groupBy(key).agg(F.min(cell).alias("__lo"), F.max(cell).alias("__hi"))
-    return ordered.hot_join(df, side, [key])
+    return ordered.hot_join(df, side, [key], how)
 
 
 def exists_other(df: DataFrame, key: str, value: str, flag: Column | None = None) -> DataFrame:
@@ -128,9 +125,12 @@ def exists_other(df: DataFrame, key: str, value: str, flag: Column | None = None
 
 
 def not_exists_other(df: DataFrame, key: str, value: str, flag: Column | None = None) -> DataFrame:
-    """Rows whose key occurs with no different ``value`` (in a flagged row)."""
-    alone = F.col("__lo").isNull() | ((F.col("__lo") == F.col(value)) & (F.col("__hi") == F.col(value)))
-    return with_other(df, key, value, flag).where(alone).select(*df.columns)
+    """Rows whose key occurs with no different ``value`` (in a flagged row).
+
+    A null key or value differs from nothing, so such rows stay, as with NOT EXISTS.
+    """
+    alone = F.col("__lo").isNull() | F.col(value).isNull() | ((F.col("__lo") == F.col(value)) & (F.col("__hi") == F.col(value)))
+    return with_other(df, key, value, flag, "left").where(alone).select(*df.columns)
 
 
 def not_in(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def uniform_sample_grouped(df: DataFrame, row_id: str, value: str, by: str, rati
     scaled = ordered.hot_join(df, stats, [by]).withColumn("__norm", F.col(value) / F.col("__max"))
     spread = scaled.groupBy(by).agg(
         F.min("__norm").alias("low"),
-        ((F.max("__norm") - F.min("__norm")) / F.floor(F.max("__n") * F.lit(ratio))).alias("step"),
+        ((F.max("__norm") - F.min("__norm")) / F.greatest(F.lit(1), F.floor(F.max("__n") * F.lit(ratio)))).alias("step"),
     )
     runs = value_runs(scaled, [by], "__norm").join(spread, by)
     taken = _walk(runs, [by], F.col("step"))
