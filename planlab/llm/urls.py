@@ -121,7 +121,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, rule
 
         def merged(key, pages_, rules_):  # one range of keys and its rules
             fixed = list(zip(*[rules_.column(c).to_pylist() for c in ("key", "path", "rule", "verdict")]))
-            return pa.Table.from_batches(_judge(iter(pages_.combine_chunks().to_batches()), fixed, default), wanted)
+            judged = list(_judge(iter(pages_.combine_chunks().to_batches()), fixed, default))
+            return pa.Table.from_batches(judged).cast(wanted) if judged else wanted.empty_table()
 
         judged = left.groupBy("__part").cogroup(right.groupBy("__part")).applyInArrow(merged, out)
     return judged.select("row.*", "rule", "verdict")
