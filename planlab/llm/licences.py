@@ -64,13 +64,11 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     # a row is known by what it holds; rows that agree share the lines found
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("t"), text.alias("text"))
-    longest = known.agg(F.max(F.length("text"))).first()[0] or 0
-    # lines far longer than any known text cannot be one (spellings and punctuation at most double it)
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 2) & (F.length(x) <= 4 * longest + 200))
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     lines = rows.select("t", F.explode_outer(lines).alias("line")).where("line IS NOT NULL")
     met = lines.select("t", digest(F.col("line")).alias("d")).join(lookup, "d")
     per = met.groupBy("t").agg(F.array_sort(F.collect_set("licence")).alias("line_licences"))
-    whole = rows.select("doc_id", "t", F.when(F.length("text") <= 4 * longest + 200, digest(F.col("text"))).alias("d"))
+    whole = rows.select("doc_id", "t", digest(F.col("text")).alias("d"))
     out = whole.join(lookup, "d", "left").join(per, "t", "left")
     return out.select("doc_id", "licence", F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences"))
 
