@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.llm.common import parts_of, table
+from planlab.llm.pipeline import written
 from planlab.llm.tokens import U, mix64, pieces
-from planlab.session import checkpointed, estimated_bytes
+from planlab.session import estimated_bytes
 
 CLASSES = 32
 ROUNDS = 4
@@ -170,9 +171,9 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), F.lit(blocks)).alias("block"),
     )
-    words = checkpointed(rows.groupBy("block").applyInArrow(_block_words, "block long, h long, n long"))
+    words = written(rows.groupBy("block").applyInArrow(_block_words, "block long, h long, n long"), "words", "zstd")
     texts = rows.where(~F.col("held_out")).count()
-    counts = checkpointed(words.groupBy("h").agg(F.sum("n").alias("c")))
+    counts = written(words.groupBy("h").agg(F.sum("n").alias("c")), "counts", "zstd")
     found = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, kinds = (found["n"] or 0) + texts, found["v"] + (texts > 0)
     often = counts.where(F.col("c") >= max(2.0, FREQUENT * total)).select("h")  # at most 1 / FREQUENT rows
@@ -183,7 +184,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         return _encode(data, vocabulary, units, total, kinds, texts)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary"
-    codes = checkpointed(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encoded, schema))
+    codes = written(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encoded, schema), "codes", "zstd")
     train = codes.where(~F.col("held_out")).select("codes")
     size = len(units) + SUFFIXES + 1
     seeds = np.arange(size, dtype=np.uint64)

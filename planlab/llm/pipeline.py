@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from planlab.session import checkpointed
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a stage as Parquet below ``spark.checkpoint.dir`` and read it again."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         checkpointed(spark.range(1))  # sets the folder the session names
     path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.parquet(path)
