@@ -257,20 +257,31 @@ def sweep(
 def polynomial_ridge(train: DataFrame, test: DataFrame, feature: str, label: str, degree: int = 5, alpha: float = 1.0) -> DataFrame:
     """Polynomial ridge baseline on one feature; adds ``prediction`` to test.
 
-    MLlib divides the squared error by twice the number of rows, hence ``alpha / n``.
+    Least squares on the centred powers plus ``alpha`` times the squared coefficients, intercept unpenalised. Two
+    passes of plain sums, the means and then the centred products, so only a matrix of the degree reaches the
+    driver. Rows without feature or label are left out; without any the prediction is null.
     """
-    from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    def expand(df):
-        rows = VectorAssembler(inputCols=[feature], outputCol="__x").transform(df)
-        return PolynomialExpansion(degree=degree, inputCol="__x", outputCol="__poly").transform(rows).drop("__x")
-
-    n = train.count()
-    model = LinearRegression(
-        featuresCol="__poly", labelCol=label, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal"
-    ).fit(expand(train))
-    return model.transform(expand(test)).drop("__poly")
+
+    def powers() -> list[Column]:
+        return [F.pow(F.col(feature).cast("double"), F.lit(float(i))) for i in range(1, degree + 1)]
+
+    known = train.where(F.col(feature).isNotNull() & F.col(label).isNotNull())
+    y = F.col(label).cast("double")
+    means = known.agg(*[F.avg(p) for p in powers()], F.avg(y)).first()
+    if means[degree] is None:
+        return test.withColumn("prediction", F.lit(None).cast("double"))
+    gaps = [p - float(m) for p, m in zip([*powers(), y], means)]
+    pairs = [(i, j) for i in range(degree) for j in range(i, degree + 1)]
+    gram = np.zeros((degree, degree + 1))
+    for (i, j), v in zip(pairs, known.agg(*[F.sum(gaps[i] * gaps[j]) for i, j in pairs]).first()):
+        gram[i, j] = v
+        if j < degree:
+            gram[j, i] = v
+    system = gram[:, :degree] + alpha * np.eye(degree)
+    scale = 1 / np.sqrt(np.diag(system))  # powers differ by many orders of magnitude
+    beta = scale * np.linalg.lstsq(system * np.outer(scale, scale), scale * gram[:, degree], rcond=None)[0]
+    terms = [float(b) * (p - float(m)) for b, p, m in zip(beta, powers(), means)]
+    return test.withColumn("prediction", sum(terms, F.lit(float(means[degree]))))
 
 
 def prefix_baseline(df: DataFrame, row_id: str, feature: str, label: str, sizes: list[int], degree: int = 5) -> DataFrame:

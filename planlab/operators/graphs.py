@@ -154,16 +154,18 @@ def sinks(nodes: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame
     return nodes.select(key, "id").join(edges.select(key, F.col("src").alias("id")), [key, "id"], "left_anti")
 
 
-def longest_path(nodes: DataFrame, edges: DataFrame, key: str = "plan_id", max_rounds: int = 10_000) -> DataFrame:
+def longest_path(nodes: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame:
     """Number of edges on the longest path of each acyclic plan.
 
     Round i holds the nodes some path of exactly i edges ends in; a plan's answer is the last
-    round it appears in.
+    round it appears in. No path has more edges than its plan has nodes that edges lead to; a longer one is
+    a cycle and refused.
     """
     edges = checkpointed(edges.select(key, "src", "dst"))
+    most = edges.select(key, "dst").distinct().groupBy(key).count().agg(F.max("count")).first()[0] or 0
     frontier = nodes.select(key, "id").distinct()
     reached = [frontier.select(key).distinct().withColumn("length", F.lit(0))]
-    for length in range(1, max_rounds + 1):
+    for length in range(1, most + 2):
         frontier = (
             edges.join(frontier.withColumnRenamed("id", "src"), [key, "src"], "left_semi")
             .select(key, F.col("dst").alias("id"))
@@ -175,7 +177,7 @@ def longest_path(nodes: DataFrame, edges: DataFrame, key: str = "plan_id", max_r
         reached.append(frontier.select(key).distinct().withColumn("length", F.lit(length)))
         if len(reached) > 16:  # keep the plan small on deep graphs
             reached = [checkpointed(stack(reached).groupBy(key).agg(F.max("length").alias("length")))]
-    raise ValueError("plan deeper than max_rounds, or not acyclic")
+    raise ValueError("a plan is not acyclic")
 
 
 def reachable(start: DataFrame, edges: DataFrame, key: str = "plan_id", direction: str = "children") -> DataFrame:

@@ -11,8 +11,6 @@ from planlab.functions.scalars import draw, hash_rank
 from planlab.operators import ordered
 from planlab.session import broadcast_if_small, checkpointed
 
-STEP_BATCH = 40
-
 
 def seeded_sample(df: DataFrame, row_id: str, k: int, seed: int = 42) -> DataFrame:
     """``k`` rows chosen by a seeded hash of their id; the same rows on any cluster."""
@@ -82,37 +80,38 @@ def _rows_taken(df: DataFrame, keys: list[str], value: str, row_id: str, taken:
     return picked.unionByName(last.select(*keys, row_id)).distinct()
 
 
-def uniform_sample(
-    df: DataFrame, row_id: str, value: str, k: int, shrink: float = 0.01, max_steps: int = 2000
-) -> DataFrame:
+def uniform_sample(df: DataFrame, row_id: str, value: str, k: int, shrink: float = 0.01) -> DataFrame:
     """Ids of rows spread evenly over the range of ``value``.
 
     Walks sorted values with thresholds ``(max - min) / k`` apart, shrinking the step by
     ``shrink`` until at least ``k`` rows are taken; the last row always belongs to the sample.
-    How many rows a step takes is one minimum over the distinct values, so a batch of steps is
-    tried in one aggregation; only the chosen step is walked. Asking for at least as many rows
-    as there are gives all rows.
+    A step is small enough when every value has met ``upto - (total - k + 2)`` thresholds, so the
+    greatest such step is one minimum and the number of shrinks its logarithm; only the chosen step is
+    walked. Infinite values and NaN count as missing. Asking for at least as many rows as there
+    are gives all rows; so many ties at the least value that no step does raises.
     """
+    df = df.withColumn(value, F.when(F.abs(value) < F.lit(math.inf), F.col(value)))
     runs = checkpointed(value_runs(df, [], value))
     total, low, high = runs.agg(F.sum("c"), F.min("v"), F.max("v")).first()
     if total is None or k >= total:
         return df.select(row_id)
     runs = runs.withColumn("low", F.lit(low))
-    step, chosen = (high - low) / k, None
+    step = (high - low) / k
     if step == 0:
         return _rows_taken(df, [], value, row_id, runs.select("v", F.lit(1).alias("take")))
-    for _ in range(0, max_steps, STEP_BATCH):
-        steps = [step]
-        for _ in range(STEP_BATCH):
-            steps.append(steps[-1] - shrink * steps[-1])
-        least = runs.agg(*[F.min(_threshold(s) - F.col("upto")) for s in steps[:-1]]).first()
-        fits = [s for s, m in zip(steps, least) if total + min(0, m) + 1 >= k]
-        if fits:
-            chosen = fits[0]
-            break
-        step = steps[-1]
-    if chosen is None:
-        raise ValueError(f"ties leave fewer than {k} rows after {max_steps} steps")
+    needed = F.col("upto") - F.lit(total - k + 2)
+    gap = (F.col("v") - F.col("low")).cast("double")
+    fit = runs.agg(F.min(F.when(needed > 0, gap / needed))).first()[0]
+    if fit == 0:
+        raise ValueError(f"ties at the least value leave fewer than {k} rows at any step")
+    shrinks = 0 if fit is None else max(0, math.ceil(math.log(fit / float(step)) / math.log1p(-shrink)) - 1)
+    for _ in range(shrinks):
+        step = step - shrink * step
+    steps = [step]  # rounding moves the answer by one shrink at most
+    for _ in range(3):
+        steps.append(steps[-1] - shrink * steps[-1])
+    least = runs.agg(*[F.min(_threshold(s) - F.col("upto")) for s in steps]).first()
+    chosen = next(s for s, m in zip(steps, least) if total + min(0, m) + 1 >= k)
     return _rows_taken(df, [], value, row_id, _walk(runs, [], chosen))
 
 

@@ -29,7 +29,7 @@ def test_cycle_is_refused(spark):
     edges = spark.createDataFrame([("c", 1, 2), ("c", 2, 1)], "plan_id string, src int, dst int")
     nodes = spark.createDataFrame([("c", 1), ("c", 2)], "plan_id string, id int")
     with pytest.raises(ValueError):
-        graphs.longest_path(nodes, edges, max_rounds=4)
+        graphs.longest_path(nodes, edges)
 
 
 def test_relatives_and_transitions(diamond):

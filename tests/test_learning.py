@@ -22,6 +22,18 @@ def test_hc3_matches_matrix_form(spark):
     assert [r["std_error"] for r in got] == pytest.approx(np.sqrt(np.diag(cov)))
 
 
+def test_ridge_matches_closed_form(spark):
+    rng = np.random.RandomState(8)
+    x = rng.rand(60) * 3
+    y = 5 * x - x**3 + 4 * rng.randn(60)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (2.0, None)], "x double, y double")
+    got = [r["prediction"] for r in evaluate.polynomial_ridge(df, df.where("x IS NOT NULL AND y IS NOT NULL"), "x", "y", 4).collect()]
+    z = np.stack([x**i for i in range(1, 5)], axis=1)
+    z -= z.mean(axis=0)
+    beta = np.linalg.lstsq(np.r_[z, np.eye(4)], np.r_[y - y.mean(), np.zeros(4)], rcond=None)[0]
+    assert got == pytest.approx(list(y.mean() + z @ beta), rel=1e-7)
+
+
 def test_grid_and_folds(spark):
     assert evaluate.grid([10], [10, 50, 500]) == [(10, 10), (10, 30)]
     sizes = evaluate.with_folds(spark.range(11), "id", 3).groupBy("fold").agg(F.count("*").alias("n"), F.min("id").alias("a")).orderBy("fold")

@@ -1,26 +1,27 @@
-"""Threshold walk against the sequential loop, weighted percentile facts, stable samples."""
+"""Threshold walk by its stated properties, weighted percentile facts, stable samples."""
 
 import random
 
+import numpy as np
 import pytest
 
 from planlab.operators import sampling
 
 
-def walk(values, k):
-    """Ids taken by the sequential rule over (value, id) order."""
-    rows = sorted(values)
-    low, high = rows[0][0], rows[-1][0]
-    step = (high - low) / k
-    while True:
-        threshold, taken = low, []
-        for v, i in rows:
-            if v >= threshold:
-                taken.append(i)
-                threshold += step
-        if len(taken) + 1 >= k:
-            return set(taken) | {rows[-1][1]}
-        step -= 0.01 * step
+def thresholds_met(data, step):
+    """Rows a walk with this step can hold at most: every value allows as many as the thresholds up to it."""
+    values = np.sort([v for v, _ in data])
+    upto = np.searchsorted(values, values, side="right")
+    slack = np.floor((values - values[0]) / step) + 1 - upto
+    return len(values) + min(0, slack.min())
+
+
+def is_walk(data, taken, step):
+    """A row is taken exactly when its value has met the threshold of its place among the taken."""
+    rows = sorted(data)
+    before = np.cumsum([0] + [i in taken for _, i in rows[:-1]])
+    met = [v >= rows[0][0] + n * step - 1e-9 for (v, _), n in zip(rows, before)]
+    return all(m == (i in taken) for m, (_, i) in zip(met[:-1], rows)) and rows[-1][1] in taken
 
 
 @pytest.mark.parametrize("seed,spread,k", [(1, 40, 8), (2, 1000, 10), (3, 64, 16)])
@@ -29,10 +30,23 @@ def test_walk(spark, cut_everything, seed, spread, k):
     data = [(float(rng.randint(0, spread)), i) for i in range(120)] + [(0.0, 120), (float(spread), 121)]
     df = spark.createDataFrame(data, "v double, id long")
     got = {r["id"] for r in sampling.uniform_sample(df, "id", "v", k).collect()}
-    assert got == walk(data, k)
+    steps = spread / k * 0.99 ** np.arange(500)
+    first = next(j for j, s in enumerate(steps) if thresholds_met(data, s) + 1 >= k)
+    assert is_walk(data, got, steps[first])
     assert len(got) >= k - 1
 
 
+def test_walk_shrinks_as_far_as_ties_ask(spark):
+    # 44 rows within a millionth of the range: the step must fall by six orders of magnitude
+    data = [(i * 1e-9, i) for i in range(50)] + [(1.0, 50)]
+    df = spark.createDataFrame([*data, (float("-inf"), 51), (None, 52)], "v double, id long")
+    got = {r["id"] for r in sampling.uniform_sample(df, "id", "v", 45).collect()}
+    assert 44 <= len(got) <= 51 and got <= set(range(51)) and {0, 50} <= got
+    tied = spark.createDataFrame([(0.0, i) for i in range(50)] + [(1.0, 50)], "v double, id long")
+    with pytest.raises(ValueError, match="ties"):
+        sampling.uniform_sample(tied, "id", "v", 45)
+
+
 def test_walk_wants_more_than_there_is(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 2)], "v double, id long")
     assert sampling.uniform_sample(df, "id", "v", 5).count() == 2
