@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.llm.common import keyed, table, unkeyed
+from planlab.llm.pipeline import written
 from planlab.llm.tokens import U, Piece, mix64, pieces, window_hashes
-from planlab.session import checkpointed
 
 WINDOW = 20
 ROUNDS = 5
@@ -310,8 +310,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
     symbols = base.mapInArrow(lambda it: _symbol_rows(it, width), "name long, more int, rid long, at int")
     found = symbols.groupBy("name", "more").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("p"))
     # a whole text's name is listed at its first text; a symbol where it occurs once
-    once = found.where((F.col("c") == 1) | (F.col("p.at") == WHOLE)).groupBy("p.rid").agg(F.collect_list("p.at").alias("once"))
-    once = checkpointed(once)
+    once = found.where((F.col("c") == 1) | (F.col("p.at") == WHOLE)).groupBy("p.rid").agg(F.sort_array(F.collect_list("p.at")).alias("once"))
+    # sorted lists in a compressed table take a fraction of a checkpoint; the hint keeps one plan at every size
+    once = written(once, "once", "zstd").hint("merge")
     judged = base.join(once, "rid", "left")
     windows = judged.mapInArrow(lambda it: _window_rows(it, width), "name long, more int, rid long, at int")
     first = windows.groupBy("name", "more").agg(F.min(F.struct("rid", "at")).alias("p"))
