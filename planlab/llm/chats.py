@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.llm.common import table
-from planlab.session import checkpointed
+from planlab.llm.pipeline import written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"  # fixed values of a public chat format
 ANSWERS = "assistant"
@@ -35,7 +35,7 @@ def best_and_rest(convs: DataFrame) -> DataFrame:
     size = F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + F.when(t["role"] == ANSWERS, F.length(t["text"])).otherwise(0))
     first = F.col("turns")[0]
     rows = convs.select("conv_id", F.sha2(F.concat_ws("\x00", first["role"], first["text"]), 256).alias("o"), size.alias("size"))
-    rows = checkpointed(rows)
+    rows = written(rows, "openings", "zstd")
     best = rows.groupBy("o").agg(F.max(F.struct("size", (-F.col("conv_id")).alias("minus"))).alias("b"), F.count(F.lit(1)).alias("n"))
     best = best.select("o", (-F.col("b.minus")).alias("chosen_id"), "n")
     met = rows.join(best, "o")
@@ -66,11 +66,12 @@ def preferences(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     chosen one's last assistant turn (all turns if it has none) and ``rejected`` is null. Equal conversations are
     wholly common and have empty completions. Pairs that name an unknown chosen conversation are left out.
     """
-    convs = checkpointed(conversations(turns))
+    # a compressed table takes a fraction of a checkpoint; the hint keeps one plan at every size
+    convs = written(conversations(turns), "conversations", "zstd")
     pairs = best_and_rest(convs) if pairs is None else pairs.select("chosen_id", "rejected_id")
     left = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
     right = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
-    both = pairs.join(right, "rejected_id", "left").join(left, "chosen_id")
+    both = pairs.join(right.hint("merge"), "rejected_id", "left").join(left.hint("merge"), "chosen_id")
     differ = F.array_position(
         F.zip_with("a", "b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False))), F.lit(False)
     ).cast("int")
