@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.llm import leaks, mixing, near, rules, substrings
-from planlab.llm.common import keyed, table
+from planlab.llm.common import free_name, table
 from planlab.llm.pipeline import written
 
 NEAR_PERCENT = 80
@@ -24,25 +24,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id."""
-    found = near.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    first = docs.dropDuplicates(["doc_id", "text"]) if keyed(docs)[1] is not None else docs
-    return first.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti")
+    return near.without_copies(docs, percent=NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated passages cut out of the text; texts without one stay as they are, and
     a document of which nothing is left goes."""
-    cut = substrings.remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__id"), "kept_text").dropDuplicates(["__id"])
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    new = F.coalesce("kept_text", "text")
+    kept = free_name(docs, "__kept")
+    joined = substrings.cut_texts(docs, kept)
+    new = F.coalesce(kept, "text")
     columns = [
-        new.alias(c) if c == "text" else F.when(F.col("kept_text").isNull(), F.col(c)).otherwise(F.length("kept_text")).cast(t).alias(c)
+        new.alias(c) if c == "text" else F.when(F.col(kept).isNull(), F.col(c)).otherwise(F.length(kept)).cast(t).alias(c)
         if c == "n_chars" else F.col(c)
         for c, t in docs.dtypes
     ]
-    return joined.where(F.coalesce(F.col("kept_text") != "", F.lit(True))).select(*columns)
+    return joined.where(F.coalesce(F.col(kept) != "", F.lit(True))).select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

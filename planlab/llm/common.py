@@ -55,6 +55,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; a null text is told from an empty one."""
+    return F.sha2(F.coalesce(F.concat(F.lit("t"), text.cast("string")), F.lit("")), 256)
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Documents as ``rid, text`` with one row per distinct (doc_id, text), and the way back.
 
@@ -67,7 +72,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     repeated = ids.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
     if repeated.limit(1).count() == 0:
         return ids.withColumnRenamed("doc_id", "rid"), None
-    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
+    digest = text_digest(F.col("text"))
     # first(text) is the same for each row of a digest, so a lost task may be run again
     pairs = ids.withColumn("digest", digest).groupBy("doc_id", "digest").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
@@ -86,5 +91,18 @@ def unkeyed(result: DataFrame, back: DataFrame | None) -> DataFrame:
     return wide.select("doc_id", *[c for c in result.columns if c != "rid"])
 
 
+def joined_back(docs: DataFrame, verdicts: DataFrame, back: DataFrame | None, how: str) -> DataFrame:
+    """``docs`` joined with rows keyed by ``rid``, each row with the verdict of its own (doc_id, text).
+
+    ``back`` is the way back that ``keyed(docs)`` gave. The other columns of ``verdicts`` must be new to ``docs``.
+    """
+    rid, mark = free_name(docs, "__rid"), free_name(docs, "__digest")
+    if back is None:
+        return docs.join(verdicts.withColumnRenamed("rid", rid), F.col("doc_id").cast("bigint") == F.col(rid), how).drop(rid)
+    names = back.select("rid", F.col("doc_id").alias(rid), F.col("digest").alias(mark))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(rid)) & (text_digest(F.col("text")) == F.col(mark))
+    return docs.join(verdicts.join(names, "rid").drop("rid"), same, how).drop(rid, mark)
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType.fromDDL(schema))

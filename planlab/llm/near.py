@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planlab.llm.common import broadcast_rows, keyed, table, unkeyed
+from planlab.llm.common import broadcast_rows, joined_back, keyed, table, unkeyed
 from planlab.llm.components import components
 from planlab.llm.tokens import U, mix64, pieces, shingle_sets
 from planlab.session import checkpointed
@@ -203,6 +203,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     same result; other rows that share a doc_id are judged one by one. An empty table gives none.
     """
     base, back = keyed(docs)
+    result = _judged(base, percent, width)
+    kept = (F.col("rid") == F.col("__c")).alias("kept")
+    if back is None:
+        return result.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("__c").alias("component_id"), kept)
+    names = back.select(F.col("rid").alias("__c"), F.col("doc_id").alias("component_id"))
+    result = result.join(names, "__c", "left").select("rid", "n_shingles", "component_id", kept)
+    return unkeyed(result, back)
+
+
+def without_copies(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they came; of rows that repeat doc_id and text, one."""
+    base, back = keyed(docs)
+    dropped = _judged(base, percent, width).where("rid <> __c").select("rid")
+    first = docs if back is None else docs.dropDuplicates(["doc_id", "text"])
+    return joined_back(first, dropped, back, "left_anti")
+
+
+def _judged(base: DataFrame, percent: int, width: int) -> DataFrame:
+    """``rid, n_shingles, __c`` of every row of ``base`` (rid, text): the least rid of its component."""
     most, chunks = limits(percent / 100.0)
     marks = base.mapInArrow(
         lambda it: _features(it, width), "rid long, n_shingles long, digest binary, signature binary"
@@ -242,16 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     named = components(links).withColumnRenamed("node", "rid")
     reps = classes.select("digest", "rid").join(named, "rid", "left")
     reps = reps.select("digest", F.coalesce("component", "rid").alias("__c"))
-    result = marks.join(reps, "digest", "left").select("rid", "n_shingles", F.coalesce("__c", "rid").alias("__c"))
-    if back is None:
-        return result.select(
-            F.col("rid").alias("doc_id"), "n_shingles", F.col("__c").alias("component_id"), (F.col("rid") == F.col("__c")).alias("kept")
-        )
-    names = back.select(F.col("rid").alias("__c"), F.col("doc_id").alias("component_id"))
-    result = result.join(names, "__c", "left").select(
-        "rid", "n_shingles", "component_id", (F.col("rid") == F.col("__c")).alias("kept")
-    )
-    return unkeyed(result, back)
+    return marks.join(reps, "digest", "left").select("rid", "n_shingles", F.coalesce("__c", "rid").alias("__c"))
 
 
 def op8_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:

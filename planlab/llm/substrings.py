@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlab.llm.common import keyed, table, unkeyed
+from planlab.llm.common import joined_back, keyed, table, unkeyed
 from planlab.llm.pipeline import written
 from planlab.llm.tokens import U, Piece, mix64, pieces, window_hashes
 
@@ -306,6 +306,18 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
     share a doc_id are ordered by a digest; rows that repeat doc_id and text count as one text and get the same result.
     """
     base, back = keyed(docs)
+    return unkeyed(_judged(base, width, texts), back)
+
+
+def cut_texts(docs: DataFrame, name: str, width: int = WINDOW) -> DataFrame:
+    """``docs`` with a column ``name`` more: the kept words of each row's text, null where nothing was removed."""
+    base, back = keyed(docs)
+    cut = _judged(base, width, True).where("n_removed > 0").select("rid", F.col("kept_text").alias(name))
+    return joined_back(docs, cut, back, "left")
+
+
+def _judged(base: DataFrame, width: int, texts: bool) -> DataFrame:
+    """The columns of ``remove_repeats`` by ``rid`` for every row of ``base`` (rid, text)."""
     base = base.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     symbols = base.mapInArrow(lambda it: _symbol_rows(it, width), "name long, more int, rid long, at int")
     found = symbols.groupBy("name", "more").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("p"))
@@ -318,8 +330,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
     first = windows.groupBy("name", "more").agg(F.min(F.struct("rid", "at")).alias("p"))
     firsts = first.groupBy("p.rid").agg(F.collect_list("p.at").alias("firsts"))
     schema = "rid long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    result = judged.join(firsts, "rid", "left").mapInArrow(lambda it: _removed(it, width, texts), schema)
-    return unkeyed(result, back)
+    return judged.join(firsts, "rid", "left").mapInArrow(lambda it: _removed(it, width, texts), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
