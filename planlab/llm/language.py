@@ -2,13 +2,14 @@
 
 P(word | before) = (1 - MIX) * P(class(word) | class(before)) * P(word | class(word)) + MIX * P_base(word), where
 P_base is the add-one unigram over all training tokens. Counts come from all training texts. Texts are dealt to
-blocks; a block sends each of its distinct words once, gets their counts back, and keeps its texts as number
-sequences, so tokens are never shuffled.
+blocks and kept there as numbers of the block's distinct words, so tokens are never grouped by word.
 
-Classes are found by exchange. The units that are moved are the words above a relative frequency (at most
-1 / FREQUENT of them, whatever the corpus) and, for all rarer words, their last two bytes; so both the unit table
-and the unit-by-class counts have a size that the corpus does not change. In every round all units are
-weighed against all classes with the counts of the round before, their own share taken out, and move to the best one.
+Classes are found by exchange, and every training word is moved on its own. Words are dealt to buckets by hash. In a
+round each block sends a bucket the counts of its words next to every class; the bucket adds up what all blocks sent,
+weighs its words against all classes with the class-pair counts of the round (the word's own share taken out),
+moves each to the best one, and sends the classes back to the blocks. Only the class-pair counts, a table
+that the corpus does not change, come to the driver. A word without training count has no class: what follows it is
+scored by the class frequencies alone.
 """
 
 from __future__ import annotations
@@ -27,111 +28,170 @@ from planlab.session import estimated_bytes
 
 CLASSES = 32
 ROUNDS = 4
-FREQUENT = 2e-5
 MIX = 0.1
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 8 << 20
-SUFFIXES = 1 << 16
-COUNT_BITS = 40
+BLOCK_BYTES = 5 << 20
+UNKNOWN = CLASSES  # class number of words without training count
+END = CLASSES - 1  # class of the end alone
+BLOCKS_PER_BUCKET, BUCKETS, MOST_BUCKETS = 16, 256, 1 << 16
 
 
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def _block_words(data: pa.Table) -> pa.Table:
-    """Distinct words of a block with their training counts."""
-    found, counts = [], []
-    train = ~np.asarray(data.column("held_out").to_pylist(), dtype=bool)
-    for piece in pieces(data.column("text")):
-        words, inverse = np.unique(piece.hashes(lower=True), return_inverse=True)
-        weight = train[piece.first : piece.first + piece.rows][piece.row_of_word()]
-        found.append(words)
-        counts.append(np.bincount(inverse, weights=weight, minlength=len(words)))
-    words, inverse = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([*counts, np.zeros(0)]), minlength=len(words)).astype(np.int64)
-    block = pa.array(np.full(len(words), data.column("block")[0].as_py(), dtype=np.int64))
-    return pa.Table.from_arrays([block, pa.array(words.view(np.int64)), pa.array(n)], names=["block", "h", "n"])
-
-
-def _encode(data: pa.Table, vocabulary: pa.Table, units: np.ndarray, total: int, kinds: int, texts: int) -> pa.Table:
-    """Texts of a block as ``unit << COUNT_BITS | count`` sequences with their base scores."""
-    h = vocabulary.column("h").to_numpy().view(np.uint64)
-    c = vocabulary.column("c").to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    end = (len(units) + SUFFIXES << COUNT_BITS) | texts
-    base_end = np.log10((texts + 1) / (total + kinds + 1))
-    out = {"n_tokens": [], "n_known": [], "base_score": [], "codes": []}
-    for piece in pieces(data.column("text")):
-        words = piece.hashes(lower=True)
-        count = c[np.searchsorted(h, words)] if len(words) else np.zeros(0, dtype=np.int64)
-        low = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), dtype=np.uint8)
-        last = low[piece.data[piece.ends - 1]].astype(np.int64) if len(words) else count
-        before = np.where(piece.ends - piece.starts > 1, low[piece.data[np.maximum(piece.ends - 2, 0)]], 0) if len(words) else count
-        unit = len(units) + (before.astype(np.int64) << 8 | last)
-        if len(units) and len(words):
-            at = np.minimum(np.searchsorted(units, words), len(units) - 1)
-            unit = np.where(units[at] == words, at, unit)
-        codes = unit << COUNT_BITS | count
-        score = np.concatenate([[0.0], np.cumsum(np.log10((count + 1) / (total + kinds + 1)))])
-        known = np.concatenate([[0], np.cumsum(count > 0)])
-        a, b = piece.row_words[:-1], piece.row_words[1:]
-        out["n_tokens"].append(b - a + 1)
-        out["n_known"].append(known[b] - known[a] + (texts > 0))
-        out["base_score"].append(score[b] - score[a] + base_end)
-        out["codes"] += [np.append(codes[x:y], end).tobytes() for x, y in zip(a.tolist(), b.tolist())]
-    columns = [data.column("doc_id"), data.column("held_out")]
-    columns += [pa.array(np.concatenate([*out[k], np.zeros(0, dtype=t)]).astype(t)) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float))]
-    return pa.Table.from_arrays([*columns, pa.array(out["codes"], pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "codes"])
-
-
-def _chains(batches: Iterator[pa.RecordBatch], classes: np.ndarray):
-    """Unit, count, class and class before of all tokens of some texts, and where each text begins."""
+def _packed(x: np.ndarray) -> bytes:
+    raw = x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes of all numbers side by side
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as packed differences."""
+    return _packed(np.diff(x, prepend=0))
+
+
+def _walked(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(x))
+
+
+BLOCK = "block long, bucket int, doc_id array<bigint>, held_out array<boolean>, sizes binary, codes binary, h binary, n binary"
+
+
+def _block(data: pa.Table, buckets: int) -> pa.Table:
+    """Texts of a block as numbers of its sorted distinct words (bucket -1), and a row of words and training counts
+    per bucket."""
+    sizes, words = zip(*((p.sizes(), p.hashes(lower=True)) for p in pieces(data.column("text"))))
+    sizes = np.concatenate(sizes)
+    words, codes = np.unique(np.concatenate(words), return_inverse=True)
+    held = np.asarray(data.column("held_out").to_pylist(), dtype=bool)
+    n = np.bincount(codes, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
+    block = data.column("block")[0].as_py()
+    rows = [{"block": block, "bucket": -1, "doc_id": data.column("doc_id").to_pylist(), "held_out": held.tolist(),
+             "sizes": _packed(sizes), "codes": _packed(codes)}]
+    of = (words >> U(32)) * U(buckets) >> U(32)  # ascending, as the words are
+    found, firsts = np.unique(of, return_index=True)
+    for k, x, y in zip(found.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(words)]):
+        rows.append({"block": block, "bucket": k, "h": words[x:y].tobytes(), "n": _packed(n[x:y])})
+    return _table(rows, BLOCK)
+
+
+def _table(rows: list[dict], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(),
+             "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()),
+             "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.Table.from_pylist(rows, pa.schema([(name, kinds[kind]) for name, kind in fields]))
+
+
+WORDS = "block long, bucket int, ids binary, c binary, class binary, tokens long, kinds long"
+
+
+def _bucket_words(data: pa.Table) -> pa.Table:
+    """Words of a bucket numbered, counted over all blocks and given a first class; a row per block."""
+    own = [np.frombuffer(x, dtype=np.uint64) for x in data.column("h").to_pylist()]
+    words, ids = np.unique(np.concatenate(own), return_inverse=True)
+    n = np.concatenate([_unpacked(x) for x in data.column("n").to_pylist()])
+    c = np.bincount(ids, weights=n, minlength=len(words)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        classes = np.where(c > 0, mix64(words + U(99)) % U(CLASSES - 1), UNKNOWN).astype(np.uint8)
+    rows, cuts = [], np.cumsum([len(x) for x in own])[:-1]
+    for block, at in zip(data.column("block").to_pylist(), np.split(ids, cuts)):
+        rows.append({"block": block, "bucket": data.column("bucket")[0].as_py(), "ids": _steps(at), "c": _packed(c[at]),
+                     "class": classes[at].tobytes(), "tokens": 0, "kinds": 0})
+    rows[0] |= {"tokens": int(c.sum()), "kinds": int((c > 0).sum())}  # once a bucket
+    return _table(rows, WORDS)
+
+
+CODED = "block long, doc_id array<bigint>, held_out array<boolean>, sizes binary, codes binary, c binary, bucket array<int>, ids array<binary>"
+
+
+def _coded(data: pa.Table, words: pa.Table) -> pa.Table:
+    """A block's row with the counts and the bucket numbers of its words."""
+    words = words.sort_by("bucket")
+    row = data.select(["block", "doc_id", "held_out", "sizes", "codes"]).to_pylist()[0]
+    c = np.concatenate([np.zeros(0, dtype=np.int64), *[_unpacked(x) for x in words.column("c").to_pylist()]])
+    row |= {"c": _packed(c), "bucket": words.column("bucket").to_pylist(), "ids": words.column("ids").to_pylist()}
+    return _table([row], CODED)
+
+
+def _chain(data: pa.Table, classes: pa.Table):
+    """A block's word numbers, their places in the sequence of all texts with an end each, the classes of the
+    sequence and those before, the text of each place, and the classes of the block's words by bucket."""
+    own = [np.frombuffer(x, dtype=np.uint8) for x in classes.sort_by("bucket").column("class").to_pylist()]
+    codes, sizes = _unpacked(data.column("codes")[0].as_py()), _unpacked(data.column("sizes")[0].as_py())
+    places = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)
+    kind = np.full(len(codes) + len(sizes), END, dtype=np.int64)
+    kind[places] = np.concatenate([np.zeros(0, dtype=np.uint8), *own])[codes]
+    before = np.concatenate([[END], kind[:-1]])  # a text begins after an end
+    return codes, places, kind, before, sizes + 1, own
+
+
+SUMS = "bucket int, block long, ids binary, class binary, at binary, n binary"
+
+
+def _sums(data: pa.Table, classes: pa.Table) -> pa.Table:
+    """Training counts of a block: class pairs (bucket -1) and, per bucket, its words next to each class, with the
+    class before at cells 0 to CLASSES - 1 and the class after at the cells behind them."""
+    codes, places, kind, before, sizes, own = _chain(data, classes)
+    train = np.repeat(~np.asarray(data.column("held_out")[0].as_py(), dtype=bool), sizes)
+    pairs = np.bincount((before * CLASSES + kind)[train], minlength=CLASSES * CLASSES)
+    block = data.column("block")[0].as_py()
+    rows = [{"bucket": -1, "block": block, "at": _steps(np.arange(len(pairs))), "n": _packed(pairs)}]
+    taken = train[places]
+    codes, places = codes[taken], places[taken]
+    width, first = 2 * CLASSES, 0
+    cells = np.concatenate([codes * width + before[places], codes * width + CLASSES + kind[places + 1]])
+    at, cells = np.unique(cells, return_counts=True)
+    for bucket, ids, kinds in zip(data.column("bucket")[0].as_py(), data.column("ids")[0].as_py(), own):
+        x, y = np.searchsorted(at, [first * width, (first + len(kinds)) * width])
+        rows.append({"bucket": bucket, "block": block, "ids": ids, "class": kinds.tobytes(),
+                     "at": _steps(at[x:y] - first * width), "n": _packed(cells[x:y])})
+        first += len(kinds)
+    return _table(rows, SUMS)
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            raw = [np.frombuffer(x, dtype=np.int64) for x in part.column("codes").to_pylist()]
-            if not raw:
-                continue
-            codes = np.concatenate(raw)
-            begins = np.concatenate([[0], np.cumsum([len(x) for x in raw])[:-1]])
-            unit = codes >> COUNT_BITS
-            kind = classes[unit]
-            before = np.append(classes[-1], kind[:-1])
-            before[begins] = classes[-1]  # a text begins after an end
-            yield part, unit, codes & ((1 << COUNT_BITS) - 1), kind, before, begins
-
-
-def _counted(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums of one task: (side, unit, class before) at side 0, (unit, class after) at side 1, class pairs at 2."""
-    size = len(classes) * CLASSES
-    sides = [np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(CLASSES * CLASSES, dtype=np.int64)]
-    for _, unit, _, kind, before, begins in _chains(batches, classes):
-        sides[0] += np.bincount(unit * CLASSES + before, minlength=size)
-        follows = np.append(kind[1:], 0)
-        keep = np.ones(len(unit), dtype=bool)
-        keep[np.append(begins[1:], len(unit)) - 1] = False
-        sides[1] += np.bincount((unit * CLASSES + follows)[keep], minlength=size)
-        sides[2] += np.bincount(before * CLASSES + kind, minlength=CLASSES * CLASSES)
-    for side, sums in enumerate(sides):
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), side, dtype=np.int32)), pa.array(at), pa.array(sums[at])], names=["side", "at", "n"]
-        )
+        total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for n in batch.column("n").to_pylist():
+            total += _unpacked(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+
+
+def _moves(data: pa.Table, pairs: np.ndarray) -> pa.Table:
+    """New classes of a bucket's words, a row per block."""
+    ids = [_walked(x) for x in data.column("ids").to_pylist()]
+    width, size = 2 * CLASSES, max(int(x[-1]) for x in ids) + 1
+    classes, at, n = np.full(size, UNKNOWN, dtype=np.int64), [], []
+    for i, kinds, cells, counts in zip(ids, *[data.column(x).to_pylist() for x in ("class", "at", "n")]):
+        classes[i] = np.frombuffer(kinds, dtype=np.uint8)
+        cells = _walked(cells)
+        at.append(i[cells // width] * width + cells % width)
+        n.append(_unpacked(counts))
+    both = np.bincount(np.concatenate(at), weights=np.concatenate(n), minlength=size * width).reshape(size, 2, CLASSES)
+    known = np.flatnonzero(classes != UNKNOWN)
+    classes[known] = _moved(classes[known], both[known, 0], both[known, 1], pairs)
+    classes = classes.astype(np.uint8)
+    rows = [{"block": b, "bucket": k, "class": classes[i].tobytes()} for b, k, i in zip(data.column("block").to_pylist(), data.column("bucket").to_pylist(), ids)]
+    return _table(rows, "block long, bucket int, class binary")
 
 
 def _moved(classes: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Best class of every unit: the likelihood of its neighbours' classes and of itself in the class.
+    """Best class of every word: the likelihood of its neighbours' classes and of itself in the class.
 
-    A unit's own share is taken out of the counts of the class it is in.
+    A word's own share is taken out of the counts of the class it is in.
     """
     weight = left.sum(axis=1)
-    mass = np.maximum(np.bincount(classes, weights=weight, minlength=CLASSES), 1.0)
+    mass = np.maximum(pairs.sum(axis=0), 1.0)
     onto = np.log((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * CLASSES))  # [before, class]
     gain = left @ onto + right @ onto.T - weight[:, None] * np.log(mass)[None, :]
     own = np.arange(len(classes)), classes
-    less = np.maximum(pairs[:, classes].T - left, 0) + 0.5  # [unit, before]
+    less = np.maximum(pairs[:, classes].T - left, 0) + 0.5  # [word, before]
     less_after = np.maximum(pairs[classes] - right, 0) + 0.5
     rows = pairs.sum(axis=1) + 0.5 * CLASSES
     rest = np.maximum(mass[classes] - weight, 0.5)
@@ -140,19 +200,28 @@ def _moved(classes: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.n
         + (right * np.log(less_after / (rest + 0.5 * CLASSES)[:, None])).sum(axis=1)
         - weight * np.log(rest)
     )
-    gain[:, CLASSES - 1] = -np.inf  # the class of the end alone
-    best = np.where(weight > 0, gain.argmax(axis=1), classes)
-    best[-1] = CLASSES - 1
-    return best
+    gain[:, END] = -np.inf
+    return gain.argmax(axis=1)
+
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-def _scored(batches: Iterator[pa.RecordBatch], classes: np.ndarray, pairs: np.ndarray, mass: np.ndarray, total: int, kinds: int):
+
+def _scored(data: pa.Table, classes: pa.Table, pairs: np.ndarray, total: int, kinds: int, texts: int) -> pa.Table:
+    codes, places, kind, before, sizes, _ = _chain(data, classes)
+    mass = np.append(pairs.sum(axis=0), 0)
     onto = (pairs + 0.1) / (pairs.sum(axis=1, keepdims=True) + 0.1 * CLASSES)
-    for part, _, count, kind, before, begins in _chains(batches, classes):
-        p = (1 - MIX) * onto[before, kind] * count / np.maximum(mass[kind], 1) + MIX * (count + 1) / (total + kinds + 1)
-        score = np.add.reduceat(np.log10(p), begins)
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
-        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(score)], names=[*names, "score"])
+    onto = np.vstack([onto, (mass[:-1] + 0.1) / (mass.sum() + 0.1 * CLASSES)])  # after an unknown word
+    onto = np.hstack([onto, np.zeros((CLASSES + 1, 1))])
+    count = np.full(len(kind), texts, dtype=np.int64)
+    count[places] = _unpacked(data.column("c")[0].as_py())[codes]
+    base = (count + 1) / (total + kinds + 1)
+    p = (1 - MIX) * onto[before, kind] * count / np.maximum(mass[kind], 1) + MIX * base
+    begins = np.cumsum(sizes) - sizes
+    out = [pa.array(data.column(x)[0].as_py(), t) for x, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+    out += [pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), begins))]
+    out += [pa.array(np.add.reduceat(np.log10(x), begins)) for x in (base, p)]
+    return pa.Table.from_arrays(out, names=[x.split()[0] for x in SCORES.split(", ")])
 
 
 def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -171,39 +240,31 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), F.lit(blocks)).alias("block"),
     )
-    words = written(rows.groupBy("block").applyInArrow(_block_words, "block long, h long, n long"), "words", "zstd")
+    buckets = int(max(min(parts_of(spark), BUCKETS), min(blocks // BLOCKS_PER_BUCKET, MOST_BUCKETS)))
+    dealt = written(rows.groupBy("block").applyInArrow(lambda x: _block(x, buckets), BLOCK), "blocks", "zstd")
     texts = rows.where(~F.col("held_out")).count()
-    counts = written(words.groupBy("h").agg(F.sum("n").alias("c")), "counts", "zstd")
-    found = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    total, kinds = (found["n"] or 0) + texts, found["v"] + (texts > 0)
-    often = counts.where(F.col("c") >= max(2.0, FREQUENT * total)).select("h")  # at most 1 / FREQUENT rows
-    units = np.sort(np.array([r["h"] for r in often.collect()], dtype=np.int64).view(np.uint64))
-    known = words.select("block", "h").join(counts, "h").select("block", "h", "c")
-
-    def encoded(data: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        return _encode(data, vocabulary, units, total, kinds, texts)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary"
-    codes = written(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encoded, schema), "codes", "zstd")
-    train = codes.where(~F.col("held_out")).select("codes")
-    size = len(units) + SUFFIXES + 1
-    seeds = np.arange(size, dtype=np.uint64)
-    classes = (mix64(seeds + U(99)) % U(CLASSES - 1)).astype(np.int64)
-    classes[-1] = CLASSES - 1
+    words = dealt.where("bucket >= 0").select("block", "bucket", "h", "n")
+    words = written(words.groupBy("bucket").applyInArrow(_bucket_words, WORDS), "words", "zstd")
+    found = words.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
+    total, kinds = (found["n"] or 0) + texts, (found["v"] or 0) + (texts > 0)
+    coded = dealt.where("bucket < 0").groupBy("block").cogroup(words.select("block", "bucket", "ids", "c").groupBy("block"))
+    coded = written(coded.applyInArrow(_coded, CODED), "coded", "zstd")
+    classes = words.select("block", "bucket", "class")
     for turn in range(rounds + 1):
-        now = classes
-        sums = train.mapInArrow(lambda it, now=now: _counted(it, now), "side int, at long, n long")
-        got = sums.groupBy("side", "at").agg(F.sum("n").alias("n")).toArrow()
-        side, at, n = (got.column(c).to_numpy() for c in ("side", "at", "n"))
-        tables = [np.zeros(size * CLASSES), np.zeros(size * CLASSES), np.zeros(CLASSES * CLASSES)]
-        for s in range(3):
-            tables[s][at[side == s]] = n[side == s]
-        left, right, pairs = tables[0].reshape(-1, CLASSES), tables[1].reshape(-1, CLASSES), tables[2].reshape(CLASSES, CLASSES)
+        sums = coded.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_sums, SUMS)
+        sums = written(sums if turn < rounds else sums.where("bucket < 0"), "sums", "zstd")
+        rows_ = sums.where("bucket < 0").select("n").mapInArrow(_pair_rows, "at long, n long")
+        got = rows_.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        pairs = np.zeros(CLASSES * CLASSES)
+        pairs[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        pairs = pairs.reshape(CLASSES, CLASSES)
         if turn < rounds:
-            classes = _moved(classes, left, right, pairs)
-    mass = np.bincount(classes, weights=left.sum(axis=1), minlength=CLASSES)
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = codes.mapInArrow(lambda it: _scored(it, classes, pairs, mass, total, kinds), result)
+            moved = sums.where("bucket >= 0").groupBy("bucket")
+            moved = moved.applyInArrow(lambda x: _moves(x, pairs), "block long, bucket int, class binary")
+            classes = written(moved, "classes", "zstd")  # at once, with the pairs of this round
+    scored = coded.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(
+        lambda x, y: _scored(x, y, pairs, total, kinds, texts), SCORES
+    )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
