@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.llm.common import broadcast_rows, table
+from planlab.llm.licence_texts import TEXTS
 from planlab.session import checkpointed
 
-# Public licence notices and short licence texts, and spellings read as equal.
+# Public licence notices and entire texts of short licences, and spellings read as equal.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -33,6 +34,7 @@ KNOWN = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("All-rights-reserved", "All rights reserved."),
+    *TEXTS,
 )
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("&", " and "), ("https:", "http:"), ("©", "(c)"))
 
