@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from planlab.llm import audit, chats, language, leaks, licences, mixing, near, quality, rules, substrings, tongues, urls
+from planlab.llm import audit, chats, language, leaks, licences, mixing, near, phrases, quality, rules, substrings, tongues, urls
 
 QUERIES = {
     "op1_url_filters": (urls.op1_url_filters, urls.OP1_SQL),
@@ -18,5 +18,6 @@ QUERIES = {
     "op10_quality_rules": (rules.op10_quality_rules, rules.OP10_SQL),
     "op11_filter_audit": (audit.op11_filter_audit, audit.OP11_SQL),
     "op12_language_id": (tongues.op12_language_id, None),
+    "op13_collocations": (phrases.op13_collocations, phrases.OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
