@@ -253,7 +253,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: i
     together with rows whose lang is that word; a null text is empty; repeated rows count each. Other columns
     are not looked at; an empty table has no rows.
     """
-    words, counts, totals = counted(docs, least)
+    return scored(*counted(docs, least), top, covered)
+
+
+def scored(words: DataFrame, counts: DataFrame, totals: DataFrame, top: int, covered: int) -> DataFrame:
+    """The best phrases of each lang from what ``counted`` returns; products are decimals, so nothing overflows."""
     none = F.array().cast("array<long>")
     orders = {1: words.select(F.col("id").alias("w1"), "n", "lang", F.col("word").cast("string").alias("phrase"),
                               F.col("word").cast("string").alias("last"), none.alias("lefts"), none.alias("rights"))}

@@ -113,13 +113,13 @@ def profiles(rows: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 class Profiles:
-    """Places of all profile n-grams by language; an n-gram that a profile lacks is at the place after its last."""
+    """Places of all profile n-grams by language, -1 where a profile lacks one: that is out of place by ``size``."""
 
     def __init__(self, rows: list, size: int = PROFILE):
         self.size = size
         self.langs = sorted({r["lang"] for r in rows}, key=lambda x: x.encode())
         self.grams = np.array(sorted({r["gram"] for r in rows}), dtype=np.uint64)
-        self.places = np.full((len(self.grams), len(self.langs)), size, dtype=np.int32)
+        self.places = np.full((len(self.grams), len(self.langs)), -1, dtype=np.int32)
         at = {x: i for i, x in enumerate(self.langs)}
         for r in rows:
             self.places[np.searchsorted(self.grams, np.uint64(r["gram"])), at[r["lang"]]] = r["place"]
@@ -128,7 +128,8 @@ class Profiles:
         """Out-of-place distance of n-grams, most frequent first, to every language."""
         at = np.minimum(np.searchsorted(self.grams, ranked), len(self.grams) - 1)
         known = self.grams[at] == ranked
-        out = np.abs(self.places[at[known]] - np.flatnonzero(known)[:, None]).sum(axis=0)
+        places = self.places[at[known]]
+        out = np.where(places < 0, self.size, np.abs(places - np.flatnonzero(known)[:, None])).sum(axis=0)
         return out + self.size * int((~known).sum())
 
     def predict(self, text: str) -> tuple[str, float]:
