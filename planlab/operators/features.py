@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlab.operators import ordered
-from planlab.session import broadcast_if_small, checkpointed
+from planlab.session import broadcast_if_small, checkpointed, stored
 
 PERCENTILES = [0.1, 0.5, 0.9]
 
@@ -293,11 +293,28 @@ def group_mean_fill(df: DataFrame, log: DataFrame, keys: list[str], columns: lis
 
 def trim_outliers(df: DataFrame, value: str, by: str, b: float = 0.01) -> DataFrame:
     """Per group keep rows strictly above the ``b`` quantile, then strictly below the ``1 - b``
-    quantile of what is left."""
-    low = ordered.quantiles(df, [by], value, [b]).select(by, F.col("v").alias("__low"))
-    kept = ordered.hot_join(df, low, [by]).where(F.col(value) > F.col("__low")).drop("__low")
-    high = ordered.quantiles(kept, [by], value, [1.0 - b]).select(by, F.col("v").alias("__high"))
-    return ordered.hot_join(kept, high, [by]).where(F.col(value) < F.col("__high")).drop("__high")
+    quantile of what is left. A null group is a group; rows without a value go.
+
+    Both cuts are read off one table of the group's values with the rows below them: once ``low`` is known, the rows
+    above it are the last ones of the group, so the second quantile is a position in the same table.
+    """
+    values = stored(ordered.placed(ordered.value_index(df, [by], value)))
+    place = F.lit(b) * (F.col("__n") - 1)
+    cuts = values.groupBy(by).agg(*ordered.ends_at(place), F.max("__n").alias("__n"))
+    cuts = cuts.select(by, "__n", ordered.between(place).alias("__low_cut"))
+    below = F.coalesce(F.max(F.when(F.col("__v") <= F.col("__low_cut"), F.col("__low") + F.col("__c"))), F.lit(0))
+    rest = ordered.null_safe(values, cuts.drop("__n"), [by], "inner").groupBy(by).agg(
+        below.alias("__below"), F.first("__n").alias("__n"), F.first("__low_cut").alias("__low_cut")
+    )
+    place = F.col("__below") + F.lit(1.0 - b) * (F.col("__n") - F.col("__below") - 1)
+    rest = rest.where("__below < __n")  # else nothing of the group is left
+    above = ordered.null_safe(values.drop("__n"), rest, [by], "inner").groupBy(by).agg(
+        *ordered.ends_at(place), F.first("__low_cut").alias("__low_cut"), F.first(place).alias("__place")
+    )
+    above = above.select(by, "__low_cut", ordered.between(F.col("__place")).alias("__high_cut"))
+    kept = ordered.null_safe(df, above, [by], "inner")
+    kept = kept.where((F.col(value) > F.col("__low_cut")) & (F.col(value) < F.col("__high_cut")))
+    return kept.drop("__low_cut", "__high_cut")
 
 
 def trim_upper(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:

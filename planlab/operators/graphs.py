@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planlab.functions.scalars import OPERATOR_GROUPS, category_of, with_unit
@@ -115,23 +116,24 @@ def relative_pairs(enriched: DataFrame, categories: list[str], key: str = "plan_
 
 
 def sequence_pairs(df: DataFrame, key: str, order: list[str], category: str, parts: int | None = None) -> DataFrame:
-    """Consecutive categories of event sequences: ``category, parent, child, weight``."""
-    near = ordered.neighbours(df.select(key, *order, category), [key], order, {"child": category}, {"parent": category}, parts)
-    return near.select(
-        F.col(category).alias("category"),
-        F.coalesce("parent", F.lit("")).alias("parent"),
-        F.coalesce("child", F.lit("")).alias("child"),
-        F.lit(1).cast("bigint").alias("weight"),
-    )
+    """Consecutive categories of event sequences: ``category, parent, child, weight``.
+
+    The empty text stands for no neighbour, null for a neighbour whose category is null.
+    """
+    cell = F.struct(F.col(category).alias("c")).alias("__cell")
+    rows = df.select(key, *order, category, cell)
+    near = ordered.neighbours(rows, [key], order, {"child": "__cell"}, {"parent": "__cell"}, parts)
+    beside = [F.when(F.col(x).isNull(), "").otherwise(F.col(f"{x}.c")).alias(x) for x in ("parent", "child")]
+    return near.select(F.col(category).alias("category"), *beside, F.lit(1).cast("bigint").alias("weight"))
 
 
 def transitions(pairs: DataFrame, relationship: str = "child") -> DataFrame:
-    """Distribution of the next (``child``) or previous (``parent``) category per category."""
+    """Distribution of the next (``child``) or previous (``parent``) category per category; null is one of them."""
     counts = pairs.groupBy(F.col("category").alias("from_state"), F.col(relationship).alias("to_state")).agg(
         F.sum("weight").alias("n")
     )
-    totals = counts.groupBy("from_state").agg(F.sum("n").alias("total"))  # one row per category
-    return counts.join(totals, "from_state").withColumn("p", F.col("n") / F.col("total"))
+    total = F.sum("n").over(W.partitionBy("from_state"))  # a row per category that follows
+    return counts.withColumn("total", total).withColumn("p", F.col("n") / F.col("total"))
 
 
 def transition_faults(matrix: DataFrame) -> DataFrame:

@@ -127,8 +127,11 @@ def make_job(job_id: str, plan: Plan, paths: dict[int, list[list[str]]], seed: i
     return Job(job_id, steps)
 
 
-def run(job: Job, source: Callable[[str], DataFrame]) -> DataFrame:
-    """The job's result rows as one lazy DataFrame."""
+def weighted(job: Job, source: Callable[[str], DataFrame]) -> DataFrame:
+    """The job's result as one lazy DataFrame whose rows carry how often they stand in the result (``R.WEIGHT``).
+
+    A join gives each row a weight instead of copies, so a job's plan holds no row twice, however many joins it has.
+    """
 
     def follow(steps: list[Step]) -> DataFrame:
         df = None
@@ -142,9 +145,9 @@ def run(job: Job, source: Callable[[str], DataFrame]) -> DataFrame:
             elif step.pact == "Map":
                 df = R.map_rows(df, step.tier)
             elif step.pact in ("Group by", "Reduce"):
-                df = R.keep_one(df, [step.key] if step.key else None, step.keep)
+                df = R.keep_one(df.drop(R.WEIGHT), [step.key] if step.key else None, step.keep)
             elif step.pact == "Join":
-                df = R.join_keep_right(df, follow(step.branch), step.relation.left_key, step.relation.right_key)
+                df = R.matched_right(df, follow(step.branch), step.relation.left_key, step.relation.right_key)
             elif step.pact == "Partition":
                 df = R.hash_partition(df, catalog.FIRST_COLUMN[step.table])
             elif step.pact == "Sort-Partition":
@@ -156,19 +159,25 @@ def run(job: Job, source: Callable[[str], DataFrame]) -> DataFrame:
     return follow(job.steps)
 
 
+def run(job: Job, source: Callable[[str], DataFrame]) -> DataFrame:
+    """The job's result rows."""
+    return R.repeated(weighted(job, source))
+
+
 def results(jobs: list[Job], source: Callable[[str], DataFrame]) -> DataFrame:
-    """Rows out and sum of the first column per job."""
-    return stack(
-        [
-            run(j, source).agg(
-                F.lit(j.job_id).alias("job_id"),
-                F.lit(j.table).alias("table_name"),
-                F.count(F.lit(1)).alias("rows_out"),
-                F.coalesce(F.sum(F.col(catalog.FIRST_COLUMN[j.table]).cast("bigint")), F.lit(0)).alias("key_sum"),
-            )
-            for j in jobs
-        ]
-    )
+    """Rows out and sum of the first column per job, from weights."""
+
+    def result(job: Job) -> DataFrame:
+        rows = weighted(job, source)
+        weight = R.weight_of(rows)
+        return rows.agg(
+            F.lit(job.job_id).alias("job_id"),
+            F.lit(job.table).alias("table_name"),
+            F.coalesce(F.sum(weight), F.lit(0)).alias("rows_out"),
+            F.coalesce(F.sum(F.col(catalog.FIRST_COLUMN[job.table]).cast("bigint") * weight), F.lit(0)).alias("key_sum"),
+        )
+
+    return stack([result(job) for job in jobs])
 
 
 def operator_log(spark: SparkSession, jobs: list[Job], groups: dict[tuple[str, str], int]) -> DataFrame:

@@ -1,31 +1,28 @@
 """Ordered computations over groups of any size.
 
-A window function hands a whole group to one task. That is right for the many small groups and
-wrong for a group that holds a large share of the table, or for no key at all. The functions
-here cut such hot groups along the order into consecutive slices, run the window per slice, and
-carry what crosses a slice border (counts, sums, minima, the next row) in a side table.
-
-A group is hot when it holds more than 1/parts of the rows, so fewer than ``parts`` groups are
-hot and all their slices together number at most ``4 * parts`` per order column. That bound is
-what makes the side tables safe to broadcast whatever the table's size. Cut points come from
-mergeable quantile summaries; they only decide balance, never a result.
+A window function hands a whole group to one task. That is right for many small groups and wrong for a group
+that holds a large share of the table, or for no key at all. The functions here work on a rank index instead: rows
+are exchanged by ranges of (group, order) and keep the number of their range, windows run per group and range, and what
+crosses a border (counts, sums, minima, the next row) travels in a side table.
+
+A range lies between two points of one total order, so it can hold many groups but shares at most its first and
+its last one with other ranges. Only those groups have rows in the side table: at most two per range, which is
+what makes it safe to broadcast. No group is told apart by its size, and any type that sorts can be an order. The
+exchange is written once, since a task that is run again has to see the same ranges.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from planlab.session import parts_of
+from planlab.session import parts_of, stored
 
 MICRO = 1_000_000
-SAMPLED = 4096  # values of a hot group that place its cuts along a text column
-HOT_ROWS = 1_000_000  # a group this small is one task's work whatever its share
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -45,70 +42,6 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def _slice_of(cuts: Column, value: Column, most: int) -> Column:
-    """Slice of ``value`` among sorted cut points (at most ``most``), found by binary search.
-
-    Even slices are the open intervals between cut points, odd ones hold exactly a cut point, so
-    a value with many rows sits in a slice of its own that the next order column may cut.
-    """
-    strides = [1 << i for i in reversed(range(max(most, 1).bit_length()))]
-
-    def step(at, stride):
-        return F.when(F.get(cuts, at + stride - 1) < value, at + stride).otherwise(at)
-
-    below = F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), step)
-    slot = F.aggregate(
-        F.array(below), F.lit(0), lambda _, n: 2 * n + F.when(F.get(cuts, n) == value, 1).otherwise(0)
-    )
-    return F.when(cuts.isNull() | value.isNull(), F.lit(-1)).otherwise(slot)
-
-
-def _hot(df: DataFrame, by: list[str], parts: int, total: int | None) -> tuple[list, int | None]:
-    """Groups above the share, at most ``parts`` rows, and the row count they are a share of."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    if total is None and by:
-        counts = counts.withColumn("__t", counts.agg(F.sum("__n")).scalar())
-    else:
-        counts = counts.withColumn("__t", F.col("__n") if total is None else F.lit(total))
-    hot = counts.where((F.col("__n") * parts > F.col("__t")) & (F.col("__n") > HOT_ROWS)).collect()
-    return hot, (hot[0]["__t"] if hot else total)
-
-
-def _cut_points(df: DataFrame, by: list[str], value: str, parts: int, hot: list) -> DataFrame:
-    """One row per hot group: its sorted cut points along ``value``.
-
-    Merged quantile summaries depend on merge order, so the few cut points are fixed here once;
-    a recomputed task must see the same ones.
-    """
-    spark = df.sparkSession
-    fine = min(parts, 1024)
-    grid = [i / fine for i in range(1, fine)]
-    if by:
-        schema = df.select(*by).schema.add("__share", "double")
-        shares = [tuple(r[k] for k in by) + (r["__n"] * parts / r["__t"],) for r in hot]
-        known = spark.createDataFrame(shares, schema)
-        rows = null_safe(df.select(*by, value), F.broadcast(known), by, "inner")
-    else:
-        rows = df.select(value, F.lit(float(parts)).alias("__share"))
-    if isinstance(df.schema[value].dataType, (T.StringType, T.BinaryType)):
-        # no quantile summary orders text: a sample by hash of about SAMPLED values a group does
-        every = max(1, sum(r["__n"] for r in hot) // (SAMPLED * len(hot)))
-        rows = rows.where(F.pmod(F.xxhash64(value), F.lit(every)) == 0)
-        grid_of, size = F.sort_array(F.collect_set(value)), F.size("__grid")
-    else:
-        grid_of, size = F.percentile_approx(value, grid, 10 * fine), F.lit(fine)
-    cut = rows.groupBy(*by).agg(grid_of.alias("__grid"), F.max("__share").alias("__share"))
-    pieces = F.least(F.lit(fine), F.ceil("__share").cast("int") + 1)
-    picked = F.transform(
-        F.sequence(F.lit(1), pieces - 1),
-        lambda i: F.get(F.col("__grid"), F.floor(i * size / pieces).cast("int") - 1),
-    )
-    cut = cut.where(F.col("__grid").isNotNull()).select(
-        *by, F.array_sort(F.array_distinct(F.filter(picked, lambda c: c.isNotNull()))).alias("__cuts")
-    )
-    return spark.createDataFrame(cut.collect(), cut.schema)
-
-
 def hot_join(fact: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", parts: int | None = None) -> DataFrame:
     """Join many rows per key with one row per key, whatever share of the rows a key holds.
 
@@ -119,77 +52,50 @@ def hot_join(fact: DataFrame, side: DataFrame, keys: list[str], how: str = "inne
 
 
 @dataclass
-class Sliced:
-    """Rows with their slice columns; ``__hot`` marks rows of cut groups."""
+class RankIndex:
+    """Rows with the number of the range of (keys, order) they lie in, in the column ``__range``."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
-    slices: list[str] = field(default_factory=list)
 
     @property
     def by(self) -> list[str]:
-        return self.keys + self.slices
+        return [*self.keys, "__range"]
 
     def local(self):
         return W.partitionBy(*self.by).orderBy(*self.order)
 
     def border(self, *aggs: Column) -> DataFrame:
-        """One row per slice of the hot groups; at most 4 * parts rows per order column."""
-        return self.df.where("__hot").groupBy(*self.by).agg(*aggs)
+        """One row per range of each group that lies in several ranges: at most two per range."""
+        cells = self.df.groupBy(*self.by).agg(*aggs)
+        ranges = F.count(F.lit(1)).over(W.partitionBy(*self.keys))
+        return cells.withColumn("__ranges", ranges).where("__ranges > 1").drop("__ranges")
 
     def border_window(self):
-        """All slices of one hot group in order; its rows are bounded by the slice count."""
-        return W.partitionBy(*self.keys).orderBy(*self.slices)
+        """The ranges of one group in order."""
+        return W.partitionBy(*self.keys).orderBy("__range")
 
     def attach(self, side: DataFrame) -> DataFrame:
-        """Carry border values to the rows; reuses nothing that depends on task order."""
+        """Carry border values to the rows; null for groups inside one range."""
         return null_safe(self.df, F.broadcast(side), self.by, "left")
 
-    def clean(self, df: DataFrame) -> DataFrame:
-        return df.drop(*self.slices, "__hot")
 
-
-def sliced(df: DataFrame, keys, order, parts: int | None = None) -> Sliced:
-    """Cut hot groups of ``keys`` along the numeric or time columns ``order``.
-
-    Each further order column cuts the slices that are still hot because of ties before it.
-    """
+def ranked(df: DataFrame, keys, order, parts: int | None = None) -> RankIndex:
+    """Exchange rows by ranges of the keys and the order, both ascending with nulls first."""
     keys, order = list(keys), list(order)
-    parts = parts or parts_of(df.sparkSession)
-    out = Sliced(df, keys, order)
-    total = None
-    for level, column in enumerate(order):
-        rows = df
-        if out.slices:  # only slices of one single value may be cut by the next column
-            rows = out.df.where(F.col("__hot") & (F.col(out.slices[-1]) % 2 == 1))
-        hot, total = _hot(rows, out.by, parts, total)
-        if not hot:
-            break
-        cuts = _cut_points(rows, out.by, column, parts, hot)
-        if not out.slices:
-            out.df = out.df.withColumn("__hot", F.lit(False))
-        out.df = null_safe(out.df, F.broadcast(cuts), out.by, "left")
-        name = f"__slice{level}"
-        out.df = (
-            out.df.withColumn(name, _slice_of(F.col("__cuts"), F.col(column), min(parts, 1024)))
-            .withColumn("__hot", F.col("__hot") | F.col("__cuts").isNotNull())
-            .drop("__cuts")
-        )
-        out.slices = out.slices + [name]
-    return out
+    by = [F.col(c).asc_nulls_first() for c in dict.fromkeys([*keys, *order])]
+    rows = df.repartitionByRange(parts or parts_of(df.sparkSession), *by)
+    return RankIndex(stored(rows.withColumn("__range", F.spark_partition_id())), keys, order)
 
 
 def row_numbers(df: DataFrame, keys, order, out: str = "rn", parts: int | None = None) -> DataFrame:
     """1-based position of each row in its group along ``order`` (which must be total)."""
-    s = sliced(df, keys, order, parts)
-    if not s.slices:
-        return df.withColumn(out, F.row_number().over(s.local()).cast("bigint"))
-    before = F.sum("__c").over(s.border_window().rowsBetween(W.unboundedPreceding, -1))
-    side = s.border(F.count(F.lit(1)).alias("__c")).select(*s.by, before.alias("__before"))
-    local = s.attach(side).withColumn(out, F.row_number().over(s.local()))
-    total = F.col(out).cast("bigint") + F.coalesce("__before", F.lit(0))
-    return s.clean(local.withColumn(out, total).drop("__before"))
+    index = ranked(df, keys, order, parts)
+    before = F.sum("__c").over(index.border_window().rowsBetween(W.unboundedPreceding, -1))
+    side = index.border(F.count(F.lit(1)).alias("__c")).select(*index.by, before.alias("__before"))
+    place = F.row_number().over(index.local()).cast("bigint") + F.coalesce("__before", F.lit(0))
+    return index.attach(side).withColumn(out, place).drop("__before", "__range")
 
 
 def running(
@@ -204,19 +110,16 @@ def running(
 
     ``order`` must be total within a group, so that rows and peers agree.
     """
-    s = sliced(df, keys, order, parts)
+    index = ranked(df, keys, order, parts)
     fold = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
-    upto = s.local().rowsBetween(W.unboundedPreceding, 0 if include_row else -1)
-    here = {out: fold[how](c).over(upto) for out, (how, c) in columns.items()}
-    if not s.slices:
-        return df.withColumns(here)
-    previous = s.border_window().rowsBetween(W.unboundedPreceding, -1)
-    side = s.border(*[fold[how](c).alias(f"__b_{out}") for out, (how, c) in columns.items()])
+    upto = index.local().rowsBetween(W.unboundedPreceding, 0 if include_row else -1)
+    previous = index.border_window().rowsBetween(W.unboundedPreceding, -1)
+    side = index.border(*[fold[how](c).alias(f"__b_{out}") for out, (how, c) in columns.items()])
     side = side.select(
-        *s.by,
+        *index.by,
         *[fold[how](f"__b_{out}").over(previous).alias(f"__p_{out}") for out, (how, _) in columns.items()],
     )
-    df = s.attach(side).withColumns(here)
+    here = {out: fold[how](c).over(upto) for out, (how, c) in columns.items()}
     merged = {}
     for out, (how, _) in columns.items():
         carry, now = F.col(f"__p_{out}"), F.col(out)
@@ -226,7 +129,8 @@ def running(
             merged[out] = F.coalesce(now * carry, now, carry)
         else:
             merged[out] = (F.least if how == "min" else F.greatest)(now, carry)
-    return s.clean(df.withColumns(merged).drop(*[f"__p_{out}" for out in columns]))
+    rows = index.attach(side).withColumns(here).withColumns(merged)
+    return rows.drop("__range", *[f"__p_{out}" for out in columns])
 
 
 def neighbours(
@@ -239,30 +143,57 @@ def neighbours(
 ) -> DataFrame:
     """Value of a column in the next and in the previous row of the group, null at the ends."""
     following, preceding = following or {}, preceding or {}
-    s = sliced(df, keys, order, parts)
-    lead = {out: F.lead(c).over(s.local()) for out, c in following.items()}
-    lag = {out: F.lag(c).over(s.local()) for out, c in preceding.items()}
-    if not s.slices:
-        return df.withColumns(lead | lag)
-    position = F.struct(*s.order)
+    index = ranked(df, keys, order, parts)
+    position = F.struct(*index.order)
     first = F.min_by(F.struct(*following.values()), position) if following else F.lit(None)
     last = F.max_by(F.struct(*preceding.values()), position) if preceding else F.lit(None)
-    side = s.border(first.alias("__first"), last.alias("__last"))
-    across = s.border_window()
-    side = side.select(
-        *s.by,
-        F.lead("__first").over(across).alias("__next"),
-        F.lag("__last").over(across).alias("__prev"),
+    across = index.border_window()
+    side = index.border(first.alias("__first"), last.alias("__last")).select(
+        *index.by, F.lead("__first").over(across).alias("__next"), F.lag("__last").over(across).alias("__prev")
     )
-    df = s.attach(side)
-    ends = F.lead(F.lit(1)).over(s.local()).isNull()
-    starts = F.lag(F.lit(1)).over(s.local()).isNull()
+    ends = F.lead(F.lit(1)).over(index.local()).isNull()
+    starts = F.lag(F.lit(1)).over(index.local()).isNull()
     new = {}
     for out, column in following.items():
-        new[out] = F.when(ends, F.col("__next")[column]).otherwise(lead[out])
+        new[out] = F.when(ends, F.col("__next")[column]).otherwise(F.lead(column).over(index.local()))
     for out, column in preceding.items():
-        new[out] = F.when(starts, F.col("__prev")[column]).otherwise(lag[out])
-    return s.clean(df.withColumns(new).drop("__next", "__prev"))
+        new[out] = F.when(starts, F.col("__prev")[column]).otherwise(F.lag(column).over(index.local()))
+    return index.attach(side).withColumns(new).drop("__next", "__prev", "__range")
+
+
+def value_index(df: DataFrame, keys, value: str, parts: int | None = None) -> RankIndex:
+    """Rank index of the distinct non-null values of each group: ``__v`` with its rows ``__c``."""
+    runs = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
+    return ranked(runs.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")), keys, ["__v"], parts)
+
+
+def placed(index: RankIndex, wanted=None) -> DataFrame:
+    """Values of a ``value_index`` with the group's rows below them, ``__low``, and in all, ``__n``.
+
+    ``wanted`` is a test on (rows below, rows, rows of the group). Where it is given, ranges of it fail whole for a group that
+    lies in several ranges, so only values of the ranges that may hold an answer are ordered.
+    """
+    previous = index.border_window().rowsBetween(W.unboundedPreceding, -1)
+    side = index.border(F.sum("__c").alias("__rows")).select(
+        *index.by,
+        "__rows",
+        F.coalesce(F.sum("__rows").over(previous), F.lit(0)).alias("__before"),
+        F.sum("__rows").over(W.partitionBy(*index.keys)).alias("__all"),
+    )
+    if wanted is not None:
+        side = side.withColumn("__near", wanted(F.col("__before"), F.col("__rows"), F.col("__all")))
+    rows = index.attach(side)
+    if wanted is not None:
+        rows = rows.where(F.coalesce("__near", F.lit(True))).drop("__near")
+    within = W.partitionBy(*index.by)
+    upto = within.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select(
+        *index.keys,
+        "__v",
+        "__c",
+        (F.coalesce("__before", F.lit(0)) + F.sum("__c").over(upto) - F.col("__c")).alias("__low"),
+        F.coalesce("__all", F.sum("__c").over(within)).alias("__n"),
+    )
 
 
 def quantiles(
@@ -276,12 +207,9 @@ def quantiles(
     """Exact quantiles per group, one row per (group, probability): ``q``, ``n`` and ``v``.
 
     ``method`` is ``linear`` (between the neighbours), ``lower`` or ``higher``. Position is
-    ``q * (n - 1)`` in sorted order, nulls ignored. For a hot group the exact row counts of its
-    slices tell which slices hold the wanted positions; only rows of those are shuffled.
+    ``q * (n - 1)`` in sorted order, nulls ignored.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
-    s = sliced(rows, keys, ["__v"], parts)
     wanted = F.array(*[F.lit(float(q)) for q in probabilities])
     stride = gcd(*[round(q * MICRO) for q in probabilities]) / MICRO or 1.0
 
@@ -298,50 +226,32 @@ def quantiles(
         first_multiple = F.ceil(((low - 1) / last - 2 / MICRO) / stride)
         return first_multiple <= F.floor(((low + count) / last + 2 / MICRO) / stride)
 
-    if s.slices:
-        previous = s.border_window().rowsBetween(W.unboundedPreceding, -1)
-        side = s.border(F.count(F.lit(1)).alias("__c")).select(
-            *s.by,
-            "__c",
-            F.coalesce(F.sum("__c").over(previous), F.lit(0)).alias("__before"),
-            F.sum("__c").over(W.partitionBy(*keys)).alias("__n"),
-        )
-        span = F.col("__before"), F.col("__c"), F.col("__n")
-        side = side.where(F.exists(wanted, lambda q: touches(q, *span)))
-        near = s.attach(side.drop("__c")).where(~F.col("__hot") | F.col("__n").isNotNull())
-    else:
-        none = F.lit(None).cast("bigint")
-        near = rows.withColumns({"__before": none, "__n": none})
-    runs = near.groupBy(*s.by, "__v").agg(
-        F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"), F.first("__n").alias("__n")
-    )
-    within = W.partitionBy(*s.by)
-    upto = within.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    runs = runs.select(
-        *keys,
-        "__v",
-        "__c",
-        (F.coalesce("__before", F.lit(0)) + F.sum("__c").over(upto) - F.col("__c")).alias("__low"),
-        F.coalesce("__n", F.sum("__c").over(within)).alias("__n"),
-    )
+    index = value_index(df, keys, value, parts)
+    runs = placed(index, lambda *span: F.exists(wanted, lambda q: touches(q, *span)))
     span = F.col("__low"), F.col("__c"), F.col("__n")
     exact = F.filter(wanted, lambda q: touches(q, *span))
     hits = runs.where(may_touch(*span)).select("*", F.explode(exact).alias("q"))
-    place = F.col("q") * (F.col("__n") - 1)
+    picked = hits.groupBy(*keys, "q").agg(*ends_at(F.col("q") * (F.col("__n") - 1)), F.max("__n").alias("n"))
+    return picked.select(
+        *keys, "q", F.col("n").cast("bigint").alias("n"), between(F.col("q") * (F.col("n") - 1), method).alias("v")
+    )
+
+
+def ends_at(place: Column) -> list[Column]:
+    """Aggregates ``__lo`` and ``__hi``: the values at the whole positions around ``place``."""
 
     def at(position):
         inside = (position >= F.col("__low")) & (position < F.col("__low") + F.col("__c"))
         return F.max(F.when(inside, F.col("__v")))
 
-    picked = hits.groupBy(*keys, "q").agg(
-        at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"), F.max("__n").alias("n")
-    )
-    place = F.col("q") * (F.col("n") - 1)
+    return [at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi")]
+
+
+def between(place: Column, method: str = "linear") -> Column:
+    """The value at ``place`` from the two that ``ends_at`` found."""
     if method == "linear":
-        v = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (place - F.floor(place))
-    else:
-        v = F.col("__lo") if method == "lower" else F.col("__hi")
-    return picked.select(*keys, "q", F.col("n").cast("bigint").alias("n"), v.alias("v"))
+        return F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (place - F.floor(place))
+    return F.col("__lo") if method == "lower" else F.col("__hi")
 
 
 def quantile_scalar(df: DataFrame, value: str, q: float, parts: int | None = None) -> Column:

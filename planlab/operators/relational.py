@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from planlab.catalog import Predicate
 from planlab.operators import ordered
-from planlab.session import broadcast_if_small
+from planlab.session import broadcast_if_small, parts_of
 
-REPEAT = 100_000  # copies of one row a single task writes
+REPEAT = 100_000  # copies in a piece of a repeated row
+WEIGHT = "__weight"  # column with the number of rows a row stands for
 
 COMPARE = {
     "<=": lambda c, v: c <= v,
@@ -67,25 +68,48 @@ def predicate_catalogue(df: DataFrame, predicates: list[Predicate]) -> DataFrame
     )
 
 
-def join_keep_right(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Equi join that emits the right row once per matching left row.
+def matched_right(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Right rows that have a matching left row, with the number of matches in ``WEIGHT``.
 
-    Only the number of matches matters, so the left side is counted per key first and the right
-    row is repeated after the join: a hot key never meets itself row by row in the shuffle.
+    The equi join of ``join_keep_right`` before its rows are repeated. Only the number of matches matters, so the left
+    side is counted per key first and a hot key never meets itself row by row. Either side may carry weights itself;
+    chains of joins stay as short as their tables however many rows they stand for.
     """
-    matches = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias(right_key)).agg(
-        F.count(F.lit(1)).alias("__n")
+    matches = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias("__key")).agg(
+        F.sum(weight_of(left)).alias("__n")
     )
-    return _repeated(ordered.hot_join(right, matches, [right_key]), right_key).select(*right.columns)
+    joined = right.join(matches, F.col(right_key) == F.col("__key"))
+    weight = (weight_of(right) * F.col("__n")).alias(WEIGHT)
+    return joined.select(*[c for c in right.columns if c != WEIGHT], weight)
+
 
+def weight_of(df: DataFrame) -> Column:
+    """How many rows each row stands for."""
+    return F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1).cast("bigint")
 
-def _repeated(df: DataFrame, key: str) -> DataFrame:
-    """Each row ``__n`` times, in pieces of at most REPEAT that are dealt out by key and piece, so no
-    task writes all copies of a hot key. The input is read once, so chained joins stay a chain."""
-    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / REPEAT)))
-    many = df.withColumn("__piece", pieces).repartition(key, "__piece")
-    copies = F.least(F.lit(REPEAT), F.col("__n") - F.col("__piece") * REPEAT).cast("int")
-    return many.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
+
+def repeated(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each row as often as its ``WEIGHT`` says; rows without the column as they are.
+
+    A row is cut into pieces of at most REPEAT copies (more, if it has more than REPEAT pieces), and pieces are dealt
+    out in turn, whatever key they have: many heavy rows of one key, or one row with most of the copies, are shared by all
+    tasks. What is dealt are rows and pieces, not the copies.
+    """
+    if WEIGHT not in df.columns:
+        return df
+    size = F.greatest(F.lit(REPEAT), F.ceil(F.sqrt(WEIGHT)))
+    cut = df.withColumn("__size", size.cast("bigint")).withColumn(
+        "__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(WEIGHT) - 1) / F.col("__size"))))
+    )
+    dealt = cut.where(F.col(WEIGHT) > 0).repartition(parts or parts_of(df.sparkSession))
+    copies = F.least(F.col("__size"), F.col(WEIGHT) - F.col("__piece") * F.col("__size")).cast("int")
+    dealt = dealt.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return dealt.drop(WEIGHT, "__size", "__piece", "__copy")
+
+
+def join_keep_right(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Equi join that emits the right row once per matching left row."""
+    return repeated(matched_right(left, right, left_key, right_key))
 
 
 def join_tiny(left: DataFrame, tiny: DataFrame, on: Column, how: str = "inner") -> DataFrame:
@@ -104,8 +128,19 @@ def member_filter(df: DataFrame, ids: DataFrame, on: Column) -> DataFrame:
 
 
 def lookup_filter(df: DataFrame, lookup: DataFrame, key: str, keep: Column) -> DataFrame:
-    """Rows that satisfy a comparison with the value looked up for their key (one per key)."""
-    return ordered.hot_join(df, lookup, [key]).where(keep).select(*df.columns)
+    """Rows that satisfy a comparison with the value looked up for their key.
+
+    A key has one value; a lookup that holds a key twice is refused, as the rows of that key would come out twice.
+    """
+    values = [c for c in lookup.columns if c != key]
+    twice = F.raise_error(F.concat(F.lit("lookup holds a key twice: "), F.col(key).cast("string")))
+    once = lookup.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in values]
+    )
+    once = once.select(
+        key, *[F.when(F.col("__n") > 1, twice.cast(lookup.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in values]
+    )
+    return ordered.hot_join(df, once, [key]).where(keep).select(*df.columns)
 
 
 def with_other(df: DataFrame, key: str, value: str, flag: Column | None = None, how: str = "inner") -> DataFrame:

@@ -44,8 +44,10 @@ def value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _threshold(step: Column | float) -> Column:
-    """Number of thresholds ``low + j * step`` at or below the value."""
-    return F.floor((F.col("v") - F.col("low")) / step) + 1
+    """Number of thresholds ``low + j * step`` at or below the value: without end at step 0, one without a step."""
+    step = F.lit(step) if not isinstance(step, Column) else step
+    met = F.floor(F.try_divide(F.col("v") - F.col("low"), step)) + 1
+    return F.when(step == 0, F.lit(1 << 62)).when(step.isNull(), F.lit(1)).otherwise(met)
 
 
 def _walk(runs: DataFrame, keys: list[str], step: Column | float) -> DataFrame:
@@ -115,23 +117,43 @@ def uniform_sample(df: DataFrame, row_id: str, value: str, k: int, shrink: float
     return _rows_taken(df, [], value, row_id, _walk(runs, [], chosen))
 
 
-def uniform_sample_grouped(df: DataFrame, row_id: str, value: str, by: str, ratio: float) -> DataFrame:
-    """The older walk: values over their greatest, per group, ``ratio`` of the rows, no shrinking."""
+def uniform_sample_grouped(df: DataFrame, row_id: str, value: str, by: str, ratio: float | DataFrame) -> DataFrame:
+    """The older walk: values over their greatest, per group, ``ratio`` of the rows, no shrinking.
+
+    ``ratio`` is one number, or a table (``by``, ``ratio``) with one for each group; a group it lacks has no sample. The
+    step is the span over the whole number of rows asked for. Without one (fewer than one row asked for) the group gives its first
+    and its last row; where all values are equal the step is 0 and every row is taken. A null group is a group. Infinite and
+    missing values are left out; a group whose greatest value is not above 0 has no scale and gives its last row.
+    """
+    df = df.withColumn(value, F.when(F.abs(value) < F.lit(math.inf), F.col(value)))
+    if isinstance(ratio, DataFrame):
+        df = ordered.null_safe(df, ratio.select(by, F.col("ratio").alias("__ratio")), [by], "inner")
+    else:
+        df = df.withColumn("__ratio", F.lit(ratio))
     stats = df.groupBy(by).agg(F.max(value).alias("__max"), F.count(value).alias("__n"))
-    scaled = ordered.hot_join(df, stats, [by]).withColumn("__norm", F.col(value) / F.col("__max"))
-    spread = scaled.groupBy(by).agg(
-        F.min("__norm").alias("low"),
-        ((F.max("__norm") - F.min("__norm")) / F.greatest(F.lit(1), F.floor(F.max("__n") * F.lit(ratio)))).alias("step"),
-    )
-    runs = value_runs(scaled, [by], "__norm").join(spread, by)
+    norm = F.when(F.col("__max") > 0, F.try_divide(value, "__max"))
+    scaled = ordered.null_safe(df, stats, [by], "inner").withColumn("__norm", norm)
+    span = F.max("__norm") - F.min("__norm")
+    asked = F.floor(F.max("__n") * F.max("__ratio"))
+    spread = scaled.groupBy(by).agg(F.min("__norm").alias("low"), F.try_divide(span, asked).alias("step"))
+    runs = ordered.null_safe(value_runs(scaled, [by], "__norm"), spread, [by], "inner")
     taken = _walk(runs, [by], F.col("step"))
-    return _rows_taken(scaled.drop("__max", "__n"), [by], "__norm", row_id, taken)
+    walked = _rows_taken(scaled.drop("__max", "__n", "__ratio"), [by], "__norm", row_id, taken)
+    last = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.max_by(row_id, F.struct(value, row_id)).alias(row_id))
+    return walked.unionByName(last).distinct()
+
+
+def uniform_split_grouped(df: DataFrame, row_id: str, value: str, by: str, ratio: float | DataFrame) -> DataFrame:
+    """All rows with ``is_train``: is the row in the older walk's sample of its group, or on the test side."""
+    picked = uniform_sample_grouped(df, row_id, value, by, ratio).withColumn("__picked", F.lit(True))
+    out = ordered.null_safe(df, picked, [by, row_id], "left")
+    return out.withColumn("is_train", F.coalesce("__picked", F.lit(False))).drop("__picked")
 
 
 def weighted_percentile(
     df: DataFrame, keys: list[str], value: str, weight: str, row_id: str, qs: list[float]
 ) -> DataFrame:
-    """Weighted percentile per group: columns ``q<percent>``.
+    """Weighted percentile per group: columns ``q<percent>``. A null key is a group.
 
     A row of weight w after total weight c sits at ``100 / W * (c - w / 2)``; results are linear
     between neighbouring rows and clamped at the ends; zero weights are ignored. Rows with the
@@ -146,7 +168,7 @@ def weighted_percentile(
     runs = ordered.running(runs, keys, ["v"], {"upto": ("sum", "w")})
     totals = runs.groupBy(*keys).agg(F.max("upto").alias("total"))
     if keys:
-        runs = ordered.hot_join(runs, totals, keys)
+        runs = ordered.null_safe(runs, totals, keys, "inner")
     else:
         runs = runs.withColumn("total", totals.select("total").scalar())
     scale = F.lit(100.0) / F.col("total")

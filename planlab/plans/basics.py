@@ -103,6 +103,14 @@ def join_keep_right(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
+def join_hot_key(t: Tables) -> DataFrame:
+    """Five event types as join keys: suppliers come out once per event of the type their number stands for."""
+    types = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
+    suppliers = t.supplier.select("s_suppkey", "s_name", F.get(types, (F.col("s_suppkey") % 5).cast("int")).alias("kind"))
+    rows = R.join_keep_right(t.events, suppliers, "event_type", "kind")
+    return rows.groupBy("s_suppkey", "kind").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def join_chain(t: Tables) -> DataFrame:
     """Four tables; the fact side is collapsed to its join keys before any join."""
     lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(
@@ -364,6 +372,11 @@ QUERIES = {
         """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     ),
+    "join_hot_key": (
+        q(join_hot_key),
+        """SELECT s_suppkey, event_type AS kind, COUNT(*) AS copies FROM supplier
+           JOIN events ON event_type = ['click', 'error', 'purchase', 'signup', 'view'][s_suppkey % 5 + 1] GROUP BY ALL""",
+    ),
     "join_chain": (
         q(join_chain),
         """SELECT c_mktsegment, p_brand, SUM(l_quantity) AS quantity, COUNT(*) AS n_lines

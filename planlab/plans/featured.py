@@ -118,6 +118,12 @@ def trim_outliers(t: Tables) -> DataFrame:
     return features.trim_outliers(rows, "o_totalprice", "o_orderstatus", 0.05)
 
 
+def trim_outliers_null(t: Tables) -> DataFrame:
+    """Every fifth order has no status."""
+    status = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus"))
+    return features.trim_outliers(t.orders.select("o_orderkey", status.alias("g"), "o_totalprice"), "o_totalprice", "g", 0.03)
+
+
 def label_bins(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_totalprice")
     return features.label_bins(features.label_bins(rows, "o_totalprice", 3, "bin3"), "o_totalprice", 5, "bin5")
@@ -284,6 +290,14 @@ QUERIES = {
                 c AS (SELECT o_orderstatus, quantile_cont(o_totalprice, 0.95) AS hi FROM b GROUP BY 1)
            SELECT o_orderkey, b.o_orderstatus, o_totalprice FROM b JOIN c ON b.o_orderstatus = c.o_orderstatus AND o_totalprice < hi""",
     ),
+    "trim_outliers_null": (
+        q(trim_outliers_null),
+        """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS g, o_totalprice FROM orders),
+                a AS (SELECT g, quantile_cont(o_totalprice, 0.03) AS lo FROM o GROUP BY 1),
+                b AS (SELECT o.* FROM o JOIN a ON o.g IS NOT DISTINCT FROM a.g AND o_totalprice > lo),
+                c AS (SELECT g, quantile_cont(o_totalprice, 0.97) AS hi FROM b GROUP BY 1)
+           SELECT o_orderkey, b.g, o_totalprice FROM b JOIN c ON b.g IS NOT DISTINCT FROM c.g AND o_totalprice < hi""",
+    ),
     "trim_upper": (
         q(lambda t: features.trim_upper(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice")),
         "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)",

@@ -57,6 +57,31 @@ def weighted_percentile_ties(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in out.columns})
 
 
+def grouped_rows(t: Tables) -> DataFrame:
+    """Orders by status, with a group of one row, a tied one, one without a scale and a null one."""
+    key = F.col("o_orderkey")
+    group = (
+        F.when(key == 0, "one").when(key % 11 == 1, "tied").when(key % 11 == 2, "zero").when(key % 11 == 3, None).otherwise(F.col("o_orderstatus"))
+    )
+    value = F.when(key == 0, 7.0).when(key % 11 == 1, 5.0).when(key % 11 == 2, 0.0).otherwise(F.col("o_totalprice"))
+    return t.orders.select(key, group.alias("g"), value.alias("v"))
+
+
+def sample_split_grouped(t: Tables) -> DataFrame:
+    """The older walk with a ratio for each group, and its test side."""
+    rows = grouped_rows(t)
+    ratios = rows.select("g").distinct().withColumn("ratio", 0.005 * (1 + F.length(F.coalesce("g", F.lit("")))))
+    return sampling.uniform_split_grouped(rows, "o_orderkey", "v", "g", ratios)
+
+
+def weighted_percentile_null(t: Tables) -> DataFrame:
+    """Events of every seventh id have no type."""
+    kind = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    rows = t.events.select(kind.alias("g"), "value", "event_id", (F.col("event_id") % 4).alias("w"))
+    out = sampling.weighted_percentile(rows, ["g"], "value", "w", "event_id", [0, 50, 90])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "g"})
+
+
 def prefix_samples(t: Tables) -> DataFrame:
     return sampling.prefix_samples(t.orders.select("o_orderkey"), "o_orderkey", [10, 100, 1000])
 
@@ -142,6 +167,29 @@ QUERIES = {
         )
         + ") x",
     ),
+    "sample_split_grouped": (
+        q(sample_split_grouped),
+        """WITH rows AS (SELECT o_orderkey AS id,
+                CASE WHEN o_orderkey = 0 THEN 'one' WHEN o_orderkey % 11 = 1 THEN 'tied' WHEN o_orderkey % 11 = 2 THEN 'zero'
+                     WHEN o_orderkey % 11 = 3 THEN NULL ELSE o_orderstatus END AS g,
+                CASE WHEN o_orderkey = 0 THEN 7.0::DOUBLE WHEN o_orderkey % 11 = 1 THEN 5.0::DOUBLE WHEN o_orderkey % 11 = 2 THEN 0.0::DOUBLE
+                     ELSE o_totalprice END AS v FROM orders),
+            m AS (SELECT *, CASE WHEN MAX(v) OVER (PARTITION BY g) > 0 THEN v / MAX(v) OVER (PARTITION BY g) END AS x,
+                         floor(COUNT(*) OVER (PARTITION BY g) * (0.005::DOUBLE * (1 + length(coalesce(g, ''))))) AS asked FROM rows),
+            n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY v, id) AS i, COUNT(*) OVER (PARTITION BY g) AS n,
+                         MIN(x) OVER (PARTITION BY g) AS lo, MAX(x) OVER (PARTITION BY g) AS hi FROM m),
+            b AS (SELECT *, CASE WHEN x IS NULL THEN 0 WHEN asked = 0 THEN 1 WHEN hi = lo THEN 1e18
+                                 ELSE floor((x - lo) / ((hi - lo) / asked)) + 1 END - i AS d FROM n),
+            c AS (SELECT *, i + least(0, MIN(d) OVER (PARTITION BY g ORDER BY i)) AS c FROM b),
+            l AS (SELECT *, LAG(c, 1, 0) OVER (PARTITION BY g ORDER BY i) AS p FROM c)
+            SELECT id AS o_orderkey, g, v, (c > p OR i = n) AS is_train FROM l""",
+    ),
+    "weighted_percentile_null": (
+        q(weighted_percentile_null),
+        _weighted_sql(
+            "SELECT CASE WHEN event_id % 7 <> 0 THEN event_type END AS g, value AS v, event_id % 4 AS w, event_id AS id FROM events", "g", [0, 50, 90]
+        ),
+    ),
     "weighted_percentile": (
         q(weighted_percentiles),
         _weighted_sql("SELECT event_type, value AS v, event_id % 4 AS w, event_id AS id FROM events", "event_type", [0, 5, 25, 50, 75, 100]),

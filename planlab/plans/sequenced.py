@@ -69,6 +69,14 @@ def _matrix_sql(relationship: str) -> str:
         SELECT category AS from_state, to_state, n, ROUND(n / SUM(n) OVER (PARTITION BY category), 10) AS p FROM c"""
 
 
+def transitions_null(t: Tables) -> DataFrame:
+    """Every seventh event has no type: null is a category that follows and is followed."""
+    kind = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    rows = t.events.select("user_id", "event_id", kind.alias("kind"), micros("ts").alias("at"))
+    out = graphs.transitions(graphs.sequence_pairs(rows, "user_id", ["at", "event_id"], "kind"))
+    return out.select("from_state", "to_state", "n", F.round("p", 10).alias("p"))
+
+
 def transition_faults(t: Tables) -> DataFrame:
     return graphs.transition_faults(graphs.transitions(event_pairs(t)))
 
@@ -236,6 +244,14 @@ BFS_SQL = """r AS (SELECT plan_id, id AS start, id, 0 AS depth FROM {start}
 QUERIES = {
     "transitions": (q(lambda t: matrix(t, "child")), _matrix_sql("child")),
     "transitions_reverse": (q(lambda t: matrix(t, "parent")), _matrix_sql("parent")),
+    "transitions_null": (
+        q(transitions_null),
+        """WITH e AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN event_type END AS kind FROM events),
+            p AS (SELECT kind AS from_state, CASE WHEN LEAD(event_id) OVER w IS NULL THEN '' ELSE LEAD(kind) OVER w END AS to_state
+                  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+            c AS (SELECT from_state, to_state, COUNT(*) AS n FROM p GROUP BY 1, 2)
+            SELECT from_state, to_state, n, ROUND(n / SUM(n) OVER (PARTITION BY from_state), 10) AS p FROM c""",
+    ),
     "transition_faults": (
         q(transition_faults),
         f"""WITH {PAIRS_SQL}, s AS (SELECT COUNT(DISTINCT category) AS r, COUNT(DISTINCT child) AS c FROM pairs)

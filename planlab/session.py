@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,16 +32,15 @@ def local_session(cores: str = "*", app: str = "planlab", **conf: str) -> SparkS
 
 
 def parts_of(spark: SparkSession) -> int:
-    """How finely hot groups are cut: the session's shuffle width, kept within 8..2048."""
-    return max(8, min(2048, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """The session's shuffle width, at least 8."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage on the shared folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
     Only a session that names none (a local test) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,9 +49,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint on the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write rows as Parquet on the shared folder and read them again: computed once, read by column, lineage cut."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, without running the query."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,10 +14,3 @@ def spark():
     yield session
     session.stop()
 
-
-@pytest.fixture
-def cut_everything(monkeypatch):
-    """Let small fixtures take the path of hot groups."""
-    from planlab.operators import ordered
-
-    monkeypatch.setattr(ordered, "HOT_ROWS", 0)

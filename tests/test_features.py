@@ -58,7 +58,7 @@ def random_plan(rng, length):
 
 
 @pytest.mark.parametrize("unknown", ["one", "carry"])
-def test_propagation_is_the_sequential_rule(spark, cut_everything, unknown):
+def test_propagation_is_the_sequential_rule(spark, unknown):
     rng = random.Random(11)
     plans = {f"p{i}": random_plan(rng, n) for i, n in enumerate([3, 8, 12, 60])}  # one holds most rows
     rows = [(p, j, *op) for p, ops in plans.items() for j, op in enumerate(ops)]
@@ -117,7 +117,7 @@ def test_trimming_and_bins(spark):
     assert len(table) == 9 and table[("v", "w")] == pytest.approx(-1) and table[("v", "k")] == 0
 
 
-def test_two_step_values(spark, cut_everything):
+def test_two_step_values(spark):
     df = spark.createDataFrame([("p", 2, ["x", "y"]), ("p", 1, ["y"]), ("p", 3, ["x"]), ("q", 1, ["z"])], "plan_id string, pos long, tables array<string>")
     got = features.used_values(df, "plan_id", "tables").orderBy("plan_id", "place").collect()
     assert [(r["plan_id"], r["value"], r["place"]) for r in got] == [("p", "y", 1), ("p", "x", 2), ("q", "z", 1)]

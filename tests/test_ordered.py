@@ -4,12 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planlab.operators import ordered
 
-pytestmark = pytest.mark.usefixtures("cut_everything")
-
-
 def rows(n=600, seed=3, ties=8):
     rng = random.Random(seed)
     out = []
@@ -63,11 +61,33 @@ def test_no_key_is_cut(spark):
     got = {r["id"]: r["rn"] for r in ordered.row_numbers(df, [], ["v", "id"], parts=16).collect()}
     for i, r in enumerate(sorted(data, key=lambda r: (r[1], r[2]))):
         assert got[r[2]] == i + 1
-    s = ordered.sliced(df, [], ["id"], 16)
-    sizes = [r["count"] for r in s.df.groupBy(*s.slices).count().collect()]
+    index = ordered.ranked(df, [], ["id"], 16)
+    sizes = [r["count"] for r in index.df.groupBy("__range").count().collect()]
     assert max(sizes) < len(data) / 4
 
 
+@pytest.mark.parametrize(
+    "order",
+    ["concat('t', lpad(CAST(id AS STRING), 4, 'x'))", "CAST(id AS DECIMAL(30, 2)) / 7", "struct(id % 10, id)", "date_add(DATE'2020-01-01', CAST(id AS INT))"],
+)
+def test_any_order_in_one_group(spark, order):
+    """One group holds every row; text, decimal, struct and date orders."""
+    df = spark.range(500).selectExpr("1 AS k", "id", f"{order} AS o")
+    want = {r["id"]: i for i, r in enumerate(sorted(df.collect(), key=lambda r: r["o"]), 1)}
+    got = ordered.row_numbers(df, ["k"], ["o"], parts=9)
+    assert {r["id"]: r["rn"] for r in got.collect()} == want
+    near = ordered.neighbours(df, ["k"], ["o"], {"nx": "id"}, {"pv": "id"}, parts=9).collect()
+    back = {i: k for k, i in want.items()}
+    assert {(r["id"], r["nx"], r["pv"]) for r in near} == {(k, back.get(i + 1), back.get(i - 1)) for k, i in want.items()}
+
+
+def test_side_table_is_bounded_by_the_ranges(spark):
+    """Ten thousand small groups and a large one: only groups cut by a border travel."""
+    df = spark.range(30000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id")
+    index = ordered.ranked(df, ["k"], ["id"], 12)
+    assert index.border(F.count(F.lit(1)).alias("n")).count() <= 2 * 12
+
+
 @pytest.mark.parametrize("method", ["linear", "lower", "higher"])
 @pytest.mark.parametrize("keyed", [True, False])
 def test_quantiles(spark, method, keyed):

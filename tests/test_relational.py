@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from planlab.operators import ordered
 from planlab.operators import relational as R
 
@@ -17,7 +20,7 @@ def frames(spark):
     )
 
 
-def test_hot_join(spark, cut_everything):
+def test_hot_join(spark):
     fact, side, rows, names = frames(spark)
     inner = ordered.hot_join(fact, side, ["k"], parts=4).collect()
     assert sorted((r["v"], r["name"]) for r in inner) == sorted((v, names[k]) for k, v in rows if k in names)
@@ -25,14 +28,48 @@ def test_hot_join(spark, cut_everything):
     assert {r["v"]: r["name"] for r in left} == {v: names.get(k) for k, v in rows} and len(left) == 91
 
 
-def test_join_keep_right(spark, cut_everything, monkeypatch):
+def test_join_keep_right(spark, monkeypatch):
     monkeypatch.setattr(R, "REPEAT", 7)
     fact, side, rows, names = frames(spark)
     got = Counter(r["name"] for r in R.join_keep_right(fact, side, "k", "k").collect())
     assert got == Counter(names[k] for k, _ in rows if k in names)
 
 
-def test_exists_other(spark, cut_everything):
+def test_copies_of_a_hot_key_are_spread(spark):
+    """15,000 right rows of one key, 1,000 matches each: 15 million copies, shared by all tasks."""
+    left, right = spark.range(1000).selectExpr("7 AS k"), spark.range(15000).selectExpr("7 AS k", "id")
+    sizes = [r["count"] for r in R.join_keep_right(left, right, "k", "k").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 15_000_000 and max(sizes) < 1.3 * sum(sizes) / 8 and len(sizes) == 8
+
+
+def test_copies_of_one_row_are_spread(spark):
+    left, right = spark.range(3_000_000).selectExpr("7 AS k"), spark.createDataFrame([(7, "a"), (8, "b")], "k int, name string")
+    sizes = [r["count"] for r in R.join_keep_right(left, right, "k", "k").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_000_000 and max(sizes) < 1.5 * sum(sizes) / 8
+
+
+def test_weights_pass_through_joins(spark):
+    """A chain of joins by weights stands for the rows of the chain that repeats them."""
+    a = spark.createDataFrame([(i % 3, i) for i in range(20)], "k int, v int")
+    b = spark.createDataFrame([(i % 3, i % 4) for i in range(7)] + [(None, 1)], "k int, j int")
+    c = spark.createDataFrame([(i % 5,) for i in range(9)], "j int")
+    short = R.matched_right(R.matched_right(a, b, "k", "k"), c, "j", "j")
+    long = R.join_keep_right(R.join_keep_right(a, b, "k", "k"), c, "j", "j")
+    want = Counter(z.j for x in a.collect() for y in b.collect() for z in c.collect() if x.k == y.k and y.j == z.j)
+    assert Counter(r.j for r in long.collect()) == want
+    assert Counter(r.j for r in R.repeated(short).collect()) == want
+    assert short.count() == sum(1 for z in c.collect() if z.j in {y.j for y in b.collect() if y.k is not None})
+
+
+def test_lookup_with_a_repeated_key_is_refused(spark):
+    fact = spark.createDataFrame([(1, 5), (2, 6), (None, 1)], "k int, v int")
+    once = spark.createDataFrame([(1, 3), (2, 9), (None, 0), (None, 0)], "k int, least int")
+    assert [tuple(r) for r in R.lookup_filter(fact, once, "k", F.col("v") > F.col("least")).collect()] == [(1, 5)]
+    with pytest.raises(Exception, match="holds a key twice"):
+        R.lookup_filter(fact, once.union(once), "k", F.col("v") > F.col("least")).collect()
+
+
+def test_exists_other(spark):
     rows = [(1, 1, "n"), (1, 2, "r"), (2, 5, "r"), (2, 5, "n"), (3, 7, "n"), (3, 8, "n")]
     df = spark.createDataFrame(rows, "k long, s long, f string")
     assert {r["k"] for r in R.exists_other(df, "k", "s").collect()} == {1, 3}

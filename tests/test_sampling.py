@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planlab.operators import sampling
 
@@ -25,7 +26,7 @@ def is_walk(data, taken, step):
 
 
 @pytest.mark.parametrize("seed,spread,k", [(1, 40, 8), (2, 1000, 10), (3, 64, 16)])
-def test_walk(spark, cut_everything, seed, spread, k):
+def test_walk(spark, seed, spread, k):
     rng = random.Random(seed)
     data = [(float(rng.randint(0, spread)), i) for i in range(120)] + [(0.0, 120), (float(spread), 121)]
     df = spark.createDataFrame(data, "v double, id long")
@@ -58,7 +59,7 @@ def percentiles(spark, values, weights, qs):
     return list(sampling.weighted_percentile(df, [], "v", "w", "id", qs).first())
 
 
-def test_weighted_percentile_facts(spark, cut_everything):
+def test_weighted_percentile_facts(spark):
     assert percentiles(spark, [1, 2, 3], [1, 4, 5], [0, 5, 30, 50, 75, 100]) == [
         1, 1, 2, pytest.approx(2.4444444), 3, 3]
     qs = list(range(0, 110, 10))
@@ -81,3 +82,47 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert 0.6 < share < 0.8
     bags = sampling.bootstrap_weights(df, "id", 4).groupBy("tree").sum("weight").collect()
     assert all(400 < r["sum(weight)"] < 600 for r in bags)
+
+
+def older_walk(values, ratio):
+    """Places of the rows taken, by the rule as it is told, row after row."""
+    top = max(values)
+    if not top > 0:
+        return {max(range(len(values)), key=lambda i: (values[i], i))}
+    order = sorted(range(len(values)), key=lambda i: (values[i], i))
+    norm = [values[i] / top for i in order]
+    asked = int(len(values) * ratio)
+    step = (norm[-1] - norm[0]) / asked if asked else float("inf")
+    taken, wall = {order[-1]}, norm[0]
+    for place, i in enumerate(order):
+        if norm[place] >= wall:
+            taken.add(i)
+            wall += step
+    return taken
+
+
+def test_older_walk_in_every_kind_of_group(spark):
+    rng = random.Random(9)
+    groups = {
+        "one": [3.0], "tied": [4.0] * 30, "tied few": [4.0] * 3, "zero": [0.0] * 9, "below": [-3.0, -1.0, -2.0], "pair": [1.0, 2.0],
+        None: [float(rng.randint(1, 64)) for _ in range(80)], "wide": [float(rng.randint(0, 1 << 20)) for _ in range(90)],
+    }
+    ratios = {"one": 0.1, "tied": 0.2, "tied few": 0.1, "zero": 0.5, "below": 0.5, "pair": 1.0, None: 0.25, "wide": 0.125}
+    rows = [(g, v, f"{g}/{i}") for g, values in groups.items() for i, v in enumerate(values)]
+    rows += [("wide", None, "none"), ("wide", float("inf"), "inf"), ("left out", 1.0, "x")]
+    df = spark.createDataFrame(rows, "g string, v double, id string").repartition(3)
+    table = spark.createDataFrame(list(ratios.items()), "g string, ratio double")
+    got = sampling.uniform_split_grouped(df, "id", "v", "g", table).collect()
+    assert len(got) == len(rows)
+    picked = {r.id for r in got if r.is_train}
+    for g, values in groups.items():
+        names = sorted(range(len(values)), key=lambda i: f"{g}/{i}")  # ties go by id
+        want = {f"{g}/{names[i]}" for i in older_walk([values[i] for i in names], ratios[g])}
+        assert {i for i in picked if i.rsplit("/")[0] == str(g)} == want, g
+    assert not picked & {"none", "inf", "x"}
+
+
+def test_null_group_has_percentiles(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3)], "g string, v double, id int").withColumn("w", F.lit(1.0))
+    got = sampling.weighted_percentile(df, ["g"], "v", "w", "id", [50]).collect()
+    assert {r.g: r.q50 for r in got} == {None: 2.0, "a": 5.0}

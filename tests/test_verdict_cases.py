@@ -31,7 +31,7 @@ def test_small_group_gives_first_and_last_row(spark):
     assert {0, 2} <= {r["id"] for r in got}
 
 
-def test_row_numbers_of_a_hot_group_in_text_order(spark, cut_everything):
+def test_row_numbers_of_a_hot_group_in_text_order(spark):
     df = spark.range(500).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("t"), "id")
     got = ordered.row_numbers(df.repartition(7), [], ["t"], parts=8).collect()
     assert all(r.rn == r.id + 1 for r in got)
