@@ -13,8 +13,8 @@ Spark then works on far fewer rows than words:
 1. symbol rounds: a row (name with its deciding words, text, place) per chosen symbol. Symbols that occur
    once rule out all windows that chose them; a whole text is named as well, so an exact copy of an
    earlier text is settled by its name alone.
-2. verification: the windows left are named by 96 bits over all their words; the least place per name is
-   where it first occurs.
+2. verification: the windows left are named by 96 bits over all their words, from two independent hashes of
+   each word; the least place per name is where it first occurs.
 3. each text drops the words of its windows that are left and are no first occurrence.
 Each grouping is an aggregation with map-side partial results, so names that fill a third of the corpus stay cheap.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from planlab.llm.common import joined_back, keyed, table, unkeyed
 from planlab.llm.pipeline import written
-from planlab.llm.tokens import U, Piece, mix64, pieces, window_hashes
+from planlab.llm.tokens import U, Piece, mix64, pieces, powers, window_hashes
 
 WINDOW = 20
 ROUNDS = 5
@@ -136,9 +136,7 @@ def anchors(words: np.ndarray, row_words: np.ndarray, width: int, rounds: int =
 
 
 def _polynomial(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums to hash any stretch of words, and the inverse powers to shift it to its start."""
-    from planlab.llm.tokens import powers
-
+    """Prefix sums to hash a stretch of a few words, and the inverse powers to shift it to its start."""
     up, down = powers(len(words) + 1)
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(mix64(words + U(seed)) * up[: len(words)], out=sums[1:])
@@ -190,14 +188,10 @@ class _Text:
         self.symbol_at = self.windows[self.heads] - piece.row_words[:-1][self.symbol_row]
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two names of each text as a whole."""
-        a, b = self.piece.row_words[:-1], self.piece.row_words[1:]
-        size = (b - a).astype(np.uint64)
-        out = []
-        for seed in (2, 3):
-            sums, down = _polynomial(self.words, seed)
-            out.append(mix64((sums[b] - sums[a]) * down[a] + size * _RUN))
-        return out[0], out[1]
+        """Two names of each text as a whole: a digest of its words."""
+        texts = _joined(self.piece, np.ones(len(self.words), dtype=bool))
+        digests = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), dtype=np.uint64)
+        return digests[::2], digests[1::2]
 
     def left(self, once: _Lists) -> np.ndarray:
         """Starts of the windows whose symbol occurs elsewhere, by the rows' lists of symbols that
@@ -233,7 +227,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(window_hashes(text.words, width, 11)[at].view(np.int64)),
-                    pa.array(window_hashes(mix64(text.words + U(5)), width, 12)[at].astype(np.uint32).view(np.int32)),
+                    pa.array(window_hashes(piece.hashes(seed=5), width, 12)[at].astype(np.uint32).view(np.int32)),
                     pa.array(rids[row]),
                     pa.array((at - piece.row_words[:-1][row]).astype(np.int32)),
                 ],

@@ -1,21 +1,24 @@
 """Words of Arrow text batches as 64-bit hashes, computed on the UTF-8 bytes with numpy.
 
 Used inside tasks only. A word is a maximal stretch of bytes other than 0x20 and 0x09-0x0D; in UTF-8
-no other character contains those bytes. Word hashes are polynomials over a byte table modulo 2^64,
-read off prefix sums and then mixed. Batches are worked through in pieces of a few megabytes, whole texts
-each, so memory follows the longest text and not the batch.
+no other character contains those bytes. A word is hashed eight bytes at a time, each step mixed before the next
+one, so no structure of its letters survives (words of up to eight bytes and equal length never meet); words above LONG
+bytes take a BLAKE2b digest. Hashes of different seeds are independent, which is what a verification goes by.
+Batches are worked through in pieces of a few megabytes, whole texts each, so memory follows the longest text and not the batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
+LONG = 64  # bytes of the longest word that is hashed step by step
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,15 +35,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _byte_table(lower: bool) -> np.ndarray:
-    table = mix64(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
-    if lower:
-        table = table.copy()
-        table[65:91] = table[97:123]
-    return table
-
-
-TABLES = {False: _byte_table(False), True: _byte_table(True)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _inverse(x: int) -> int:
@@ -73,13 +69,23 @@ class Piece:
 
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
         """64-bit hash of every word."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(TABLES[lower][self.data] * up[: len(self.data)], out=sums[1:])
-        words = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix64(words + (self.ends - self.starts).astype(np.uint64) * U(0xA24BAED4963EE407) + U(seed))
+        sizes = self.ends - self.starts
+        out = mix64(sizes.astype(np.uint64) * U(0xA24BAED4963EE407) + mix64(np.array([seed + 1], dtype=np.uint64)))
+        padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+        padded[: len(self.data)] = _LOWER[self.data] if lower else self.data
+        eights = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # from every byte on
+        at, done = np.flatnonzero(sizes <= LONG), 0
+        while len(at):
+            rest = sizes[at] - done
+            bits = (U(8) * (U(8) - np.minimum(rest, 8).astype(np.uint64)))
+            letters = (eights[self.starts[at] + done] << bits) >> bits  # rest is at least 1 here
+            out[at] = mix64(out[at] ^ (letters * _ROOT))
+            done += 8
+            at = at[rest > 8]
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            word = padded[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        return out
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.row_words))
