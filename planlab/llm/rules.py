@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from planlab.llm.common import WORD, table
 
-SAMPLE_ROWS = 2000  # rows that rank the rules
+SAMPLE_ROWS = 2000  # rows, about, that rank the rules
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -101,10 +101,13 @@ def ranked(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_R
     """Rules by estimated rejections per cost, best first; ties keep the given order.
 
     The cost of a rule is the sum over its statistics of unit costs times the mean characters and words
-    of the sampled texts. An empty table keeps the given order.
+    of the sampled texts. Rows are drawn by a hash and summed up where they lie; the draw and the hash of the first
+    characters decide the order of the rules only. An empty sample keeps the given order.
     """
     names = sorted({u for r in rules for u in r.uses} | {"n_words"})
-    sample = statistics(docs.select("doc_id", "text").limit(sample_rows), names)
+    every = max(1, docs.count() // max(1, sample_rows))  # about sample_rows rows, wherever they lie
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), F.lit(every)) == 0
+    sample = statistics(docs.select("doc_id", "text").where(drawn), names)
     found = sample.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.coalesce(F.length("text"), F.lit(0))).alias("chars"),
@@ -141,7 +144,7 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, sample_rows
     branches = " ".join(f"WHEN {_inlined(r)} THEN '{r.name}'" for r in order)
     # the words are bound inside the one expression, so a filter on it may be moved anywhere
     verdict = F.expr(_bound("w", WORDS, f"CASE {branches} END"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "rejected_by"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "rejected_by"]
     return docs.select(*kept, verdict.alias("rejected_by"))
 
 
