@@ -1,12 +1,13 @@
 """Metadata of the base tables: join relations, filter literals, group keys.
 
 Literals and selectivities are the published catalogue values for the columns the tables have
-(fixed values); ``profile.literal_catalogue`` derives the same kind of rows from data.
+(fixed values); ``profile.literal_catalogue`` derives the same kind of rows from the FILTER_FIELDS of given tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 
 @dataclass(frozen=True)
@@ -14,7 +15,7 @@ class Predicate:
     table: str
     column: str
     op: str
-    literal: float | str
+    literal: float | str | date
     selectivity: float
 
     @property
@@ -40,15 +41,19 @@ def _range(table: str, column: str, literals, op: str = "<=") -> list[Predicate]
     return [Predicate(table, column, op, v, s) for v, s in zip(literals, (0.25, 0.5, 0.75))]
 
 
+def _days(*days: str) -> list[date]:
+    return [date.fromisoformat(d) for d in days]
+
+
 # Literal and expected selectivity per filter field.
 PREDICATES = [
     *_range("lineitem", "l_quantity", (13.0, 26.0, 38.0)),
-    *_range("lineitem", "l_shipdate", ("1993-10-26", "1995-06-19", "1997-02-09")),
+    *_range("lineitem", "l_shipdate", _days("1993-10-26", "1995-06-19", "1997-02-09")),
     Predicate("orders", "o_orderstatus", "==", "F", 0.48627533333333334),
     Predicate("orders", "o_orderstatus", "==", "O", 0.4880293333333333),
     Predicate("orders", "o_orderstatus", "==", "P", 0.025695333333333334),
     *_range("orders", "o_totalprice", (77894.7475, 144409.03999999998, 215500.225)),
-    *_range("orders", "o_orderdate", ("1993-08-27", "1995-04-20", "1996-12-10")),
+    *_range("orders", "o_orderdate", _days("1993-08-27", "1995-04-20", "1996-12-10")),
     *_range("customer", "c_acctbal", (1757.6200000000001, 4477.3, 7246.3150000000005)),
     Predicate("customer", "c_mktsegment", "==", "AUTOMOBILE", 0.19834666666666667),
     Predicate("customer", "c_mktsegment", "==", "BUILDING", 0.20094666666666666),
@@ -71,6 +76,16 @@ RELATIONS = [
     Relation("supplier", "s_nationkey", "nation", "n_nationkey"),
 ]
 
+# Fields a job may filter.
+FILTER_FIELDS = {
+    "lineitem": ["l_quantity", "l_shipdate"],
+    "orders": ["o_orderstatus", "o_totalprice", "o_orderdate"],
+    "customer": ["c_acctbal", "c_mktsegment"],
+    "part": ["p_retailprice"],
+    "supplier": ["s_acctbal", "s_nationkey"],
+    "nation": ["n_regionkey"],
+}
+
 TABLES = ["lineitem", "orders", "customer", "part", "supplier", "nation"]
 
 # Fields a job may group by.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,17 +21,15 @@ COMPARE = {
     ">": lambda c, v: c > v,
     "==": lambda c, v: c == v,
     "contains": lambda c, v: c.contains(v),
-    "not like": lambda c, v: ~c.rlike(v),
+    "not like": lambda c, v: ~c.like(v),
+    "not matches": lambda c, v: ~c.rlike(v),
     "matches": lambda c, v: c.rlike(v),
 }
 
 
 def condition(column: str, op: str, literal) -> Column:
-    """Template comparison; text literals of date columns are read as dates."""
-    value = literal
-    if op == "<=" and isinstance(literal, str):
-        value = F.lit(literal).cast("date")
-    return COMPARE[op](F.col(column), value)
+    """Template comparison. A date is compared as a date, text as text; "like" takes a pattern of SQL, "matches" a regular expression."""
+    return COMPARE[op](F.col(column), F.lit(literal) if isinstance(literal, date) else literal)
 
 
 def all_of(*conditions: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -261,6 +263,43 @@ def whole_catalogue(t: Tables) -> DataFrame:
     return R.stack([R.predicate_catalogue(getattr(t, n), catalog.predicates_of(n)) for n in catalog.TABLES])
 
 
+def derived_catalogue(t: Tables) -> DataFrame:
+    """Filter literals of the given tables, derived from their rows."""
+    return R.stack([profile.literal_catalogue(getattr(t, n), n, fields) for n, fields in catalog.FILTER_FIELDS.items()])
+
+
+def literal_catalogue(t: Tables) -> DataFrame:
+    return derived_catalogue(t).withColumns({"number": F.round("number", 6), "selectivity": F.round("selectivity", 10)})
+
+
+def literal_catalogue_events(t: Tables) -> DataFrame:
+    """A column with nulls, one with NaN, text with a value below the share, documents' sources and languages."""
+    rows = t.events.select(
+        F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("vals"),
+        F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value") * 3).alias("nans"),
+        F.when(F.col("event_id") % 400 == 0, "rare").otherwise(F.col("event_type")).alias("kind"),
+        F.lit(7).alias("one"), "ts",
+    )
+    out = profile.literal_catalogue(rows, "events", ["vals", "nans", "kind", "one", "ts"], profile.QUARTILES_AND_TAIL)
+    return out.withColumns({"number": F.round("number", 6), "selectivity": F.round("selectivity", 10)})
+
+
+def derived_predicates(t: Tables) -> DataFrame:
+    """Every derived predicate run against its table: expected and measured rows."""
+    found: dict[str, list] = {}
+    for p in profile.predicates(derived_catalogue(t)):
+        found.setdefault(p.table, []).append(p)
+    return R.stack([R.predicate_catalogue(getattr(t, n), ps) for n, ps in found.items()])
+
+
+def derived_qerror(t: Tables) -> DataFrame:
+    """How far derived selectivities and measured ones are apart, by field and rank of the literal."""
+    rows = profile.qerror(derived_predicates(t)).withColumn("field", F.element_at(F.split("predicate", " "), 1))
+    return rows.groupBy("table_name", "field").agg(
+        F.count(F.lit(1)).alias("literals"), F.sum("rows_out").alias("rows_out"), F.round(F.max("qerror"), 6).alias("worst")
+    )
+
+
 def predicate_catalogue(t: Tables) -> DataFrame:
     return whole_catalogue(t).withColumn("actual", F.round("actual", 10)).drop("total")
 
@@ -274,11 +313,7 @@ def qerror(t: Tables) -> DataFrame:
 def _catalogue_sql() -> str:
     parts = []
     for p in catalog.PREDICATES:
-        if isinstance(p.literal, str):
-            kind = "DATE " if p.op == "<=" else ""
-            literal = f"{kind}'{p.literal}'"
-        else:
-            literal = repr(p.literal)
+        literal = repr(p.literal) if isinstance(p.literal, float) else ("DATE " if isinstance(p.literal, date) else "") + f"'{p.literal}'"
         op = "=" if p.op == "==" else p.op
         parts.append(
             f"SELECT '{p.table}' AS table_name, '{p.name}' AS predicate, "
@@ -292,6 +327,68 @@ def _union(parts) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _number_sql(table: str, c: str, p: float, rows: str | None = None) -> str:
+    return (
+        f"SELECT '{table}' AS table_name, '{c}' AS field, '<=' AS op, ROUND(quantile_cont({c}::DOUBLE, {p}), 6) AS number, "
+        f"NULL::VARCHAR AS text, {p}::DOUBLE AS selectivity FROM {rows or table}"
+    )
+
+
+def _time_sql(table: str, c: str, p: float, rows: str | None = None) -> str:
+    return (
+        f"SELECT '{table}', '{c}', '<=', NULL::DOUBLE, strftime(make_timestamp(floor(quantile_cont(epoch_us({c})::DOUBLE, {p}))::BIGINT), '%Y-%m-%d'), "
+        f"{p}::DOUBLE FROM {rows or table}"
+    )
+
+
+def _share_sql(table: str, c: str, rows: str | None = None) -> str:
+    of = rows or table
+    return (
+        f"SELECT '{table}', '{c}', '==', NULL::DOUBLE, {c}, ROUND(COUNT(*) / (SELECT COUNT(*) FROM {of})::DOUBLE, 10) FROM {of} "
+        f"WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) >= 0.01 * (SELECT COUNT(*) FROM {of})"
+    )
+
+
+_TIMES = ("l_shipdate", "o_orderdate")
+_WORDS = ("o_orderstatus", "c_mktsegment")
+
+
+def _literals_sql() -> str:
+    parts = []
+    for table, fields in catalog.FILTER_FIELDS.items():
+        for c in fields:
+            if c in _WORDS:
+                parts.append(_share_sql(table, c))
+            else:
+                one = _time_sql if c in _TIMES else _number_sql
+                parts += [one(table, c, p) for p in profile.QUARTILES]
+    numbers = [x for x in parts if "AS table_name" in x]
+    return _union(numbers + [x for x in parts if x not in numbers])
+
+
+def _derived_sql() -> str:
+    """Derived literals with the rows they let through."""
+    parts = []
+    for table, fields in catalog.FILTER_FIELDS.items():
+        total = f"(SELECT COUNT(*) FROM {table})"
+        for c in fields:
+            if c in _WORDS:
+                parts.append(
+                    f"SELECT '{table}' AS table_name, '{c}' AS field, COUNT(*) / {total}::DOUBLE AS selectivity, COUNT(*) AS rows_out, {total} AS total "
+                    f"FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) >= 0.01 * {total}"
+                )
+                continue
+            for p in profile.QUARTILES:
+                cut = f"quantile_cont({c}::DOUBLE, {p})"
+                if c in _TIMES:
+                    cut = f"CAST(make_timestamp(floor(quantile_cont(epoch_us({c})::DOUBLE, {p}))::BIGINT) AS DATE)"
+                parts.append(
+                    f"SELECT '{table}' AS table_name, '{c}' AS field, {p}::DOUBLE AS selectivity, "
+                    f"(SELECT COUNT(*) FROM {table} WHERE {c} <= (SELECT {cut} FROM {table})) AS rows_out, {total} AS total"
+                )
+    return _union(parts)
+
+
 QUERIES = {
     "filter_range": (
         q(lambda t: t.lineitem.where(R.condition("l_quantity", "<=", 13.0)).select("l_orderkey", "l_linenumber", "l_quantity")),
@@ -306,7 +403,7 @@ QUERIES = {
         "SELECT * FROM supplier WHERE s_nationkey = 6",
     ),
     "filter_date": (
-        q(lambda t: t.orders.where(R.condition("o_orderdate", "<=", "1996-12-10")).select("o_orderkey", F.to_date("o_orderdate").alias("d"))),
+        q(lambda t: t.orders.where(R.condition("o_orderdate", "<=", date(1996, 12, 10))).select("o_orderkey", F.to_date("o_orderdate").alias("d"))),
         "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate <= DATE '1996-12-10'",
     ),
     "filter_contains": (q(filter_contains), "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 're')"),
@@ -319,7 +416,7 @@ QUERIES = {
         "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_suppkey > l_partkey",
     ),
     "filter_not_like": (
-        q(lambda t: t.orders.where(R.condition("o_orderpriority", "not like", "NOT.*SPEC")).select("o_orderkey", "o_orderpriority")),
+        q(lambda t: t.orders.where(R.condition("o_orderpriority", "not like", "%NOT%SPEC%")).select("o_orderkey", "o_orderpriority")),
         "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT LIKE '%NOT%SPEC%'",
     ),
     "filter_pattern": (
@@ -516,6 +613,32 @@ QUERIES = {
            SELECT token, COUNT(*) AS n, ROUND(COUNT(*) * 1.0 / (SELECT COUNT(*) FROM part), 10) AS selectivity
            FROM tokens JOIN part ON contains(p_name, token) GROUP BY 1""",
     ),
+    "literal_catalogue": (q(literal_catalogue), _literals_sql()),
+    "literal_catalogue_events": (
+        q(literal_catalogue_events),
+        """WITH rows AS (SELECT CASE WHEN event_id % 5 <> 0 THEN value END AS vals, CASE WHEN event_id % 9 <> 0 THEN value * 3 END AS nans,
+                CASE WHEN event_id % 400 = 0 THEN 'rare' ELSE event_type END AS kind, 7 AS one, ts FROM events)
+           SELECT * FROM ("""
+        + _union(
+            [_number_sql("events", c, p, "rows") for c in ("vals", "nans", "one") for p in profile.QUARTILES_AND_TAIL]
+            + [_time_sql("events", "ts", p, "rows") for p in profile.QUARTILES_AND_TAIL]
+            + [_share_sql("events", "kind", "rows")]
+        )
+        + ") x",
+    ),
+    "derived_predicates": (
+        q(lambda t: derived_predicates(t).select(
+            "table_name", F.element_at(F.split("predicate", " "), 1).alias("field"), F.round("expected", 10).alias("expected"), "rows_out", F.round("actual", 10).alias("actual"), "total"
+        )),
+        f"WITH x AS ({_derived_sql()}) SELECT table_name, field, ROUND(selectivity, 10) AS expected, rows_out, ROUND(rows_out / total, 10) AS actual, total FROM x",
+    ),
+    "derived_qerror": (
+        q(derived_qerror),
+        f"""WITH x AS ({_derived_sql()})
+            SELECT table_name, field, COUNT(*) AS literals, SUM(rows_out)::BIGINT AS rows_out,
+                   ROUND(MAX(CASE WHEN rows_out > 0 THEN greatest(selectivity * total / rows_out, rows_out / (selectivity * total)) END), 6) AS worst
+            FROM x GROUP BY 1, 2""",
+    ),
     "predicate_catalogue": (
         q(predicate_catalogue),
         f"SELECT table_name, predicate, expected, rows_out, ROUND(rows_out / total, 10) AS actual FROM ({_catalogue_sql()}) c",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def _job_sql(job: jobs.Job) -> str:
                 body = f"SELECT * FROM {s.table}"
             elif s.pact == "Filter":
                 p = s.predicate
-                literal = repr(p.literal) if not isinstance(p.literal, str) else ("DATE " if p.op == "<=" else "") + f"'{p.literal}'"
+                literal = repr(p.literal) if isinstance(p.literal, float) else ("DATE " if isinstance(p.literal, date) else "") + f"'{p.literal}'"
                 body = f"SELECT * FROM {here} WHERE {p.column} {'=' if p.op == '==' else p.op} {literal}"
             elif s.pact in ("Group by", "Reduce"):
                 way = "DESC" if s.keep == "last" else "ASC"
