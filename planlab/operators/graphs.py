@@ -1,13 +1,13 @@
 """Plan graphs as node and edge tables.
 
-Nodes: ``plan_id, id, pact``; edges: ``plan_id, src, dst``. Traversals advance one level of
-every plan per round and keep the frontier as a table, so their rounds follow plan depth and
-their joins are keyed by single nodes.
+Nodes: ``plan_id, id, pact``; edges: ``plan_id, src, dst``. Traversals advance all plans at once and keep
+their state as tables keyed by single nodes: by doubled path lengths where the length alone is asked for, level by level, 64
+starts to a row, where it matters what reaches what.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from planlab.functions.scalars import OPERATOR_GROUPS, category_of, with_unit
 from planlab.operators import ordered
 from planlab.operators.relational import stack
-from planlab.session import checkpointed
+from planlab.session import stored
 
 CATEGORIES = list(OPERATOR_GROUPS)
 
@@ -159,77 +159,110 @@ def sinks(nodes: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame
 def longest_path(nodes: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame:
     """Number of edges on the longest path of each acyclic plan.
 
-    Round i holds the nodes some path of exactly i edges ends in; a plan's answer is the last
-    round it appears in. No path has more edges than its plan has nodes that edges lead to; a longer one is
-    a cycle and refused.
+    Round k finds the pairs of nodes that some path of exactly 2**k edges joins, from those of the round before,
+    until there are none: a number of rounds logarithmic in the longest path. A plan's answer is then put together from the
+    highest power down: of the nodes that some path of the length so far ends in, those that 2**k edges more lead on from,
+    if there are any. A path with as many edges as the plan has nodes is a cycle and refused.
+    """
+    pairs = stored(edges.select(key, "src", "dst").distinct())
+    powers, size = [], nodes.groupBy(key).agg(F.count_distinct("id").alias("__nodes"))
+    most = size.agg(F.max("__nodes")).first()[0] or 0
+    while not pairs.isEmpty():
+        if 1 << len(powers) >= max(most, 1):
+            raise ValueError("a plan is not acyclic")
+        powers.append(pairs)
+        onward = pairs.select(key, F.col("src").alias("dst"), F.col("dst").alias("__to"))
+        pairs = stored(pairs.join(onward, [key, "dst"]).select(key, "src", F.col("__to").alias("dst")).distinct())
+    state = nodes.select(key, "id").distinct().withColumn("length", F.lit(0))
+    of_plan = W.partitionBy(key)  # a plan is one document
+    for k in reversed(range(len(powers))):
+        step = powers[k].select(key, F.col("src").alias("id"), F.col("dst").alias("__to"))
+        here = F.struct("id", "length")
+        there = F.struct(F.col("__to").alias("id"), (F.col("length") + (1 << k)).alias("length"))
+        both = F.when(F.col("__to").isNull(), F.array(here)).otherwise(F.array(here, there))
+        state = state.join(step, [key, "id"], "left").select(key, F.inline(both)).distinct()
+        state = state.withColumn("__most", F.max("length").over(of_plan)).where("length = __most").drop("__most")
+    out = state.groupBy(key).agg(F.max("length").alias("longest_path")).join(size, key)
+    cycle = F.raise_error(F.lit("a plan is not acyclic")).cast("int")
+    return out.select(key, F.when(F.col("longest_path") >= F.col("__nodes"), cycle).otherwise(F.col("longest_path")).alias("longest_path"))
+
+
+@dataclass
+class Closure:
+    """Which starts reach which nodes, 64 starts of a plan to a row.
+
+    ``labels``: ``plan_id, id, depth, word, bits``, where bit b of ``bits`` says that start number 64 * word + b first
+    reaches the node by ``depth`` edges. ``numbers``: ``plan_id, start, word, bit``. Rows grow with the nodes and the depths
+    at which they are met, not with starts times nodes.
     """
-    edges = checkpointed(edges.select(key, "src", "dst"))
-    most = edges.select(key, "dst").distinct().groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    frontier = nodes.select(key, "id").distinct()
-    reached = [frontier.select(key).distinct().withColumn("length", F.lit(0))]
-    for length in range(1, most + 2):
-        frontier = (
-            edges.join(frontier.withColumnRenamed("id", "src"), [key, "src"], "left_semi")
-            .select(key, F.col("dst").alias("id"))
-            .distinct()
-        )
-        frontier = checkpointed(frontier)
-        if frontier.isEmpty():
-            return stack(reached).groupBy(key).agg(F.max("length").alias("longest_path"))
-        reached.append(frontier.select(key).distinct().withColumn("length", F.lit(length)))
-        if len(reached) > 16:  # keep the plan small on deep graphs
-            reached = [checkpointed(stack(reached).groupBy(key).agg(F.max("length").alias("length")))]
-    raise ValueError("a plan is not acyclic")
 
+    labels: DataFrame
+    numbers: DataFrame
+    edges: DataFrame
+    key: str
 
-def reachable(start: DataFrame, edges: DataFrame, key: str = "plan_id", direction: str = "children") -> DataFrame:
-    """Nodes reachable from each start node with the least number of edges and the node before.
+    def pairs(self) -> DataFrame:
+        """``plan_id, start, id, depth`` of every start and node it reaches: the closure written out."""
+        both = self.labels.join(self.numbers, [self.key, "word"]).where(_has_bit())
+        return both.select(self.key, "start", "id", "depth")
+
+
+def _has_bit(bits: str = "bits", bit: str = "bit") -> Column:
+    return F.expr(f"(shiftrightunsigned({bits}, {bit}) & 1) = 1")
 
-    ``start``: ``plan_id, id``. Give ``direction="parents"`` to walk upwards, for instance to
-    find which sources feed a node.
+
+def closure(start: DataFrame, edges: DataFrame, key: str = "plan_id", direction: str = "children") -> Closure:
+    """Nodes reachable from the start nodes (``plan_id, id``), level by level of edges.
+
+    Give ``direction="parents"`` to walk upwards, for instance to find which sources feed a node.
     """
     a, b = ("src", "dst") if direction == "children" else ("dst", "src")
-    edges = checkpointed(edges.select(key, F.col(a).alias("__a"), F.col(b).alias("__b")))
-    front = start.select(
-        key, F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.col("id").alias("before")
-    )
-    front = checkpointed(front)
-    seen, frontiers, depth = front, [front], 0
-    while not front.isEmpty():
-        depth += 1
-        step = (
-            front.withColumnRenamed("id", "__a")
-            .join(edges, [key, "__a"])
-            .groupBy(key, "start", F.col("__b").alias("id"))
-            .agg(F.min("__a").alias("before"))
-            .withColumn("depth", F.lit(depth))
-        )
-        front = checkpointed(
-            step.join(seen.select(key, "start", "id"), [key, "start", "id"], "left_anti").select(*front.columns)
-        )
-        frontiers.append(front)
-        seen = reduce(lambda x, y: x.unionByName(y), frontiers)
-        if len(frontiers) > 16:
-            seen = checkpointed(seen)
-            frontiers = [seen]
-    return seen
+    edges = stored(edges.select(key, F.col(a).alias("__a"), F.col(b).alias("__b")).distinct())
+    place = F.row_number().over(W.partitionBy(key).orderBy("id")) - 1
+    numbers = start.select(key, "id").distinct().withColumn("__n", place)
+    numbers = stored(numbers.select(key, F.col("id").alias("start"), F.floor(F.col("__n") / 64).cast("int").alias("word"), (F.col("__n") % 64).alias("bit")))
+    own = F.expr("shiftleft(1L, bit)")
+    front = stored(numbers.select(key, F.col("start").alias("id"), F.lit(0).alias("depth"), "word", own.alias("bits")))
+    seen, levels = front, [front]
+    while True:
+        onward = front.select(key, F.col("id").alias("__a"), "word", "bits").join(edges, [key, "__a"])
+        met = onward.groupBy(key, F.col("__b").alias("id"), "word").agg(F.bit_or("bits").alias("__met"))
+        known = seen.groupBy(key, "id", "word").agg(F.bit_or("bits").alias("__known"))
+        new = met.join(known, [key, "id", "word"], "left").withColumn("bits", F.expr("__met & ~coalesce(__known, 0L)"))
+        front = stored(new.where("bits <> 0").select(key, "id", F.lit(len(levels)).alias("depth"), "word", "bits"))
+        if front.isEmpty():
+            return Closure(stack(levels) if len(levels) < 16 else stored(stack(levels)), numbers, edges, key)
+        levels.append(front)
+        seen = stack(levels) if len(levels) % 16 else stored(stack(levels).groupBy(key, "id", "word").agg(F.bit_or("bits").alias("bits")))
+
+
+def reachable(start: DataFrame, edges: DataFrame, key: str = "plan_id", direction: str = "children") -> DataFrame:
+    """Every start node with every node it reaches and the least number of edges: ``plan_id, start, id, depth``."""
+    return closure(start, edges, key, direction).pairs()
 
 
 def shortest_branch(pairs: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame:
-    """Nodes on a shortest path for each wanted ``plan_id, start, id`` pair: one row per node."""
-    starts = pairs.select(key, F.col("start").alias("id")).distinct()
-    tree = checkpointed(reachable(starts, edges, key))
-    here = pairs.select(key, "start", F.col("id").alias("target"), "id")
-    here = here.join(tree, [key, "start", "id"])
-    found = []
-    while True:
-        here = checkpointed(here.select(key, "start", "target", "id", "depth", "before"))
-        if here.isEmpty():
-            break
-        found.append(here.select(key, "start", "target", F.col("depth").alias("place"), "id"))
-        up = here.where("depth > 0").select(key, "start", "target", F.col("before").alias("id"))
-        here = up.join(tree, [key, "start", "id"])
-    return stack(found)
+    """Nodes on a shortest path for each wanted ``plan_id, start, id`` pair that is joined: one row per node.
+
+    From the target back, each step takes the least node that the start first reaches one edge earlier; whether it does is a bit
+    in the closure's labels.
+    """
+    found = closure(pairs.select(key, F.col("start").alias("id")).distinct(), edges, key)
+    labels = stored(found.labels)
+    here = pairs.select(key, "start", F.col("id").alias("target")).distinct().join(found.numbers, [key, "start"])
+    ends = labels.select(key, F.col("id").alias("target"), "depth", "word", "bits")
+    here = here.join(ends, [key, "target", "word"]).where(_has_bit())
+    here = stored(here.select(key, "start", "target", "word", "bit", F.col("target").alias("id"), F.col("depth").alias("place")))
+    rows = [here]
+    while not here.where("place > 0").isEmpty():
+        up = here.where("place > 0").withColumn("depth", F.col("place") - 1).withColumnRenamed("id", "__b")
+        up = up.join(found.edges, [key, "__b"]).withColumnRenamed("__a", "id")
+        up = up.join(labels, [key, "id", "depth", "word"]).where(_has_bit())
+        here = stored(up.groupBy(key, "start", "target", "word", "bit", F.col("depth").alias("place")).agg(F.min("id").alias("id")))
+        rows.append(here)
+        if len(rows) > 16:
+            rows = [stored(stack(rows))]
+    return stack(rows).select(key, "start", "target", "place", "id")
 
 
 def plan_graph_features(

@@ -313,7 +313,18 @@ QUERIES = {
         f"""WITH RECURSIVE {DIALOGUE_SQL}, {BFS_SQL.format(start="snk", to="src", at="dst")}
             SELECT DISTINCT r.plan_id, r.start AS sink, r.id AS source FROM r JOIN src ON src.plan_id = r.plan_id AND src.id = r.id""",
     ),
-    "shortest_branch": (q(shortest_branch), None),
+    "shortest_branch": (
+        q(shortest_branch),
+        f"""WITH RECURSIVE {DIALOGUE_SQL}, {BFS_SQL.format(start="src", to="dst", at="src")},
+            d AS (SELECT plan_id, start, id, MIN(depth) AS depth FROM r GROUP BY 1, 2, 3),
+            back AS (SELECT d.plan_id, d.start, d.id AS target, d.depth AS place, d.id FROM d JOIN snk ON d.plan_id = snk.plan_id AND d.id = snk.id
+                     UNION ALL
+                     SELECT b.plan_id, b.start, b.target, b.place - 1,
+                            (SELECT MIN(e.src) FROM edges e JOIN d ON d.plan_id = e.plan_id AND d.id = e.src
+                             WHERE e.plan_id = b.plan_id AND e.dst = b.id AND d.start = b.start AND d.depth = b.place - 1)
+                     FROM back b WHERE b.place > 0)
+            SELECT plan_id, start, target, place, id FROM back""",
+    ),
     "graph_features": (
         q(graph_features),
         f"""WITH RECURSIVE {DIALOGUE_SQL}, {BFS_SQL.format(start="nodes", to="dst", at="src")}

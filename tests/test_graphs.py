@@ -1,5 +1,7 @@
 """Graph operators on small plans, walks and join paths."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,82 @@ def test_join_paths(spark):
     got = {tuple(r["tables"]) for r in walks.join_paths(edges, 2).collect()}
     assert got == {("a", "b", "c"), ("c", "b", "a")}
     assert walks.join_paths(edges, 3).count() == 0
+
+
+def random_plans(seed, plans=6, size=24):
+    draw = random.Random(seed)
+    out = []
+    for p in range(plans):
+        n = draw.randint(1, size)
+        out += [(f"p{p}", u, v) for u in range(n) for v in range(u + 1, n) if draw.random() < 0.15]
+        out += [out[-1]] if out else []  # an edge twice
+    return out
+
+
+def distances(edges):
+    """Least edges from every node to every node of its plan, by breadth first search."""
+    after, out = {}, {}
+    for p, u, v in edges:
+        after.setdefault((p, u), set()).add(v)
+    for p, start in {(p, x) for p, u, v in edges for x in (u, v)}:
+        front, depth, seen = {start}, 0, {start: 0}
+        while front:
+            depth += 1
+            front = {v for u in front for v in after.get((p, u), ())} - set(seen)
+            seen |= dict.fromkeys(front, depth)
+        out |= {(p, start, x): d for x, d in seen.items()}
+    return out
+
+
+def longest(edges):
+    out = {}
+    for p, u, v in sorted(set(edges), key=lambda e: e[1]):
+        out[p, v] = max(out.get((p, v), 0), out.get((p, u), 0) + 1)
+    return {p: max(d for (q, _), d in out.items() if q == p) for p, _ in out}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_plans(spark, seed):
+    rows = random_plans(seed)
+    edges = spark.createDataFrame(rows, "plan_id string, src int, dst int").repartition(3)
+    nodes = edges.selectExpr("plan_id", "src AS id").union(edges.selectExpr("plan_id", "dst AS id")).distinct()
+    assert {r.plan_id: r.longest_path for r in graphs.longest_path(nodes, edges).collect()} == longest(rows)
+    want = distances(rows)
+    assert {(r.plan_id, r.start, r.id): r.depth for r in graphs.reachable(nodes, edges).collect()} == want
+    pairs = [k for k, d in want.items() if d > 1][::3]
+    got = {}
+    asked = spark.createDataFrame(pairs + [(p, b, a) for p, a, b in pairs], "plan_id string, start int, id int")
+    for r in graphs.shortest_branch(asked, edges).collect():
+        got.setdefault((r.plan_id, r.start, r.target), {})[r.place] = r.id
+    assert set(got) == set(pairs)
+    known = set(rows)
+    for (p, start, target), path in got.items():
+        assert path[0] == start and path[want[p, start, target]] == target and len(path) == want[p, start, target] + 1
+        assert all((p, path[i], path[i + 1]) in known for i in range(len(path) - 1))
+
+
+def test_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    keep = graphs.stored
+    monkeypatch.setattr(graphs, "stored", lambda df: rounds.append(1) or keep(df))
+    edges = spark.range(5000).selectExpr("'c' AS plan_id", "id AS src", "id + 1 AS dst")
+    nodes = spark.range(5001).selectExpr("'c' AS plan_id", "id")
+    assert [tuple(r) for r in graphs.longest_path(nodes, edges).collect()] == [("c", 5000)]
+    assert len(rounds) <= 14
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 64])
+def test_every_cycle_is_refused(spark, size):
+    edges = spark.range(size).selectExpr("'c' AS plan_id", "id AS src", f"(id + 1) % {size} AS dst")
+    nodes = spark.range(size + 3).selectExpr("'c' AS plan_id", "id")
+    with pytest.raises(Exception, match="not acyclic"):
+        graphs.longest_path(nodes, edges).collect()
+
+
+def test_closure_packs_starts(spark):
+    """300 starts that all reach 40 nodes: a row for 64 of them, not one for each."""
+    edges = spark.range(300 * 40).selectExpr("'w' AS plan_id", "id % 300 AS src", "1000 + id DIV 300 AS dst")
+    starts = spark.range(300).selectExpr("'w' AS plan_id", "id")
+    found = graphs.closure(starts, edges)
+    assert found.labels.count() == 300 + 40 * 5
+    assert found.pairs().where("id >= 1000").count() == 300 * 40
