@@ -348,6 +348,32 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
-def category_counts(df: DataFrame, key: str, category: str, categories: list[str]) -> DataFrame:
-    """Counts of each category spread to columns, 0 where absent."""
-    return df.groupBy(key).agg(*[F.count_if(F.col(category) == c).alias(f"n_{c}") for c in categories])
+def found_categories(df: DataFrame, column: str) -> list:
+    """The values of a category column in order, null last. They become columns, so too many are refused as a pivot would."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values to spread into columns")
+    return sorted(values, key=lambda v: (v is None, v if v is not None else ""))
+
+
+def category_rows(df: DataFrame, key: str | list[str], category: str) -> DataFrame:
+    """How often each category occurs per key, null as one of them: ``key, category, n``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.groupBy(*keys, F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spread(long: DataFrame, key: str | list[str], names: dict, value: Column, fold=F.sum, fill=0) -> DataFrame:
+    """Rows ``key, category, ...`` to one row per key with a column per category, ``names`` by category."""
+    keys = [key] if isinstance(key, str) else list(key)
+    cell = lambda c: F.when(F.col("category").eqNullSafe(F.lit(c)), value)
+    cells = [F.coalesce(fold(cell(c)), F.lit(fill)) if fill is not None else fold(cell(c)) for c in names]
+    return long.groupBy(*keys).agg(*[x.alias(n) for x, n in zip(cells, names.values())])
+
+
+def category_counts(df: DataFrame, key: str, category: str, categories: list | None = None) -> DataFrame:
+    """Counts of each category spread to columns ``n_<category>``, 0 where absent: the categories that are there, null among
+    them as ``n_null``, or the listed ones."""
+    found = found_categories(df, category) if categories is None else categories
+    names = {c: f"n_{'null' if c is None else c}" for c in found}
+    return spread(category_rows(df, key, category), key, names, F.col("n"))

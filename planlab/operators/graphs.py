@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from planlab.functions.scalars import OPERATOR_GROUPS, category_of, with_unit
 from planlab.operators import ordered
+from planlab.operators.features import category_rows, found_categories, spread
 from planlab.operators.relational import stack
 from planlab.session import stored
 
@@ -46,32 +47,43 @@ def iteration_edges(nodes: DataFrame, key: str = "plan_id") -> DataFrame:
     return inner.unionByName(loops.select(key, F.inline(pairs)))
 
 
-def neighbours_by_category(
-    nodes: DataFrame, edges: DataFrame, direction: str, categories: list[str], key: str = "plan_id"
-) -> DataFrame:
-    """Per node the number of parents (``direction="parents"``) or children of each category."""
+def neighbour_rows(nodes: DataFrame, edges: DataFrame, direction: str, key: str = "plan_id") -> DataFrame:
+    """Per node and category the number of its parents (``direction="parents"``) or children: ``plan_id, id, category, n``.
+
+    Every category is counted, null among them; nodes without such relatives have no row.
+    """
     mine, other = ("dst", "src") if direction == "parents" else ("src", "dst")
     kind = nodes.select(key, F.col("id").alias(other), F.col("category").alias("__c"))
-    counts = edges.join(kind, [key, other]).groupBy(key, F.col(mine).alias("id")).agg(
-        *[F.count_if(F.col("__c") == c).alias(f"{direction}_{i}") for i, c in enumerate(categories)]
-    )
-    columns = [f"{direction}_{i}" for i in range(len(categories))]
-    return nodes.select(key, "id").join(counts, [key, "id"], "left").fillna(0, columns)
+    long = edges.join(kind, [key, other]).select(key, F.col(mine).alias("id"), "__c")
+    return category_rows(long, [key, "id"], "__c")
 
 
-def category_text(direction: str, categories: list[str]) -> Column:
-    """Sorted, comma-joined category list of a node's relatives, written from its counts."""
-    order = sorted(range(len(categories)), key=lambda i: categories[i])
-    runs = [F.array_repeat(F.lit(categories[i]), F.col(f"{direction}_{i}").cast("int")) for i in order]
+def neighbours_by_category(
+    nodes: DataFrame, edges: DataFrame, direction: str, categories: list | None = None, key: str = "plan_id"
+) -> DataFrame:
+    """The same spread to columns ``<direction>_<place of the category>``, 0 where there is none: the categories the nodes
+    have, in order, or the listed ones."""
+    found = found_categories(nodes, "category") if categories is None else categories
+    names = {c: f"{direction}_{i}" for i, c in enumerate(found)}
+    counts = spread(neighbour_rows(nodes, edges, direction, key), [key, "id"], names, F.col("n"))
+    return nodes.select(key, "id").join(counts, [key, "id"], "left").fillna(0, list(names.values()))
+
+
+def category_text(direction: str, categories: list) -> Column:
+    """Sorted, comma-joined category list of a node's relatives, written from its counts; null is written ``null``."""
+    named = ["null" if c is None else c for c in categories]
+    order = sorted(range(len(named)), key=lambda i: named[i])
+    runs = [F.array_repeat(F.lit(named[i]), F.col(f"{direction}_{i}").cast("int")) for i in order]
     return F.array_join(F.concat(*runs), ", ")
 
 
-def enriched_nodes(nodes: DataFrame, edges: DataFrame, categories: list[str], key: str = "plan_id") -> DataFrame:
+def enriched_nodes(nodes: DataFrame, edges: DataFrame, categories: list | None = None, key: str = "plan_id") -> DataFrame:
     """Nodes with parent and child counts and texts."""
+    found = found_categories(nodes, "category") if categories is None else categories
     out = nodes
     for direction in ("parents", "children"):
-        out = out.join(neighbours_by_category(nodes, edges, direction, categories, key), [key, "id"])
-        out = out.withColumn(f"{direction}_text", category_text(direction, categories))
+        out = out.join(neighbours_by_category(nodes, edges, direction, found, key), [key, "id"])
+        out = out.withColumn(f"{direction}_text", category_text(direction, found))
     return out
 
 
@@ -88,24 +100,17 @@ def checked_category(column: str = "pact", groups=OPERATOR_GROUPS) -> Column:
     return F.when(F.col(column).isin(*known), category_of(column, groups)).otherwise(bad)
 
 
-def relative_pairs(enriched: DataFrame, categories: list[str], key: str = "plan_id") -> DataFrame:
+def relative_pairs(nodes: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame:
     """One row per node and (parent category, child category), with how many parent/child
-    combinations it stands for; the empty text stands for no relative."""
-
-    def present(direction: str) -> Column:
-        cells = F.array(
-            *[
-                F.struct(F.lit(c).alias("c"), F.col(f"{direction}_{i}").alias("n"))
-                for i, c in enumerate(categories)
-            ]
-        )
-        found = F.filter(cells, lambda x: x["n"] > 0)
-        none = F.array(F.struct(F.lit("").alias("c"), F.lit(1).cast("bigint").alias("n")))
-        return F.when(F.size(found) > 0, found).otherwise(none)
-
-    rows = enriched.select(key, "id", "category", present("parents").alias("p"), present("children").alias("c"))
-    rows = rows.withColumn("p", F.explode("p")).withColumn("c", F.explode("c"))
-    return rows.select(
+    combinations it stands for; the empty text stands for no relative, null for one without a category."""
+    out = nodes.select(key, "id", "category")
+    for direction, name in (("parents", "p"), ("children", "c")):
+        rows = neighbour_rows(nodes, edges, direction, key)
+        rows = rows.select(key, "id", F.struct(F.col("category").alias("c"), "n").alias(name))
+        out = out.join(rows, [key, "id"], "left")
+        none = F.struct(F.lit("").alias("c"), F.lit(1).cast("bigint").alias("n"))
+        out = out.withColumn(name, F.coalesce(name, none))
+    return out.select(
         key,
         "id",
         "category",
@@ -266,24 +271,28 @@ def shortest_branch(pairs: DataFrame, edges: DataFrame, key: str = "plan_id") ->
 
 
 def plan_graph_features(
-    nodes: DataFrame, edges: DataFrame, categories: list[str], key: str = "plan_id"
+    nodes: DataFrame, edges: DataFrame, categories: list | None = None, key: str = "plan_id"
 ) -> DataFrame:
-    """One row per plan: category counts, nodes, edges, longest path, mean parallelism."""
-    counts = nodes.groupBy(key).agg(
-        *[F.count_if(F.col("category") == c).alias(f"n_{i}") for i, c in enumerate(categories)],
-        F.count_distinct("id").alias("n_nodes"),
-        F.avg("parallelism").alias("avg_parallelism"),
-    )
+    """One row per plan: category counts (``n_<place of the category>``), nodes, edges, longest path, mean parallelism."""
+    found = found_categories(nodes, "category") if categories is None else categories
+    names = {c: f"n_{i}" for i, c in enumerate(found)}
+    kinds = spread(category_rows(nodes, key, "category"), key, names, F.col("n"))
+    counts = nodes.groupBy(key).agg(F.count_distinct("id").alias("n_nodes"), F.avg("parallelism").alias("avg_parallelism"))
     n_edges = edges.groupBy(key).agg(F.count(F.lit(1)).alias("n_edges"))
-    out = counts.join(n_edges, key, "left").join(longest_path(nodes, edges, key), key, "left")
+    out = kinds.join(counts, key).join(n_edges, key, "left").join(longest_path(nodes, edges, key), key, "left")
     return out.fillna(0, ["n_edges", "longest_path"])
 
 
-def plan_costs(nodes: DataFrame, names: list[str], key: str = "plan_id") -> DataFrame:
-    """Mean of each named cost over the nodes of a plan; unreadable numbers are left out."""
+def cost_rows(nodes: DataFrame, key: str = "plan_id") -> DataFrame:
+    """Mean of every cost over the nodes of a plan, whatever its name: ``plan_id, category, mean``. Unreadable numbers are left out."""
     long = nodes.select(key, F.explode("costs").alias("c")).select(
-        key, F.col("c.name").alias("name"), with_unit(F.col("c.value")).alias("value")
-    )
-    return long.groupBy(key).agg(
-        *[F.avg(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
+        key, F.col("c.name").alias("category"), with_unit(F.col("c.value")).alias("value")
     )
+    return long.groupBy(key, "category").agg(F.avg("value").alias("mean"))
+
+
+def plan_costs(nodes: DataFrame, names: list | None = None, key: str = "plan_id") -> DataFrame:
+    """The same with a column per cost: the names that are there, or the listed ones."""
+    rows = cost_rows(nodes, key)
+    found = found_categories(rows, "category") if names is None else names
+    return spread(rows, key, {n: "null" if n is None else n for n in found}, F.col("mean"), F.max, None)

@@ -49,9 +49,9 @@ def group_product(t: Tables) -> DataFrame:
 
 
 def category_blocks(t: Tables) -> DataFrame:
-    """Per category statistics of a group, all categories in one pass."""
+    """Per category statistics of a group, all categories that occur in one pass."""
     cells = []
-    for c in TYPES:
+    for c in features.found_categories(t.events, "event_type"):
         value = F.when(F.col("event_type") == c, F.col("value"))
         cells += features.block(value, c, ("mean", "std", "min", "max", "sum"))
     return rounded(t.events.groupBy("user_id").agg(*cells).fillna(0.0))
@@ -62,7 +62,14 @@ def used_values(t: Tables) -> DataFrame:
 
 
 def pivot_counts(t: Tables) -> DataFrame:
-    return features.category_counts(t.events, "user_id", "event_type", TYPES)
+    return features.category_counts(t.events, "user_id", "event_type")
+
+
+def pivot_open(t: Tables) -> DataFrame:
+    """A type that no list knows, and events without one."""
+    key = F.col("event_id")
+    kind = F.when(key % 17 == 0, "refund").when(key % 13 != 0, F.col("event_type"))
+    return features.category_counts(t.events.select("user_id", kind.alias("kind")), "user_id", "kind")
 
 
 def quantile_grid(t: Tables, method: str) -> DataFrame:
@@ -281,6 +288,13 @@ QUERIES = {
         q(pivot_counts),
         "SELECT user_id, " + ", ".join(f"COUNT(*) FILTER (WHERE event_type = '{c}') AS n_{c}" for c in TYPES) + " FROM events GROUP BY 1",
     ),
+    "pivot_open": (
+        q(pivot_open),
+        """WITH e AS (SELECT user_id, CASE WHEN event_id % 17 = 0 THEN 'refund' WHEN event_id % 13 <> 0 THEN event_type END AS kind FROM events)
+           SELECT user_id, """
+        + ", ".join(f"COUNT(*) FILTER (WHERE kind = '{c}') AS n_{c}" for c in [*TYPES, "refund"])
+        + ", COUNT(*) FILTER (WHERE kind IS NULL) AS n_null FROM e GROUP BY 1",
+    ),
     "quantile_grid_lower": (q(lambda t: quantile_grid(t, "lower")), _grid_sql("floor")),
     "quantile_grid_higher": (q(lambda t: quantile_grid(t, "higher")), _grid_sql("ceil")),
     "trim_outliers": (

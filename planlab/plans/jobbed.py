@@ -195,11 +195,19 @@ def plan_documents(t: Tables) -> DataFrame:
     nodes, edges = plan_tables(t)
     categories = ["Data Source", "Map", "Data Sink"]
     out = graphs.plan_graph_features(nodes, edges, categories)
-    out = out.join(graphs.plan_costs(nodes, ["Disk", "CPU"]), "plan_id")
+    out = out.join(graphs.plan_costs(nodes), "plan_id")
     run_time = documents.parse_plans(plan_texts(t)).select("plan_id", "net_run_time")
     return rounded(out.join(run_time, "plan_id"))
 
 
+def open_costs(t: Tables) -> DataFrame:
+    """Plans of which some count a cost that no list knows, and one without a name."""
+    texts = plan_texts(t).withColumn("value", F.when(F.col("plan_id") % 3 == 0, F.replace("value", F.lit('"CPU"'), F.lit('"Network"')))
+                                     .when(F.col("plan_id") % 7 == 0, F.replace("value", F.lit('"name": "CPU"'), F.lit('"name": null')))
+                                     .otherwise(F.col("value")))
+    return rounded(graphs.plan_costs(documents.plan_nodes(documents.parse_plans(texts))))
+
+
 def plan_edges(t: Tables) -> DataFrame:
     return plan_tables(t)[1]
 
@@ -254,6 +262,13 @@ QUERIES = {
         """SELECT p_partkey AS plan_id, 1 AS n_0, 1 AS n_1, 1 AS n_2, 3 AS n_nodes, ROUND((8 + p_size + 1) / 3.0::DOUBLE, 6) AS avg_parallelism,
                   3 AS n_edges, 2 AS longest_path, (p_size + 0.5 + 2000) / 2.0::DOUBLE AS "Disk", 0.0::DOUBLE AS "CPU", p_size AS net_run_time FROM part""",
     ),
+    "open_costs": (
+        q(open_costs),
+        """SELECT p_partkey AS plan_id, (p_size + 0.5 + 2000) / 2.0::DOUBLE AS "Disk",
+                  CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 THEN 0.0::DOUBLE END AS "CPU",
+                  CASE WHEN p_partkey % 3 = 0 THEN 0.0::DOUBLE END AS "Network",
+                  CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 7 = 0 THEN 0.0::DOUBLE END AS "null" FROM part""",
+    ),
     "plan_edges": (
         q(plan_edges),
         """SELECT p_partkey AS plan_id, 3 AS src, 2 AS dst, 'Forward' AS ship_strategy, FALSE AS broadcast FROM part

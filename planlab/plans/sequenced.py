@@ -83,20 +83,40 @@ def transition_faults(t: Tables) -> DataFrame:
 
 def graph_transitions(t: Tables) -> DataFrame:
     nodes, edges = dialogue(t)
-    pairs = graphs.relative_pairs(graphs.enriched_nodes(nodes, edges, ROLES), ROLES)
-    return graphs.transitions(pairs).select("from_state", "to_state", "n", F.round("p", 10).alias("p"))
+    return graphs.transitions(graphs.relative_pairs(nodes, edges)).select("from_state", "to_state", "n", F.round("p", 10).alias("p"))
 
 
 def enriched(t: Tables) -> DataFrame:
     nodes, edges = dialogue(t)
-    return graphs.enriched_nodes(nodes, edges, ROLES).drop("parallelism")
+    return graphs.enriched_nodes(nodes, edges).drop("parallelism")
+
+
+def open_roles(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The dialogue with a role that no list knows, and turns without one."""
+    nodes, edges = dialogue(t)
+    role = F.when(F.col("id") % 5 == 3, "tool").when(F.col("id") % 7 != 4, F.col("category"))
+    return nodes.withColumn("category", role), edges
+
+
+def enriched_open(t: Tables) -> DataFrame:
+    nodes, edges = open_roles(t)
+    return graphs.enriched_nodes(nodes, edges).drop("parallelism")
+
+
+def graph_transitions_open(t: Tables) -> DataFrame:
+    out = graphs.transitions(graphs.relative_pairs(*open_roles(t)))
+    return out.select("from_state", "to_state", "n", F.round("p", 10).alias("p"))
+
+
+def graph_features_open(t: Tables) -> DataFrame:
+    out = graphs.plan_graph_features(*open_roles(t))
+    return out.withColumn("avg_parallelism", F.round("avg_parallelism", 6))
 
 
 def relatives(t: Tables) -> DataFrame:
     nodes, edges = dialogue(t)
-    rich = graphs.neighbours_by_category(nodes, edges, "children", ROLES)
-    total = rich.withColumn("n", F.col("children_0") + F.col("children_1") + F.col("children_2"))
-    total = total.join(nodes.select("plan_id", "id", "category"), ["plan_id", "id"])
+    total = graphs.neighbour_rows(nodes, edges, "children").groupBy("plan_id", "id").agg(F.sum("n").alias("n"))
+    total = nodes.select("plan_id", "id", "category").join(total, ["plan_id", "id"], "left").fillna(0, ["n"])
     grid = [0.01 + i * 0.01 for i in range(99)]
     out = ordered.quantiles(total, ["category"], "n", grid, "lower")
     return out.select("category", F.round(F.col("q") * 100).cast("int").alias("pct"), "v")
@@ -139,7 +159,7 @@ def shortest_branch(t: Tables) -> DataFrame:
 
 def graph_features(t: Tables) -> DataFrame:
     nodes, edges = dialogue(t)
-    out = graphs.plan_graph_features(nodes, edges, ROLES)
+    out = graphs.plan_graph_features(nodes, edges)
     return out.withColumn("avg_parallelism", F.round("avg_parallelism", 6))
 
 
@@ -241,7 +261,44 @@ RELATIONS_SQL = "one AS (" + " UNION ALL ".join(
 BFS_SQL = """r AS (SELECT plan_id, id AS start, id, 0 AS depth FROM {start}
         UNION SELECT r.plan_id, r.start, e.{to}, r.depth + 1 FROM r JOIN edges e ON r.plan_id = e.plan_id AND r.id = e.{at})"""
 
+OPEN_SQL = DIALOGUE_SQL.replace("role AS category", "CASE WHEN turn % 5 = 3 THEN 'tool' WHEN turn % 7 <> 4 THEN role END AS category")
+OPEN_ROLES = [*(f"= '{r}'" for r in (*ROLES[:2], "tool", ROLES[2])), "IS NULL"]
+
 QUERIES = {
+    "enriched_open": (
+        q(enriched_open),
+        f"WITH {OPEN_SQL} SELECT n.plan_id, n.id, n.category, "
+        + ", ".join(
+            f"(SELECT COUNT(*) FROM edges e JOIN nodes m ON m.plan_id = e.plan_id AND m.id = e.{o} WHERE e.plan_id = n.plan_id AND e.{mine} = n.id AND m.category {r}) AS {d}_{i}"
+            for d, mine, o in (("parents", "dst", "src"), ("children", "src", "dst"))
+            for i, r in enumerate(OPEN_ROLES)
+        )
+        + ", "
+        + ", ".join(
+            f"COALESCE((SELECT string_agg(COALESCE(m.category, 'null'), ', ' ORDER BY COALESCE(m.category, 'null')) FROM edges e JOIN nodes m ON m.plan_id = e.plan_id AND m.id = e.{o} WHERE e.plan_id = n.plan_id AND e.{mine} = n.id), '') AS {d}_text"
+            for d, mine, o in (("parents", "dst", "src"), ("children", "src", "dst"))
+        )
+        + " FROM nodes n",
+    ),
+    "graph_transitions_open": (
+        q(graph_transitions_open),
+        f"""WITH {OPEN_SQL},
+            p AS (SELECT n.plan_id, n.id, n.category, COALESCE(NULLIF(COUNT(e.src), 0), 1) AS w
+                  FROM nodes n LEFT JOIN edges e ON e.plan_id = n.plan_id AND e.dst = n.id GROUP BY 1, 2, 3),
+            c AS (SELECT p.category AS from_state, CASE WHEN e.dst IS NULL THEN '' ELSE m.category END AS to_state, SUM(p.w)::BIGINT AS n
+                  FROM p LEFT JOIN edges e ON e.plan_id = p.plan_id AND e.src = p.id
+                  LEFT JOIN nodes m ON m.plan_id = e.plan_id AND m.id = e.dst GROUP BY 1, 2)
+            SELECT from_state, to_state, n, ROUND(n / SUM(n) OVER (PARTITION BY from_state), 10) AS p FROM c""",
+    ),
+    "graph_features_open": (
+        q(graph_features_open),
+        f"""WITH RECURSIVE {OPEN_SQL}, {BFS_SQL.format(start="nodes", to="dst", at="src")}
+            SELECT n.plan_id, {", ".join(f"COUNT(*) FILTER (WHERE category {c}) AS n_{i}" for i, c in enumerate(OPEN_ROLES))},
+                   COUNT(*) AS n_nodes, ROUND(AVG(parallelism), 6) AS avg_parallelism,
+                   (SELECT COUNT(*) FROM edges e WHERE e.plan_id = n.plan_id) AS n_edges,
+                   (SELECT MAX(depth) FROM r WHERE r.plan_id = n.plan_id) AS longest_path
+            FROM nodes n GROUP BY 1""",
+    ),
     "transitions": (q(lambda t: matrix(t, "child")), _matrix_sql("child")),
     "transitions_reverse": (q(lambda t: matrix(t, "parent")), _matrix_sql("parent")),
     "transitions_null": (

@@ -39,7 +39,7 @@ def test_relatives_and_transitions(diamond):
     rich = graphs.enriched_nodes(nodes, edges, ["S", "M", "J"])
     four = rich.where("plan_id = 'd' and id = 4").first()
     assert (four["parents_text"], four["children_text"], four["parents_1"]) == ("M, M", "", 2)
-    pairs = graphs.relative_pairs(rich, ["S", "M", "J"])
+    pairs = graphs.relative_pairs(nodes, edges)
     row = pairs.where("plan_id = 'd' and id = 4").collect()
     assert [(r["parent"], r["child"], r["weight"]) for r in row] == [("M", "", 2)]
     matrix = graphs.transitions(pairs)
