@@ -3,45 +3,89 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planlab.functions.scalars import draw, hash_rank
+from planlab.operators import ordered
+from planlab.session import stored
 
-MAX_STATES = 1000  # a transition table is operator kinds by operator kinds; more is a mistake
+STEPS_PER_PLAN = 8  # steps joined before the walks are written
+SPREAD = 1 << 12  # values a walk that has ended takes in place of a slot
 
 
-def _chooser(matrix: DataFrame, without: str | None = None):
-    """Function (state, draw) -> next state over the cumulative counts of a transition table.
+def _cells(matrix: DataFrame, without: str | None = None) -> DataFrame:
+    """A transition table laid out for one equality join per draw: ``from_state, slot, low, high, to_state, total, fan``.
 
-    The table is bounded by the number of categories squared; that bound is checked before it is
-    turned into a literal map. ``without`` leaves one state out and rescales, which is what
-    drawing again until another state comes up amounts to.
+    The successors of a state stand in order, each with the stretch of counts from ``low`` to ``high`` it is drawn by. A state with m
+    successors has m even slots over its total; a successor has a row in every slot its stretch touches, some
+    3 m rows in all, so a draw looks only at the successors of its slot, however many the state has. ``fan`` is
+    m of the state. ``without`` leaves one state out and rescales, which is what drawing again until another
+    state comes up amounts to.
     """
-    rows = matrix.select("from_state", "to_state", "n").limit(MAX_STATES * MAX_STATES + 1).collect()
-    if len(rows) > MAX_STATES * MAX_STATES:
-        raise ValueError("transition table has too many states")
-    cells, totals = {}, {}
-    for r in sorted(rows, key=lambda r: (r["from_state"], r["to_state"])):
-        if r["to_state"] == without:
-            continue
-        totals[r["from_state"]] = totals.get(r["from_state"], 0) + r["n"]
-        cells.setdefault(r["from_state"], []).append((r["to_state"], totals[r["from_state"]]))
-    entries = []
-    for state, steps in cells.items():
-        entries += [
-            F.lit(state),
-            F.array(*[F.struct(F.lit(to).alias("to"), F.lit(c).cast("bigint").alias("upto")) for to, c in steps]),
-        ]
-    table = F.create_map(*entries)
-
-    def choose(state: Column, u: Column) -> Column:
-        steps = F.try_element_at(table, state)
-        total = F.element_at(steps, -1)["upto"]
-        found = F.get(F.filter(steps, lambda x: x["upto"] > u * total), 0)["to"]
-        stuck = F.raise_error(F.concat(F.lit("no other state follows "), state)).cast("string")
-        return F.when(steps.isNull(), stuck).otherwise(found)
-
-    return choose
+    rows = matrix.select("from_state", "to_state", "n")
+    if without is not None:
+        rows = rows.where(~F.col("to_state").eqNullSafe(F.lit(without)))
+    of_state = W.partitionBy("from_state")  # a row for each other state at most
+    upto = of_state.orderBy("to_state").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns(
+        {"high": F.sum("n").over(upto), "total": F.sum("n").over(of_state), "fan": F.count(F.lit(1)).over(of_state)}
+    ).withColumn("low", F.col("high") - F.col("n"))
+    slot = lambda x: F.floor(F.col(x) * F.col("fan") / F.col("total"))
+    touched = F.sequence(F.greatest(slot("low") - 1, F.lit(0)), F.least(slot("high") + 1, F.col("fan") - 1))
+    return rows.select("from_state", "to_state", "low", "high", "total", "fan", F.explode(touched).alias("slot"))
+
+
+def _fans(cells: DataFrame, name: str) -> DataFrame:
+    return cells.select(F.col("from_state").alias("state"), F.col("fan").alias(name)).distinct()
+
+
+def _leading(cells: DataFrame, fans: list[DataFrame]) -> DataFrame:
+    """``cells`` with the fans of the state each leads to, which the next draw from it asks for."""
+    rows = cells.withColumnRenamed("to_state", "state")
+    for fan in fans:
+        rows = ordered.null_safe(rows, fan, ["state"], "left")
+    return stored(rows.withColumnRenamed("state", "to_state"))
+
+
+def _drawn(walks: DataFrame, cells: DataFrame, fan: str, u: Column, active: Column, out: str) -> DataFrame:
+    """``walks`` with the cell drawn by ``u`` among those of ``state``, as the struct ``out``, null where the walk is not active.
+
+    A walk that waits meets no slot: it is dealt out by its id instead.
+    """
+    waits = -1 - F.pmod(F.xxhash64("walk_id"), F.lit(SPREAD))
+    slot = F.when(active, F.least(F.floor(u * F.col(fan)), F.col(fan) - 1)).otherwise(waits)
+    rows = walks.withColumns({"__slot": F.coalesce(slot, waits), "__u": u})
+    led = [c for c in cells.columns if c.startswith("next_")]
+    choice = cells.select(
+        F.col("from_state").alias("__from"), F.col("slot").alias("__at"), F.col("low").alias("__low"), F.col("high").alias("__high"),
+        F.col("total").alias("__total"), F.struct("to_state", *led).alias(out),
+    )
+    at = F.col("__u") * F.col("__total")
+    on = (F.col("__slot") == F.col("__at")) & F.col("state").eqNullSafe(F.col("__from")) & (F.col("__low") <= at) & (F.col("__high") > at)
+    return rows.join(choice, on, "left").drop("__slot", "__u", "__from", "__at", "__low", "__high", "__total")
+
+
+def _stuck(state: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("no other state follows "), F.coalesce(state, F.lit("null")))).cast("string")
+
+
+def drawn_depths(ids: DataFrame, quantiles: DataFrame, seed: int = 42) -> DataFrame:
+    """A depth for each walk, drawn evenly from a table of path length quantiles (``place`` from 0, ``length``):
+    ``walk_id, depth``."""
+    grid = stored(quantiles.select("place", "length"))
+    size = grid.count()
+    u = draw(F.lit(seed), F.col("walk_id"), F.lit("depth"))
+    rows = ids.select("walk_id").withColumn("place", F.floor(u * size))
+    return rows.join(grid, "place").select("walk_id", F.col("length").cast("int").alias("depth"))
+
+
+def following(ids: DataFrame, matrix: DataFrame, seed: int = 42) -> DataFrame:
+    """One step for every walk (``walk_id, state``) whose state has successors: ``walk_id, state, following``."""
+    cells = stored(_cells(matrix))
+    rows = ordered.null_safe(ids.select("walk_id", "state"), _fans(cells, "fan"), ["state"], "inner")
+    drawn = _drawn(rows, cells, "fan", draw(F.lit(seed), F.col("walk_id"), F.lit(1)), F.lit(True), "__to")
+    return drawn.select("walk_id", "state", F.col("__to.to_state").alias("following"))
 
 
 def walks(
@@ -51,7 +95,7 @@ def walks(
     start: str = "Data Source",
     end: str = "Data Sink",
     join: str = "Join",
-    max_depth: int = 6,
+    max_depth: int | DataFrame = 6,
     max_joins: int = 3,
     seed: int = 42,
 ) -> DataFrame:
@@ -60,47 +104,71 @@ def walks(
     The main line is ``branch = 0``: from ``start``, up to ``max_depth`` draws, ``end`` closes it
     and is appended when it did not come up. At most ``max_joins`` joins; each join gets a branch
     that runs backwards (``branch`` 1, 2, ...) without joins, at most ``max_depth // 2`` long,
-    and ends in ``start``. Draws depend only on seed, walk and place, so any task can redo them.
+    and ends in ``start``. Draws depend only on seed, walk and place, so any task can redo them. ``max_depth`` is one
+    number or a table of one for each walk (``walk_id, depth``). Each step is a join with the transition table, of any number of states.
     """
-    step_any, step_plain = _chooser(forward), _chooser(forward, without=join)
-    back = _chooser(backward, without=join)
-    text = "string"
-
-    def advance(s, i):
-        u = draw(F.lit(seed), F.col("walk_id"), i)
-        state = F.element_at(s["line"], -1)
-        full = s["joins"] >= max_joins if max_joins > -1 else F.lit(False)
-        any_next = step_any(state, u)
-        following = F.when(full & (any_next == join), step_plain(state, u)).otherwise(any_next)
-        done = state == end
-        return F.struct(
-            F.when(done, s["line"]).otherwise(F.concat(s["line"], F.array(following))).alias("line"),
-            (s["joins"] + F.when(~done & (following == join), 1).otherwise(0)).alias("joins"),
-        )
-
-    zero = F.struct(F.array(F.lit(start)).cast(f"array<{text}>").alias("line"), F.lit(0).alias("joins"))
-    line = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), zero, advance, lambda s: s["line"])
-    main = ids.select("walk_id", line.alias("line"))
-    closed = F.when(F.element_at("line", -1) == end, F.col("line")).otherwise(
-        F.concat("line", F.array(F.lit(end)))
-    )
-    main = main.select("walk_id", F.posexplode(closed).alias("step", "state"))
-
-    def retreat(s, i):
-        u = draw(F.lit(seed), F.col("walk_id"), F.col("step"), F.lit("b"), i)
-        state = F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(join))
-        return F.when(state == start, s).otherwise(F.concat(s, F.array(back(state, u))))
-
-    if max_depth // 2 > 0:
-        steps = F.sequence(F.lit(1), F.lit(max_depth // 2))
-        grown = F.aggregate(steps, F.array().cast(f"array<{text}>"), retreat)
+    if isinstance(max_depth, DataFrame):
+        rows = stored(ids.select("walk_id").join(max_depth.select("walk_id", "depth"), "walk_id"))
+        deepest = rows.agg(F.max("depth")).first()[0] or 0
     else:
-        grown = F.array().cast(f"array<{text}>")
-    joins = main.where(F.col("state") == join).withColumn("grown", grown)
+        rows, deepest = ids.select("walk_id").withColumn("depth", F.lit(max_depth)), max_depth
+    forward, backward = stored(forward.select("from_state", "to_state", "n")), stored(backward.select("from_state", "to_state", "n"))
+    any_cells, plain_cells, back_cells = _cells(forward), _cells(forward, join), _cells(backward, join)
+    fans = [_fans(any_cells, "next_any"), _fans(plain_cells, "next_plain")]
+    any_cells, plain_cells = _leading(any_cells, fans), _leading(plain_cells, fans)
+    back_cells = _leading(back_cells, [_fans(back_cells, "next_any")])
+
+    sizes = stored(fans[0].where(F.col("state").eqNullSafe(F.lit(start))).join(fans[1], "state", "left"))
+    main = rows.withColumns({
+        "line": F.array(F.lit(start)), "joins": F.lit(0), "state": F.lit(start),
+        "any": sizes.select("next_any").scalar(), "plain": sizes.select("next_plain").scalar(),
+    })
+    for i in range(1, deepest + 1):
+        u = draw(F.lit(seed), F.col("walk_id"), F.lit(i))
+        goes = ~F.col("state").eqNullSafe(F.lit(end)) & (F.lit(i) <= F.col("depth"))
+        main = _drawn(main.withColumn("__goes", goes), any_cells, "any", u, F.col("__goes"), "__next")
+        full = F.col("joins") >= max_joins if max_joins > -1 else F.lit(False)
+        main = main.withColumn("__again", F.col("__goes") & full & F.col("__next.to_state").eqNullSafe(F.lit(join)))
+        main = _drawn(main, plain_cells, "plain", u, F.col("__again"), "__other")
+        chosen = F.when(F.col("__again"), F.col("__other")).otherwise(F.col("__next"))
+        main = main.withColumn("__to", F.when(F.col("__goes"), chosen)).withColumn(
+            "__state", F.when(F.col("__goes") & F.col("__to").isNull(), _stuck(F.col("state"))).otherwise(F.col("__to.to_state"))
+        )
+        main = main.select(
+            "walk_id", "depth",
+            F.when(F.col("__goes"), F.concat("line", F.array("__state"))).otherwise(F.col("line")).alias("line"),
+            (F.col("joins") + (F.col("__goes") & F.col("__state").eqNullSafe(F.lit(join))).cast("int")).alias("joins"),
+            F.when(F.col("__goes"), F.col("__state")).otherwise(F.col("state")).alias("state"),
+            F.col("__to.next_any").alias("any"), F.col("__to.next_plain").alias("plain"),
+        )
+        if i % STEPS_PER_PLAN == 0:
+            main = stored(main)
+            if main.where(~F.col("state").eqNullSafe(F.lit(end)) & (F.col("depth") > i)).isEmpty():
+                break
+    closed = F.when(F.col("state").eqNullSafe(F.lit(end)), F.col("line")).otherwise(F.concat("line", F.array(F.lit(end))))
+    main = stored(main.select("walk_id", "depth", F.posexplode(closed).alias("step", "state")))
+
+    fan = back_cells.where(F.col("from_state").eqNullSafe(F.lit(join))).agg(F.max("fan").alias("fan"))
+    side = main.where(F.col("state") == join).select("walk_id", "step", "depth", F.lit(join).alias("state"))
+    side = side.withColumns({"grown": F.array().cast("array<string>"), "any": fan.scalar()})
+    for i in range(1, deepest // 2 + 1):
+        u = draw(F.lit(seed), F.col("walk_id"), F.col("step"), F.lit("b"), F.lit(i))
+        goes = ~F.col("state").eqNullSafe(F.lit(start)) & (F.lit(i) <= F.floor(F.col("depth") / 2))
+        side = _drawn(side.withColumn("__goes", goes), back_cells, "any", u, F.col("__goes"), "__to")
+        state = F.when(F.col("__goes") & F.col("__to").isNull(), _stuck(F.col("state"))).otherwise(F.col("__to.to_state"))
+        side = side.withColumn("__state", state).select(
+            "walk_id", "step", "depth", F.when(F.col("__goes"), F.col("__state")).otherwise(F.col("state")).alias("state"),
+            F.when(F.col("__goes"), F.concat("grown", F.array("__state"))).otherwise(F.col("grown")).alias("grown"),
+            F.col("__to.next_any").alias("any"),
+        )
+        if i % STEPS_PER_PLAN == 0:
+            side = stored(side)
+            if side.where(~F.col("state").eqNullSafe(F.lit(start)) & (F.floor(F.col("depth") / 2) > i)).isEmpty():
+                break
     ended = F.when(F.try_element_at("grown", F.lit(-1)) == start, F.col("grown")).otherwise(
         F.concat("grown", F.array(F.lit(start)))
     )
-    side = joins.select("walk_id", "step", F.posexplode(ended).alias("b", "state"))
+    side = side.select("walk_id", "step", F.posexplode(ended).alias("b", "state"))
     return main.select("walk_id", "step", F.lit(0).alias("branch"), "state").unionByName(
         side.select("walk_id", "step", (F.col("b") + 1).alias("branch"), "state")
     )

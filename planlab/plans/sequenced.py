@@ -184,6 +184,38 @@ def event_walks(t: Tables) -> DataFrame:
     )
 
 
+def many_states(t: Tables) -> DataFrame:
+    """Parts as states: a part is followed by those of the next line of its supplier. Walks of one step from a part each."""
+    rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.concat(F.lit("p"), "l_partkey").alias("part"))
+    pairs = graphs.sequence_pairs(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "part")
+    counts = graphs.transitions(pairs.where("child <> ''"))
+    ids = t.part.select(F.col("p_partkey").alias("walk_id"), F.concat(F.lit("p"), "p_partkey").alias("state"))
+    return walks.following(ids, counts)
+
+
+def path_depths(t: Tables) -> DataFrame:
+    """A depth for every user's walk, drawn from the quantiles of the users' sequence lengths."""
+    grid = path_quantiles(t).select((F.col("pct") - 1).alias("place"), F.col("v").alias("length"))
+    ids = t.events.select(F.col("user_id").alias("walk_id")).distinct()
+    return walks.drawn_depths(ids, grid)
+
+
+def drawn_walks(t: Tables) -> DataFrame:
+    """Walks as deep as drawn: how long they get, how many joins they meet, and in which states they are at their steps."""
+    pairs = event_pairs(t).select(
+        "category",
+        F.when(F.col("parent") == "", F.lit("signup")).otherwise(F.col("parent")).alias("parent"),
+        F.when(F.col("child") == "", F.lit("end")).otherwise(F.col("child")).alias("child"),
+        "weight",
+    )
+    depths = path_depths(t)
+    rows = walks.walks(
+        depths.select("walk_id"), graphs.transitions(pairs, "child"), graphs.transitions(pairs, "parent"),
+        start="signup", end="end", join="error", max_depth=depths, max_joins=2,
+    )
+    return rows.where("branch = 0").select("walk_id", "step", "state")
+
+
 _CUM = """SELECT category, {to} AS to_state, SUM(n) OVER (PARTITION BY category ORDER BY {to}) AS upto,
                  SUM(n) OVER (PARTITION BY category) AS total
           FROM (SELECT category, {to}, COUNT(*) AS n FROM walkpairs WHERE {cond} GROUP BY 1, 2) x"""
@@ -219,6 +251,33 @@ WALKS_SQL = f"""WITH RECURSIVE {PAIRS_SQL},
     UNION ALL SELECT walk_id, step, max(b) + 1, 'signup' FROM br GROUP BY 1, 2 HAVING NOT bool_or(state = 'signup')"""
 
 
+def _drawn_walks_sql() -> str:
+    """The main lines of WALKS_SQL, each as deep as its draw, with two joins."""
+    u = "('0x' || substr(md5('42|' || w.walk_id || '|' || (w.step + 1)), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE"
+    return f"""WITH RECURSIVE {PAIRS_SQL},
+    walkpairs AS (SELECT category, CASE WHEN parent = '' THEN 'signup' ELSE parent END AS parent,
+                         CASE WHEN child = '' THEN 'end' ELSE child END AS child FROM pairs),
+    fwd AS ({_CUM.format(to="child", cond="TRUE")}),
+    fwd0 AS ({_CUM.format(to="child", cond="child <> 'error'")}),
+    lens AS (SELECT COUNT(*) - 1 AS v FROM events GROUP BY user_id),
+    o AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS i, COUNT(*) OVER () AS n FROM lens),
+    g AS (SELECT i AS place, 0.01::DOUBLE + i * 0.01::DOUBLE AS p FROM range(99) r(i)),
+    l AS (SELECT place, v AS depth FROM o JOIN g ON o.i = ceil(p * (o.n - 1))),
+    ids AS (SELECT DISTINCT user_id AS walk_id,
+                   floor(('0x' || substr(md5('42|' || user_id || '|depth'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE * 99) AS place FROM events),
+    w AS (
+        SELECT walk_id, depth, 0 AS step, 'signup' AS state, 0 AS joins FROM ids JOIN l USING (place)
+        UNION ALL
+        SELECT walk_id, depth, step + 1, nxt, joins + CASE WHEN nxt = 'error' THEN 1 ELSE 0 END FROM (
+            SELECT walk_id, depth, step, joins, CASE WHEN joins >= 2 AND a = 'error' THEN b ELSE a END AS nxt FROM (
+                SELECT w.walk_id, w.depth, w.step, w.joins,
+                    (SELECT min(to_state) FROM fwd f WHERE f.category = w.state AND f.upto > ({u}) * f.total) AS a,
+                    (SELECT min(to_state) FROM fwd0 f WHERE f.category = w.state AND f.upto > ({u}) * f.total) AS b
+                FROM w WHERE w.step < w.depth AND w.state <> 'end') y) z)
+    SELECT walk_id, step, state FROM w
+    UNION ALL SELECT walk_id, max(step) + 1, 'end' FROM w GROUP BY 1 HAVING NOT bool_or(state = 'end')"""
+
+
 def walk_documents(t: Tables) -> DataFrame:
     docs = walks.node_link_documents(event_walks(t))
     return docs.select("walk_id", F.size("nodes").alias("n_nodes"), F.coalesce(F.size("links"), F.lit(0)).alias("n_links"))
@@ -392,6 +451,26 @@ QUERIES = {
             FROM nodes n GROUP BY 1""",
     ),
     "walks": (q(event_walks), WALKS_SQL),
+    "many_states": (
+        q(many_states),
+        """WITH s AS (SELECT 'p' || l_partkey AS state, 'p' || LEAD(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS following FROM lineitem),
+            c AS (SELECT state, following, COUNT(*) AS n FROM s WHERE following IS NOT NULL GROUP BY 1, 2),
+            k AS (SELECT state, following, SUM(n) OVER (PARTITION BY state ORDER BY following) AS high, SUM(n) OVER (PARTITION BY state) AS total, n FROM c),
+            w AS (SELECT p_partkey AS walk_id, 'p' || p_partkey AS state,
+                         ('0x' || substr(md5('42|' || p_partkey || '|1'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM part)
+            SELECT walk_id, w.state, following FROM w JOIN k ON w.state = k.state AND k.high - k.n <= u * total AND k.high > u * total""",
+    ),
+    "path_depths": (
+        q(path_depths),
+        """WITH d AS (SELECT COUNT(*) - 1 AS v FROM events GROUP BY user_id),
+            o AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS i, COUNT(*) OVER () AS n FROM d),
+            g AS (SELECT i AS place, 0.01::DOUBLE + i * 0.01::DOUBLE AS p FROM range(99) r(i)),
+            l AS (SELECT place, v AS length FROM o JOIN g ON o.i = ceil(p * (o.n - 1))),
+            w AS (SELECT DISTINCT user_id AS walk_id,
+                         floor(('0x' || substr(md5('42|' || user_id || '|depth'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE * 99) AS place FROM events)
+            SELECT walk_id, length::INT AS depth FROM w JOIN l USING (place)""",
+    ),
+    "drawn_walks": (q(drawn_walks), _drawn_walks_sql()),
     "walk_documents": (
         q(walk_documents),
         f"SELECT walk_id, COUNT(*) AS n_nodes, COUNT(*) - 1 AS n_links FROM ({WALKS_SQL}) x GROUP BY 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planlab.functions.scalars import code_line, code_place
@@ -153,11 +154,13 @@ def task_operators(docs: DataFrame) -> DataFrame:
 
 
 def measured_operators(operators: DataFrame) -> DataFrame:
-    """Measured operator rows in the shape the feature operators read."""
+    """Measured operator rows in the shape the feature operators read; ``pos`` numbers the operators of a document by
+    chain, vertex and place."""
+    order = W.partitionBy("plan_id", "data_id").orderBy("chain_id", "vertex_no", "place_in_chain")  # one document
     return operators.select(
         "plan_id",
         "data_id",
-        (F.col("chain_id").cast("bigint") * 1000000 + F.col("vertex_no") * 1000 + F.col("place_in_chain")).alias("pos"),
+        (F.row_number().over(order) - 1).cast("bigint").alias("pos"),
         "pact",
         F.col("write_records").cast("double").alias("out_cardinality"),
         "id",

@@ -11,65 +11,72 @@ from planlab.operators import features
 CARDS = {"a": 100.0, "b": 40.0, "c": 7.0}
 
 
-def sequential(ops, unknown):
-    queue, out = [], []
-    for pact, table, selectivity, card in ops:
-        if pact == "Data Source":
-            value = CARDS[table] * selectivity
-            queue.append(value)
-        elif pact == "Data Sink":
-            value = queue[-1]
-        elif pact == "Join":
-            value = max(queue.pop(0), queue.pop(0))
-            queue.append(value)
+SCHEMA = "plan_id string, pos long, pact string, table_name string, selectivity double, out_cardinality long"
+
+
+def drawn_plan(rng, sources, reset):
+    """A plan as branches (how each opens, the steps inside it) and the output of every operator, worked out by branch.
+
+    A step is ("by", factor), ("to", fixed) or ("open", None), which ends at 1 or is passed on. The k-th join, counted from 1, opens with
+    the greater end of branches 2k - 1 and 2k, and there are as many joins as leave one branch.
+    """
+    ops, outputs, ends = [], [], []
+    for branch in range(2 * sources - 1):
+        join = branch - sources + 1  # 0 and less: a source
+        if join < 1:
+            table = rng.choice("abc")
+            ops.append(("Data Source", table, 1.0, None))
+            start = CARDS[table]
         else:
-            if card is not None:
-                value = float(card)
-            elif selectivity is not None:
-                value = queue[-1] * selectivity
-            else:
-                value = 1.0 if unknown == "one" else queue[-1]
-            queue[-1] = value
-        out.append(value)
-    return out
-
-
-def random_plan(rng, length):
-    ops, waiting = [("Data Source", "a", 1.0, None)], 1
-    for _ in range(length):
-        kind = rng.choice(["Data Source", "Filter", "Map", "Group by", "Partition", "Join", "Join"])
-        if kind == "Join" and waiting < 2:
-            kind = "Filter"
-        if kind == "Data Source":
-            ops.append((kind, rng.choice("abc"), 1.0, None))
-            waiting += 1
-        elif kind == "Join":
-            ops.append((kind, "a", None, None))
-            waiting -= 1
-        elif kind == "Filter":
-            ops.append((kind, "a", rng.choice([0.25, 0.5, 0.75]), None))
-        elif kind == "Map":
-            ops.append((kind, "a", 1.0, None))
-        elif kind == "Group by":
-            ops.append((kind, "a", None, rng.randint(1, 50)))
-        else:
-            ops.append((kind, "a", None, None))
-    return ops + [("Data Sink", "a", None, None)]
+            ops.append(("Join", "a", None, None))
+            start = max(ends[2 * join - 2], ends[2 * join - 1])
+        steps = [rng.choice([("by", 0.25), ("by", 1.0), ("to", 6), ("open", None)]) for _ in range(rng.randint(0, 4))]
+        ops += [("Filter" if k == "by" else "Group by" if k == "to" else "Partition", "a", x if k == "by" else None, x if k == "to" else None) for k, x in steps]
+        values = [start]
+        fixed = [i for i, (k, _) in enumerate(steps) if k == "to" or (k == "open" and reset)]
+        for i, (kind, x) in enumerate(steps):
+            last = max([f for f in fixed if f <= i], default=None)  # the step that set the value last
+            base = start if last is None else steps[last][1] if steps[last][0] == "to" else 1.0
+            values.append(base * np.prod([y for k, y in steps[(last + 1 if last is not None else 0) : i + 1] if k == "by"]))
+        outputs += values
+        ends.append(values[-1])
+    return ops + [("Data Sink", "a", None, None)], outputs + [ends[-1]]
 
 
 @pytest.mark.parametrize("unknown", ["one", "carry"])
-def test_propagation_is_the_sequential_rule(spark, unknown):
+def test_propagation_by_branches(spark, unknown):
     rng = random.Random(11)
-    plans = {f"p{i}": random_plan(rng, n) for i, n in enumerate([3, 8, 12, 60])}  # one holds most rows
-    rows = [(p, j, *op) for p, ops in plans.items() for j, op in enumerate(ops)]
-    schema = "plan_id string, pos long, pact string, table_name string, selectivity double, out_cardinality long"
-    ops = spark.createDataFrame(rows, schema).repartition(4)
+    plans = {f"p{n}": drawn_plan(rng, n, unknown == "one") for n in (1, 2, 3, 5, 8, 21)}  # one holds most rows
+    rows = [(p, j, *op) for p, (ops, _) in plans.items() for j, op in enumerate(ops)]
+    cards = spark.createDataFrame(
+        [(d, t, c * f) for d, f in (("s", 1.0), ("x8", 8.0)) for t, c in CARDS.items()], "data_id string, table_name string, rows double"
+    )
+    out = features.propagate(spark.createDataFrame(rows, SCHEMA).repartition(4), cards, ["s", "x8"], unknown).collect()
+    got = {(r["data_id"], r["plan_id"], r["pos"]): r["out_cardinality"] for r in out}
+    assert len(out) == 2 * len(rows)
+    for p, (ops, want) in plans.items():
+        for j, value in enumerate(want):
+            assert got["s", p, j] == pytest.approx(value, rel=1e-9)
+        if not any(op[0] in ("Group by", "Partition") for op in ops):  # nothing fixed: sizes scale through
+            assert all(got["x8", p, j] == pytest.approx(8 * got["s", p, j]) for j in range(len(ops)))
+        assert all(got["x8", p, j] >= got["s", p, j] for j in range(len(ops)))  # and never shrink
+
+
+HAND_WORKED = [  # operators with (pact, table, selectivity, fixed) and their outputs at table sizes a 100, b 40, c 7
+    ([("Data Source", "a", 1.0, None), ("Filter", "a", 0.25, None), ("Map", "a", 1.0, None), ("Data Sink", "a", None, None)], [100, 25, 25, 25]),
+    ([("Data Source", "c", 1.0, None), ("Data Source", "b", 1.0, None), ("Group by", "b", None, 12), ("Join", "b", None, None), ("Filter", "b", 0.5, None),
+      ("Data Sink", "b", None, None)], [7, 40, 12, 12, 6, 6]),
+    ([("Data Source", "a", 1.0, None), ("Data Source", "b", 1.0, None), ("Data Source", "c", 1.0, None), ("Join", "b", None, None),
+      ("Filter", "b", 0.01, None), ("Join", "c", None, None), ("Data Sink", "c", None, None)], [100, 40, 7, 100, 1, 7, 7]),
+    ([("Data Source", "b", 1.0, None), ("Reduce", "b", None, 1), ("Data Sink", "b", None, None)], [40, 1, 1]),
+]
+
+
+def test_propagation_worked_by_hand(spark):
+    rows = [(str(i), j, *op) for i, (ops, _) in enumerate(HAND_WORKED) for j, op in enumerate(ops)]
     cards = spark.createDataFrame([("s", t, c) for t, c in CARDS.items()], "data_id string, table_name string, rows double")
-    got = {(r["plan_id"], r["pos"]): r["out_cardinality"] for r in features.propagate(ops, cards, ["s"], unknown).collect()}
-    assert len(got) == len(rows)
-    for p, plan in plans.items():
-        for j, want in enumerate(sequential(plan, unknown)):
-            assert got[(p, j)] == pytest.approx(want, rel=1e-9)
+    got = {(r["plan_id"], r["pos"]): r["out_cardinality"] for r in features.propagate(spark.createDataFrame(rows, SCHEMA), cards, ["s"]).collect()}
+    assert got == {(str(i), j): pytest.approx(x) for i, (_, want) in enumerate(HAND_WORKED) for j, x in enumerate(want)}
 
 
 def test_known_plan_and_bad_join(spark):

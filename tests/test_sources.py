@@ -72,12 +72,22 @@ def test_job_log_round_trip(spark, tmp_path):
     assert sorted(back.collect()) == sorted(ops.collect())
 
 
-METRICS = {"vertices": [
-    {"id": "v1", "name": "CHAIN DataSource (at J$.run(Q3.scala:66) (x.Csv)) -> Filter (Filter at J$.run(Q3.scala:69))",
-     "metrics": {"read-bytes": 0, "write-bytes": 50, "read-records": 0, "write-records": 5}},
-    {"id": "v2", "name": "GroupReduce (at J$.run(Q3.scala:40)) -> DataSink (none)",
-     "metrics": {"read-bytes": 50, "write-bytes": 0, "read-records": 5, "write-records": 0}}],
-    "plan": {"nodes": [{"id": "v1", "operator": "Data Source -> Filter"}, {"id": "v2", "operator": "GroupReduce -> Data Sink"}]}}
+def vertex(name, place, read, written):
+    """A vertex with ten bytes a record."""
+    figures = {"read-records": read, "read-bytes": 10 * read, "write-records": written, "write-bytes": 10 * written}
+    return {"id": name, "name": place, "metrics": figures}
+
+
+METRICS = {
+    "vertices": [
+        vertex("in", "CHAIN DataSource (at demo.Load.main(Load.java:12) (demo.Reader)) -> Map (Map at demo.Load.main(Load.java:15)) -> Map (x)", 0, 40),
+        vertex("combine", "GroupCombine (GroupCombine at demo.Load.lambda$1(Sums.java:7))", 40, 9),
+        vertex("out", "DataSink (print())", 9, 0),
+    ],
+    "plan": {"nodes": [
+        {"id": "out", "operator": "Data Sink"}, {"id": "combine", "operator": "GroupCombine"}, {"id": "in", "operator": "Data Source -> Map -> Map"},
+    ]},
+}
 
 
 def test_task_metrics(spark, tmp_path):
@@ -85,13 +95,27 @@ def test_task_metrics(spark, tmp_path):
     folder.mkdir()
     (folder / "Job3v1-20200101.json").write_text(json.dumps(METRICS))
     rows = documents.task_operators(documents.read_task_metrics(spark, [str(folder)])).orderBy("vertex_no", "place_in_chain").collect()
-    assert [(r["plan_id"], r["data_id"]) for r in rows] == [("Job3v1", "1GB")] * 4
-    assert [r["pact"] for r in rows] == ["Data Source", "Filter", "Group by", "Data Sink"]
-    assert [r["id"] for r in rows] == [66, 69, 40, 1000000]
-    assert [r["chain_id"] for r in rows] == [66, 66, 40, 40]
-    assert [r["write_records"] for r in rows] == [5, 5, 0, 5]
+    assert [(r["plan_id"], r["data_id"]) for r in rows] == [("Job3v1", "1GB")] * 5
+    assert [r["pact"] for r in rows] == ["Data Source", "Map", "Map", "Group by", "Data Sink"]
+    assert [r["code_place"] for r in rows] == [
+        "demo.Load.main(Load.java:12)", "demo.Load.main(Load.java:15)", "", "demo.Load.lambda$1(Sums.java:7)", ""]
+    assert [r["id"] for r in rows] == [12, 15, 1000000, 7, 1000000]
+    assert [r["chain_id"] for r in rows] == [12, 12, 12, 7, 1000000]
+    assert [r["write_records"] for r in rows] == [40, 40, 40, 9, 9]  # a sink wrote what it read
     measured = documents.measured_operators(documents.task_operators(documents.read_task_metrics(spark, [str(folder)])))
-    assert measured.where("out_cardinality = 5").count() == 3
+    assert measured.count() == 5 and measured.where("out_cardinality = 9").count() == 2
+    positions = [r["pos"] for r in measured.orderBy("pos").collect()]
+    assert len(set(positions)) == 5
+
+
+def test_long_documents_keep_every_position(spark):
+    """Two thousand vertices of one source line: no two operators share a place."""
+    names = [f"v{i}" for i in range(2000)]
+    doc = {"vertices": [vertex(n, "Map (Map at a.B.c(B.java:3))", 1, 1) for n in names], "plan": {"nodes": [{"id": n, "operator": "Map"} for n in names]}}
+    text = spark.createDataFrame([(json.dumps(doc),)], "t string")
+    docs = text.select(F.lit("p").alias("plan_id"), F.lit("d").alias("data_id"), F.from_json("t", documents.METRICS_SCHEMA).alias("m")).select("plan_id", "data_id", "m.vertices", "m.plan")
+    measured = documents.measured_operators(documents.task_operators(docs))
+    assert measured.select("pos").distinct().count() == 2000
 
 
 def test_sinks(spark, tmp_path):
