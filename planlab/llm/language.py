@@ -1,39 +1,46 @@
 """Brown class-based n-gram scores (operator 5).
 
 P(word | before) = (1 - MIX) * P(class(word) | class(before)) * P(word | class(word)) + MIX * P_base(word), where
-P_base is the add-one unigram over all training tokens. Counts come from all training texts. Texts are dealt to
-blocks and kept there as numbers of the block's distinct words, so tokens are never grouped by word.
-
-Classes are found by exchange, and every training word is moved on its own. Words are dealt to buckets by hash. In a
-round each block sends a bucket the counts of its words next to every class; the bucket adds up what all blocks sent,
-weighs its words against all classes with the class-pair counts of the round (the word's own share taken out),
-moves each to the best one, and sends the classes back to the blocks. Only the class-pair counts, a table
-that the corpus does not change, come to the driver. A word without training count has no class: what follows it is
-scored by the class frequencies alone.
+P_base is the add-one unigram over all training tokens. Counts come from all training texts. A task codes its texts in blocks
+of some megabytes, as they come, as numbers of the block's distinct words; tokens are never moved or grouped by word.
+
+Classes are found by exchange, and every training word is moved on its own. Words are dealt to buckets by hash, blocks to
+groups of about the square root of their number. In a round each block counts its words next to every class; the counts of a bucket are added
+up by group of blocks and then over the groups, so no task gathers a row of every block. The bucket weighs its words against all
+classes with the class-pair counts of the round (the word's own share taken out), moves each to the best one, and
+the classes go back the same way. Only the class-pair counts, a table that the corpus does not change, come to the driver. They
+also give the likelihood of the round. All words move at once at first; a round that lowers the likelihood is taken back, and from
+then on half as many move, those whose turn it is by hash. The exchange goes on until a round raises the likelihood by less
+than GAIN for all words. A word without training count has no class: what follows it is scored by the class frequencies alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlab.llm.common import parts_of, table
-from planlab.llm.pipeline import written
+from planlab.llm.pipeline import dropped, written
 from planlab.llm.tokens import U, mix64, pieces
-from planlab.session import estimated_bytes
 
 CLASSES = 32
-ROUNDS = 4
+GAIN = 0.01  # least rise of the mean log-likelihood of a training token (nats) for another round
 MIX = 0.1
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 5 << 20
 UNKNOWN = CLASSES  # class number of words without training count
 END = CLASSES - 1  # class of the end alone
-BLOCKS_PER_BUCKET, BUCKETS, MOST_BUCKETS = 16, 256, 1 << 16
+BLOCKS_PER_BUCKET = 16
+LEAST_GROUP = 64  # blocks of a group, if there are so many
+TURNS = 64  # parts of the words that take turns where not all move at once
+DENSE = 1 << 24  # cells of a block that are counted in one array
 
 
 def held_out(doc_id):
@@ -62,21 +69,35 @@ def _walked(x: bytes) -> np.ndarray:
 BLOCK = "block long, bucket int, doc_id array<bigint>, held_out array<boolean>, sizes binary, codes binary, h binary, n binary"
 
 
-def _block(data: pa.Table, buckets: int) -> pa.Table:
-    """Texts of a block as numbers of its sorted distinct words (bucket -1), and a row of words and training counts
-    per bucket."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a task in blocks of BLOCK_BYTES, and one more text at most."""
+    block, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 64)
+        first = 0
+        while first < batch.num_rows:
+            done = upto[first - 1] if first else 0
+            last = min(int(np.searchsorted(upto, done + BLOCK_BYTES - size)) + 1, batch.num_rows)
+            held.append(batch.slice(first, last - first))
+            size += int(upto[last - 1] - done)
+            first = last
+            if size >= BLOCK_BYTES:
+                yield from _block(pa.Table.from_batches(held), block).to_batches()
+                block, held, size = block + 1, [], 0
+    if held:
+        yield from _block(pa.Table.from_batches(held), block).to_batches()
+
+
+def _block(data: pa.Table, block: int) -> pa.Table:
+    """Texts of a block as numbers of its sorted distinct words (bucket -1), and a row of the words and their training counts."""
     sizes, words = zip(*((p.sizes(), p.hashes(lower=True)) for p in pieces(data.column("text"))))
     sizes = np.concatenate(sizes)
     words, codes = np.unique(np.concatenate(words), return_inverse=True)
     held = np.asarray(data.column("held_out").to_pylist(), dtype=bool)
     n = np.bincount(codes, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
-    block = data.column("block")[0].as_py()
     rows = [{"block": block, "bucket": -1, "doc_id": data.column("doc_id").to_pylist(), "held_out": held.tolist(),
              "sizes": _packed(sizes), "codes": _packed(codes)}]
-    of = (words >> U(32)) * U(buckets) >> U(32)  # ascending, as the words are
-    found, firsts = np.unique(of, return_index=True)
-    for k, x, y in zip(found.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(words)]):
-        rows.append({"block": block, "bucket": k, "h": words[x:y].tobytes(), "n": _packed(n[x:y])})
+    rows.append({"block": block, "bucket": 0, "h": words.tobytes(), "n": _packed(n)})
     return _table(rows, BLOCK)
 
 
@@ -88,26 +109,73 @@ def _table(rows: list[dict], schema: str) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([(name, kinds[kind]) for name, kind in fields]))
 
 
-WORDS = "block long, bucket int, ids binary, c binary, class binary, tokens long, kinds long"
+BUCKETED = "block long, part int, bucket int, h binary, n binary"
 
 
-def _bucket_words(data: pa.Table) -> pa.Table:
-    """Words of a bucket numbered, counted over all blocks and given a first class; a row per block."""
-    own = [np.frombuffer(x, dtype=np.uint64) for x in data.column("h").to_pylist()]
+def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The words of each block by bucket."""
+    for batch in batches:
+        for block, part, h, n in zip(*[batch.column(x).to_pylist() for x in ("block", "part", "h", "n")]):
+            words, n = np.frombuffer(h, dtype=np.uint64), _unpacked(n)
+            of = (words >> U(32)) * U(buckets) >> U(32)  # ascending, as the words are
+            found, firsts = np.unique(of, return_index=True)
+            rows = [{"block": block, "part": part, "bucket": k, "h": words[x:y].tobytes(), "n": _packed(n[x:y])}
+                    for k, x, y in zip(found.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(words)])]
+            yield from _table(rows, BUCKETED).to_batches()
+
+
+PARTIAL = "bucket int, part int, h binary, n binary"
+
+
+def _added(own: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The union of sorted word lists, each list's places in it, and the sum of their counts."""
     words, ids = np.unique(np.concatenate(own), return_inverse=True)
-    n = np.concatenate([_unpacked(x) for x in data.column("n").to_pylist()])
-    c = np.bincount(ids, weights=n, minlength=len(words)).astype(np.int64)
+    c = np.bincount(ids, weights=np.concatenate(n), minlength=len(words)).astype(np.int64)
+    return words, np.split(ids, np.cumsum([len(x) for x in own])[:-1]), c
+
+
+def _words_of(data: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in data.column("h").to_pylist()], [_unpacked(x) for x in data.column("n").to_pylist()]
+
+
+def _partial_words(data: pa.Table) -> pa.Table:
+    """Words of a bucket in a group of blocks with their counts."""
+    words, _, c = _added(*_words_of(data))
+    row = {x: data.column(x)[0].as_py() for x in ("bucket", "part")}
+    return _table([row | {"h": words.tobytes(), "n": _packed(c)}], PARTIAL)
+
+
+GROUPS = "bucket int, part int, ids binary, c binary, class binary, turn binary, tokens long, kinds long"
+
+
+def _bucket_words(data: pa.Table) -> pa.Table:
+    """Words of a bucket numbered, counted over all groups and given a first class; a row per group."""
+    words, ids, c = _added(*_words_of(data))
     with np.errstate(over="ignore"):
         classes = np.where(c > 0, mix64(words + U(99)) % U(CLASSES - 1), UNKNOWN).astype(np.uint8)
-    rows, cuts = [], np.cumsum([len(x) for x in own])[:-1]
-    for block, at in zip(data.column("block").to_pylist(), np.split(ids, cuts)):
-        rows.append({"block": block, "bucket": data.column("bucket")[0].as_py(), "ids": _steps(at), "c": _packed(c[at]),
-                     "class": classes[at].tobytes(), "tokens": 0, "kinds": 0})
+        turns = (mix64(words + U(7)) % U(TURNS)).astype(np.uint8)
+    rows = []
+    for part, at in zip(data.column("part").to_pylist(), ids):
+        rows.append({"bucket": data.column("bucket")[0].as_py(), "part": part, "ids": _steps(at), "c": _packed(c[at]),
+                     "class": classes[at].tobytes(), "turn": turns[at].tobytes(), "tokens": 0, "kinds": 0})
     rows[0] |= {"tokens": int(c.sum()), "kinds": int((c > 0).sum())}  # once a bucket
+    return _table(rows, GROUPS)
+
+
+WORDS = "block long, bucket int, part int, ids binary, c binary, class binary"
+
+
+def _block_words(data: pa.Table, group: pa.Table) -> pa.Table:
+    """The words of each block as places among the words of its group, with their counts and classes."""
+    own, n = _words_of(data)
+    _, ids, _ = _added(own, n)
+    c, classes = _unpacked(group.column("c")[0].as_py()), np.frombuffer(group.column("class")[0].as_py(), dtype=np.uint8)
+    rows = [{"block": b, "bucket": k, "part": p, "ids": _steps(i), "c": _packed(c[i]), "class": classes[i].tobytes()}
+            for b, k, p, i in zip(*[data.column(x).to_pylist() for x in ("block", "bucket", "part")], ids)]
     return _table(rows, WORDS)
 
 
-CODED = "block long, doc_id array<bigint>, held_out array<boolean>, sizes binary, codes binary, c binary, bucket array<int>, ids array<binary>"
+CODED = "block long, part int, doc_id array<bigint>, held_out array<boolean>, sizes binary, codes binary, c binary, bucket array<int>, ids array<binary>"
 
 
 def _coded(data: pa.Table, words: pa.Table) -> pa.Table:
@@ -116,6 +184,7 @@ def _coded(data: pa.Table, words: pa.Table) -> pa.Table:
     row = data.select(["block", "doc_id", "held_out", "sizes", "codes"]).to_pylist()[0]
     c = np.concatenate([np.zeros(0, dtype=np.int64), *[_unpacked(x) for x in words.column("c").to_pylist()]])
     row |= {"c": _packed(c), "bucket": words.column("bucket").to_pylist(), "ids": words.column("ids").to_pylist()}
+    row["part"] = words.column("part")[0].as_py() if len(words) else 0
     return _table([row], CODED)
 
 
@@ -131,7 +200,7 @@ def _chain(data: pa.Table, classes: pa.Table):
     return codes, places, kind, before, sizes + 1, own
 
 
-SUMS = "bucket int, block long, ids binary, class binary, at binary, n binary"
+SUMS = "bucket int, part int, ids binary, at binary, n binary"
 
 
 def _sums(data: pa.Table, classes: pa.Table) -> pa.Table:
@@ -140,47 +209,93 @@ def _sums(data: pa.Table, classes: pa.Table) -> pa.Table:
     codes, places, kind, before, sizes, own = _chain(data, classes)
     train = np.repeat(~np.asarray(data.column("held_out")[0].as_py(), dtype=bool), sizes)
     pairs = np.bincount((before * CLASSES + kind)[train], minlength=CLASSES * CLASSES)
-    block = data.column("block")[0].as_py()
-    rows = [{"bucket": -1, "block": block, "at": _steps(np.arange(len(pairs))), "n": _packed(pairs)}]
+    part = data.column("part")[0].as_py()
+    rows = [{"bucket": -1, "part": part, "ids": _steps(np.arange(CLASSES)), "at": _steps(np.arange(len(pairs))), "n": _packed(pairs)}]
     taken = train[places]
     codes, places = codes[taken], places[taken]
     width, first = 2 * CLASSES, 0
+    size = width * sum(len(x) for x in own)
     cells = np.concatenate([codes * width + before[places], codes * width + CLASSES + kind[places + 1]])
-    at, cells = np.unique(cells, return_counts=True)
+    if size <= DENSE:
+        counts = np.bincount(cells, minlength=size)
+        at = np.flatnonzero(counts)
+        counts = counts[at]
+    else:  # many distinct words: the same counts without an array of all cells
+        at, counts = np.unique(cells, return_counts=True)
     for bucket, ids, kinds in zip(data.column("bucket")[0].as_py(), data.column("ids")[0].as_py(), own):
         x, y = np.searchsorted(at, [first * width, (first + len(kinds)) * width])
-        rows.append({"bucket": bucket, "block": block, "ids": ids, "class": kinds.tobytes(),
-                     "at": _steps(at[x:y] - first * width), "n": _packed(cells[x:y])})
+        rows.append({"bucket": bucket, "part": part, "ids": ids, "at": _steps(at[x:y] - first * width), "n": _packed(counts[x:y])})
         first += len(kinds)
     return _table(rows, SUMS)
 
 
+COMBINED = "bucket int, part int, at binary, n binary"
+
+
+def _cells_of(data: pa.Table, ids: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of all rows by the places their words have above, and the counts."""
+    at, n = [], []
+    for i, cells, counts in zip(ids, *[data.column(x).to_pylist() for x in ("at", "n")]):
+        cells = _walked(cells)
+        at.append(i[cells // width] * width + cells % width)
+        n.append(_unpacked(counts))
+    return np.concatenate(at), np.concatenate(n)
+
+
+def _combined(data: pa.Table) -> pa.Table:
+    """Counts of a bucket, or of the class pairs, added up over a group of blocks."""
+    row = {x: data.column(x)[0].as_py() for x in ("bucket", "part")}
+    at, n = _cells_of(data, [_walked(x) for x in data.column("ids").to_pylist()], CLASSES if row["bucket"] < 0 else 2 * CLASSES)
+    found, place = np.unique(at, return_inverse=True)
+    total = np.bincount(place, weights=n, minlength=len(found)).astype(np.int64)
+    return _table([row | {"at": _steps(found), "n": _packed(total)}], COMBINED)
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
-        for n in batch.column("n").to_pylist():
-            total += _unpacked(n)
+        for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+            total[_walked(at)] += _unpacked(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
 
 
-def _moves(data: pa.Table, pairs: np.ndarray) -> pa.Table:
-    """New classes of a bucket's words, a row per block."""
-    ids = [_walked(x) for x in data.column("ids").to_pylist()]
-    width, size = 2 * CLASSES, max(int(x[-1]) for x in ids) + 1
-    classes, at, n = np.full(size, UNKNOWN, dtype=np.int64), [], []
-    for i, kinds, cells, counts in zip(ids, *[data.column(x).to_pylist() for x in ("class", "at", "n")]):
-        classes[i] = np.frombuffer(kinds, dtype=np.uint8)
-        cells = _walked(cells)
-        at.append(i[cells // width] * width + cells % width)
-        n.append(_unpacked(counts))
-    both = np.bincount(np.concatenate(at), weights=np.concatenate(n), minlength=size * width).reshape(size, 2, CLASSES)
-    known = np.flatnonzero(classes != UNKNOWN)
-    classes[known] = _moved(classes[known], both[known, 0], both[known, 1], pairs)
+MOVED = "bucket int, part int, ids binary, class binary, turn binary"
+
+
+def _moves(data: pa.Table, groups: pa.Table, pairs: np.ndarray, share: int, turn: int) -> pa.Table:
+    """New classes of a bucket's words, ``share`` of TURNS of them from ``turn`` on, a row per group of blocks."""
+    rows = groups.to_pylist()
+    ids = {r["part"]: _walked(r["ids"]) for r in rows}
+    width, size = 2 * CLASSES, max(int(x[-1]) for x in ids.values()) + 1
+    classes, turns = np.full(size, UNKNOWN, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for r in rows:
+        classes[ids[r["part"]]] = np.frombuffer(r["class"], dtype=np.uint8)
+        turns[ids[r["part"]]] = np.frombuffer(r["turn"], dtype=np.uint8)
+    moving = np.flatnonzero((classes != UNKNOWN) & ((turns + turn) % TURNS < share))
+    if len(data):
+        at, n = _cells_of(data, [ids[p] for p in data.column("part").to_pylist()], width)
+        both = np.bincount(at, weights=n, minlength=size * width).reshape(size, 2, CLASSES)
+        classes[moving] = _moved(classes[moving], both[moving, 0], both[moving, 1], pairs)
     classes = classes.astype(np.uint8)
-    rows = [{"block": b, "bucket": k, "class": classes[i].tobytes()} for b, k, i in zip(data.column("block").to_pylist(), data.column("bucket").to_pylist(), ids)]
+    return _table([r | {"class": classes[ids[r["part"]]].tobytes()} for r in rows], MOVED)
+
+
+def _returned(data: pa.Table, group: pa.Table) -> pa.Table:
+    """New classes of the words of each block of a group."""
+    classes = np.frombuffer(group.column("class")[0].as_py(), dtype=np.uint8)
+    rows = [{"block": b, "bucket": k, "class": classes[_walked(i)].tobytes()}
+            for b, k, i in zip(*[data.column(x).to_pylist() for x in ("block", "bucket", "ids")])]
     return _table(rows, "block long, bucket int, class binary")
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """What the classes add to the mean log-likelihood of a training token: the mutual information of neighbours."""
+    p = pairs / max(pairs.sum(), 1)
+    alone = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
+    some = p > 0
+    return float((p[some] * np.log(p[some] / alone[some])).sum())
+
+
 def _moved(classes: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Best class of every word: the likelihood of its neighbours' classes and of itself in the class.
 
@@ -201,7 +316,7 @@ def _moved(classes: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.n
         - weight * np.log(rest)
     )
     gain[:, END] = -np.inf
-    return gain.argmax(axis=1)
+    return np.round(gain, 9).argmax(axis=1)  # of equally good classes the first
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -224,44 +339,71 @@ def _scored(data: pa.Table, classes: pa.Table, pairs: np.ndarray, total: int, ki
     return pa.Table.from_arrays(out, names=[x.split()[0] for x in SCORES.split(", ")])
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, gain: float = GAIN, rounds: int | None = None, told: list | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10) of every row.
 
     The model learns from rows whose crc32(doc_id) mod 7 is not 2 (a null doc_id counts as the empty string).
     Words are lower-cased (A-Z); every text has one end token more. A null text is empty. Words unknown to
     the training part get the base share only. Repeated rows are scored, and counted, each. An empty
-    training part gives base probabilities over one kind.
+    training part gives base probabilities over one kind. Other columns are not looked at. The exchange ends when a round gains
+    less than ``gain``, or after ``rounds`` where that is given; ``told`` receives the likelihood of every round that stands.
     """
     spark = docs.sparkSession
-    blocks = max(parts_of(spark), estimated_bytes(docs) // BLOCK_BYTES)
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string").alias("text"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), F.lit(blocks)).alias("block"),
     )
-    buckets = int(max(min(parts_of(spark), BUCKETS), min(blocks // BLOCKS_PER_BUCKET, MOST_BUCKETS)))
-    dealt = written(rows.groupBy("block").applyInArrow(lambda x: _block(x, buckets), BLOCK), "blocks", "zstd")
+    dealt = written(rows.mapInArrow(_blocks, BLOCK), "blocks", "zstd")
     texts = rows.where(~F.col("held_out")).count()
-    words = dealt.where("bucket >= 0").select("block", "bucket", "h", "n")
-    words = written(words.groupBy("bucket").applyInArrow(_bucket_words, WORDS), "words", "zstd")
-    found = words.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
+    blocks = dealt.where("bucket < 0").count()
+    groups = -(-blocks // max(LEAST_GROUP, isqrt(blocks)))
+    of = F.pmod(F.xxhash64("block"), F.lit(max(groups, 1))).cast("int").alias("part")
+    buckets = max(parts_of(spark), blocks // BLOCKS_PER_BUCKET)
+    words = dealt.where("bucket >= 0").select("block", of, "h", "n").mapInArrow(lambda it: _bucketed(it, buckets), BUCKETED)
+    partial = words.groupBy("bucket", "part").applyInArrow(_partial_words, PARTIAL)
+    classed = written(partial.groupBy("bucket").applyInArrow(_bucket_words, GROUPS), "groups", "zstd")
+    found = classed.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     total, kinds = (found["n"] or 0) + texts, (found["v"] or 0) + (texts > 0)
-    coded = dealt.where("bucket < 0").groupBy("block").cogroup(words.select("block", "bucket", "ids", "c").groupBy("block"))
+    words = words.groupBy("bucket", "part").cogroup(classed.groupBy("bucket", "part"))
+    words = written(words.applyInArrow(_block_words, WORDS), "words", "zstd")
+    coded = dealt.where("bucket < 0").groupBy("block").cogroup(words.select("block", "bucket", "part", "ids", "c").groupBy("block"))
     coded = written(coded.applyInArrow(_coded, CODED), "coded", "zstd")
-    classes = words.select("block", "bucket", "class")
-    for turn in range(rounds + 1):
+    dropped(dealt)
+    classes, classed = words.select("block", "bucket", "class"), classed.select("bucket", "part", "ids", "class", "turn")
+    owners = words.select("block", "bucket", "part", "ids")
+
+    def counted(classes: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """The round's counts by bucket, and the class pairs."""
         sums = coded.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_sums, SUMS)
-        sums = written(sums if turn < rounds else sums.where("bucket < 0"), "sums", "zstd")
-        rows_ = sums.where("bucket < 0").select("n").mapInArrow(_pair_rows, "at long, n long")
-        got = rows_.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        sums = written(sums.groupBy("bucket", "part").applyInArrow(_combined, COMBINED), "sums", "zstd")
+        got = sums.where("bucket < 0").select("at", "n").mapInArrow(_pair_rows, "at long, n long")
+        got = got.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         pairs = np.zeros(CLASSES * CLASSES)
         pairs[got.column("at").to_numpy()] = got.column("n").to_numpy()
-        pairs = pairs.reshape(CLASSES, CLASSES)
-        if turn < rounds:
-            moved = sums.where("bucket >= 0").groupBy("bucket")
-            moved = moved.applyInArrow(lambda x: _moves(x, pairs), "block long, bucket int, class binary")
-            classes = written(moved, "classes", "zstd")  # at once, with the pairs of this round
+        return sums, pairs.reshape(CLASSES, CLASSES)
+
+    sums, pairs = counted(classes)
+    heard: list[float] = [] if told is None else told
+    heard.append(likelihood(pairs))
+    share, turn = TURNS, 0
+    while share and turn != rounds:
+        moved = sums.where("bucket >= 0").groupBy("bucket").cogroup(classed.groupBy("bucket"))
+        moved = written(moved.applyInArrow(lambda x, y: _moves(x, y, pairs, share, turn * share), MOVED), "classed", "zstd")
+        back = owners.groupBy("bucket", "part").cogroup(moved.groupBy("bucket", "part"))
+        back = written(back.applyInArrow(_returned, "block long, bucket int, class binary"), "classes", "zstd")
+        new, new_pairs = counted(back)
+        turn, rise = turn + 1, likelihood(new_pairs) - heard[-1]
+        if rise < 0:
+            share //= 2
+            dropped(new, moved, back)
+            continue
+        heard.append(likelihood(new_pairs))
+        old = [sums] if len(heard) == 2 else [sums, classed, classes]  # the first classes stand with the words
+        sums, pairs, classed, classes = new, new_pairs, moved, back
+        dropped(*old)  # nothing reads the round before again
+        if rise < gain * share / TURNS:
+            break
     scored = coded.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(
         lambda x, y: _scored(x, y, pairs, total, kinds, texts), SCORES
     )

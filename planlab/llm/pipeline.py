@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,3 +18,18 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.parquet(path)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote for these frames, and let Spark drop the shuffle files that nothing refers to any more.
+
+    For loops that write in every round: only what no later step reads may be dropped.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
