@@ -297,19 +297,23 @@ def prefix_baseline(df: DataFrame, row_id: str, feature: str, label: str, sizes:
     return stack(frames)
 
 
-def compare_label_sources(train: DataFrame, test: DataFrame, forecast: str, true: str, trees: int = 20) -> DataFrame:
+def compare_label_sources(
+    train: DataFrame, test: DataFrame, forecast: str, true: str, trees: int = 20, depth: int = 10, bootstrap: bool = True
+) -> DataFrame:
     """Train on forecast labels and on true labels, score both on held-out true labels (exp scale)."""
     frames = []
     for source, label in (("forecast", forecast), ("true", true)):
-        out = forest.fit_forest(train, label, trees).transform(test)
+        out = forest.fit_forest(train, label, trees, depth, bootstrap=bootstrap).transform(test)
         score = out.groupBy().agg(*score_columns(F.exp(F.col(true)), F.exp(F.col("prediction"))))
         frames.append(score.withColumn("trained_on", F.lit(source)))
     return stack(frames)
 
 
-def transfer(train: DataFrame, test: DataFrame, label: str, trees: int = 20) -> DataFrame:
+def transfer(
+    train: DataFrame, test: DataFrame, label: str, trees: int = 20, depth: int = 10, bootstrap: bool = True
+) -> DataFrame:
     """Train on one workload, score on another, on both scales."""
-    out = forest.fit_forest(train, label, trees).transform(test)
+    out = forest.fit_forest(train, label, trees, depth, bootstrap=bootstrap).transform(test)
     return scores_both_scales(out, label, "prediction")
 
 

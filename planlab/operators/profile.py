@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from planlab.catalog import Predicate
 from planlab.operators import ordered
 from planlab.operators.relational import stack
+from planlab.session import stored
 
 QUARTILES = [0.25, 0.5, 0.75]
 QUARTILES_AND_TAIL = [0.25, 0.5, 0.75, 0.95, 0.97, 0.99]
@@ -21,6 +22,7 @@ FEW = 200_000  # rows of a bracket that are ordered in one task
 LEAST_SHARE = 0.01  # of all rows, for a value to be a literal
 TRACKED = 10_000  # values a heavy-hitter sketch holds; it finds all above a share of 7 / (0.75 * TRACKED)
 DAY = 86_400_000_000  # microseconds
+HEAD = 64  # characters of a suffix that are brought into order
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -210,12 +212,43 @@ def category_share(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def contained(words: DataFrame) -> DataFrame:
+    """Which words stand inside which: ``outer, piece`` for all pairs of ``words`` (one column ``word``, distinct, not empty).
+
+    A word inside another begins one of its suffixes. Suffixes, cut at HEAD characters, and words are brought into one order,
+    where the words that begin a suffix stand before it: the last word up to the suffix is one of them or begins
+    with the longest of them. So every suffix takes that word, and tries the words that this one begins with in turn. A word gives a
+    row for each of its characters, not for each of its substrings. Words above HEAD characters are met through
+    their first HEAD characters and compared in full.
+    """
+    words = stored(words.select("word").withColumn("id", F.monotonically_increasing_id()))
+    starts = F.explode(F.sequence(F.lit(1), F.length("word")))
+    suffixes = words.select("id", "word", starts.alias("start")).select(
+        "id", "start", F.substring(F.col("word"), F.col("start"), F.lit(HEAD)).alias("head")
+    )
+    suffixes = stored(suffixes)
+    short = words.where(F.length("word") <= HEAD).select("word")
+    marked = suffixes.groupBy("head").agg(F.lit(None).cast("string").alias("word")).withColumn("kind", F.lit(1))
+    lined = marked.unionByName(short.select(F.col("word").alias("head"), "word", F.lit(0).alias("kind")))
+    last = ordered.running(lined, [], ["head", "kind"], {"last": ("max", "word")}).where("kind = 1").select("head", "last")
+    lengths = F.explode(F.sequence(F.lit(1), F.length("word")))
+    begins = short.select(F.col("word").alias("last"), lengths.alias("length"))
+    begins = begins.select("last", F.substring(F.col("last"), F.lit(1), F.col("length")).alias("piece"))
+    begins = begins.join(short.select(F.col("word").alias("piece")), "piece", "left_semi")
+    heads = last.join(begins, "last").where(F.startswith("head", "piece")).select("head", "piece")
+    found = suffixes.join(heads, "head").select("id", "piece").distinct()
+    outer = words.select("id", F.col("word").alias("outer"))
+    long = words.where(F.length("word") > HEAD).select(F.col("word").alias("piece"), F.substring("word", 1, HEAD).alias("head"))
+    far = suffixes.join(long, "head").join(outer, "id").where(F.substring(F.col("outer"), F.col("start"), F.length("piece")) == F.col("piece"))
+    both = found.join(outer, "id").select("outer", "piece").unionByName(far.select("outer", "piece"))
+    return both.distinct()
+
+
 def token_share(df: DataFrame, column: str, sep: str = ",") -> DataFrame:
     """For each token of a list column, the share of rows whose text contains the token.
 
     Containment is of text, so a token also counts where a longer token holds it. A token has no
-    separator in it, hence it is in a text exactly when it is inside one of the text's tokens:
-    the pieces of each distinct token are looked up instead of testing every token on every row.
+    separator in it, hence it is in a text exactly when it is inside one of the text's tokens (``contained``).
     Equal texts are counted once with their number.
     """
     total = df.agg(F.count(F.lit(1)))
@@ -223,26 +256,10 @@ def token_share(df: DataFrame, column: str, sep: str = ",") -> DataFrame:
         F.count(F.lit(1)).alias("__n")
     )
     words = F.array_distinct(F.split("__text", rf"\Q{sep}\E"))
-    long = texts.select("__text", "__n", F.explode(words).alias("__word")).where("__word <> ''")
-    vocabulary = long.select("__word").distinct()
-    starts = F.sequence(F.lit(1), F.length("__word"))
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.length("__word") - i + 1),
-                    lambda n: F.substring(F.col("__word"), i, n),
-                ),
-            )
-        )
-    )
-    inside = (
-        vocabulary.select(F.col("__word").alias("__outer"), F.explode(pieces).alias("__piece"))
-        .join(vocabulary, F.col("__piece") == F.col("__word"), "left_semi")
-    )
-    found = long.join(inside, F.col("__word") == F.col("__outer")).select("__text", "__n", "__piece").distinct()
-    return found.groupBy(F.col("__piece").alias("token")).agg(
+    long = stored(texts.select("__text", "__n", F.explode(words).alias("__word")).where("__word <> ''"))
+    inside = contained(long.select(F.col("__word").alias("word")).distinct())
+    found = long.join(inside, F.col("__word") == F.col("outer")).select("__text", "__n", "piece").distinct()
+    return found.groupBy(F.col("piece").alias("token")).agg(
         F.sum("__n").alias("n"), (F.sum("__n") / F.first(total.scalar())).alias("selectivity")
     )
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlab.functions.scalars import draw, hash_rank
 from planlab.operators import ordered
-from planlab.session import broadcast_if_small, checkpointed
+from planlab.session import broadcast_if_small, checkpointed, stored
+
+SUMMARIES = 1000  # cluster features that are merged one by one
+CLUSTERS = 1000  # cluster records a row meets at once
 
 
 def seeded_sample(df: DataFrame, row_id: str, k: int, seed: int = 42) -> DataFrame:
@@ -220,25 +224,85 @@ def _vector(df: DataFrame, columns: list[str], out: str) -> DataFrame:
 def representatives(
     df: DataFrame, row_id: str, columns: list[str], k: int, components: int = 6, seed: int = 42
 ) -> DataFrame:
-    """One row per cluster, the nearest to its cluster mean: ``row_id, cluster``.
-
-    Columns are reduced to principal components and clustered to ``k`` groups with k-means,
-    which scales; building a full merge tree of all rows does not.
-    """
+    """One row per cluster, the nearest to its cluster mean: ``row_id, cluster``."""
     clusters = clustered(df, row_id, columns, k, components, seed)
     return nearest_to_mean(clusters, row_id, "cluster", "x")
 
 
 def clustered(df: DataFrame, row_id: str, columns: list[str], k: int, components: int = 6, seed: int = 42) -> DataFrame:
-    """``row_id, cluster, x`` with ``x`` the principal components as an array."""
-    from pyspark.ml.clustering import KMeans
+    """``row_id, cluster, x`` with ``x`` the principal components as an array: ``ward`` over all rows."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
     rows = _vector(df.select(row_id, *columns), columns, "__raw")
     reduced = PCA(k=min(components, len(columns)), inputCol="__raw", outputCol="__pca").fit(rows).transform(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="__pca", predictionCol="cluster").fit(reduced)
-    return model.transform(reduced).select(row_id, "cluster", vector_to_array("__pca").alias("x"))
+    return ward(reduced.select(row_id, vector_to_array("__pca").alias("x")), row_id, k, seed)
+
+
+def ward(df: DataFrame, row_id: str, k: int, seed: int = 42, summaries: int = SUMMARIES) -> DataFrame:
+    """``row_id, cluster, x`` by agglomeration with Ward's criterion down to ``k`` clusters.
+
+    Rows are first summed up to at most ``summaries`` cluster features (number of rows and their mean), each row in one of them;
+    the merges then run over the features, whose weights they respect. While there are no more distinct points than ``summaries``, a
+    point is its own feature and the clusters are those of plain agglomeration; beyond that the features are a fine
+    k-means clustering. Only the features come to the driver.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = stored(df.select(row_id, "x"))
+    points = rows.select("x").distinct()
+    if points.limit(summaries + 1).count() <= summaries:
+        rows = rows.withColumn("feature", F.to_json(F.struct("x")))
+    else:
+        vectors = rows.withColumn("__x", array_to_vector("x"))
+        model = KMeans(k=summaries, seed=seed, maxIter=10, featuresCol="__x", predictionCol="feature").fit(vectors)
+        rows = stored(model.transform(vectors).select(row_id, "x", F.col("feature").cast("string").alias("feature")))
+    means = _cluster_means(rows, "feature", "x").groupBy("feature").agg(
+        F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m")  # one entry per coordinate
+    )
+    sizes = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    features = means.join(sizes, "feature").select("feature", "n", F.transform("m", lambda c: c["mean"]).alias("m"))
+    found = sorted(features.collect(), key=lambda r: (r["m"], r["feature"]))  # SUMMARIES at most
+    if not found:
+        return rows.select(row_id, F.lit(None).cast("int").alias("cluster"), "x")
+    labels = ward_labels(np.array([r["n"] for r in found], dtype=float), np.array([r["m"] for r in found], dtype=float), k)
+    named = df.sparkSession.createDataFrame([(r["feature"], int(c)) for r, c in zip(found, labels)], "feature string, cluster int")
+    return rows.join(F.broadcast(named), "feature").select(row_id, "cluster", "x")
+
+
+def ward_labels(sizes: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
+    """Clusters of weighted points after Ward merges down to ``k``, numbered by their first point.
+
+    Follows chains of nearest neighbours: two that are each other's nearest can be merged at once, whatever the rest, since merging
+    two clusters never brings another closer. All merges are made, and the cheapest ones kept.
+    """
+    n = len(sizes)
+    weight, centre, alive = sizes.astype(float).copy(), means.astype(float).copy(), np.ones(n, dtype=bool)
+    merges, chain = [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        a = chain[-1]
+        cost = weight[a] * weight / (weight[a] + weight) * ((centre - centre[a]) ** 2).sum(axis=1)
+        cost[~alive] = np.inf
+        cost[a] = np.inf
+        b = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
+            b = chain[-2]
+            merges.append((cost[b], a, b))
+            a, b = min(a, b), max(a, b)
+            centre[a] = (weight[a] * centre[a] + weight[b] * centre[b]) / (weight[a] + weight[b])
+            weight[a] += weight[b]
+            alive[b] = False
+            chain = chain[:-2]
+        else:
+            chain.append(b)
+    owner = np.arange(n)
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
+        one, two = owner[a], owner[b]
+        owner[owner == max(one, two)] = min(one, two)
+    return np.unique(owner, return_inverse=True)[1]
 
 
 def _cluster_means(df: DataFrame, cluster: str, x: str) -> DataFrame:
@@ -262,11 +326,12 @@ def nearest_to_mean(df: DataFrame, row_id: str, cluster: str, x: str) -> DataFra
     )
 
 
-def silhouettes(df: DataFrame, row_id: str, cluster: str, x: str, max_clusters: int = 2000) -> DataFrame:
+def silhouettes(df: DataFrame, row_id: str, cluster: str, x: str, block: int = CLUSTERS) -> DataFrame:
     """Silhouette of every row with squared Euclidean distance.
 
     The mean squared distance from a row to a cluster follows from the cluster's size, vector
-    sum and sum of squared norms, so rows meet one small record per cluster, never each other.
+    sum and sum of squared norms, so rows meet one small record per cluster, never each other. Clusters are met in blocks of
+    ``block`` records, whatever their number; a row keeps the least distance so far.
     """
     cells = df.select(cluster, F.posexplode(x).alias("i", "value"))
     sums = cells.groupBy(cluster, "i").agg(
@@ -277,35 +342,31 @@ def silhouettes(df: DataFrame, row_id: str, cluster: str, x: str, max_clusters:
         F.sum("q").alias("q"),
         F.array_sort(F.collect_list(F.struct("i", "s"))).alias("s"),  # one entry per coordinate
     )
-    rows = records.limit(max_clusters + 1).collect()
-    if len(rows) > max_clusters:
-        raise ValueError("too many clusters for per-row scores")
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [([(r[cluster], r["n"], r["q"], [e["s"] for e in r["s"]]) for r in rows],)],
-        f"c array<struct<k:{df.schema[cluster].dataType.simpleString()},n:bigint,q:double,s:array<double>>>",
-    )
+    records = records.select(F.col(cluster).alias("k"), "n", "q", F.transform("s", lambda c: c["s"]).alias("s"))
+    records = stored(ordered.row_numbers(records, [], ["k"], "__place").withColumn("__block", F.floor((F.col("__place") - 1) / block)))
+    blocks = records.agg(F.max("__block")).first()[0]
     norm = F.aggregate(x, F.lit(0.0), lambda s, a: s + a * a)
 
-    def dot(s):
-        return F.aggregate(F.zip_with(x, s, lambda a, b: a * b), F.lit(0.0), lambda t, p: t + p)
-
-    df = df.withColumn("__c", table.scalar()).withColumn("__norm", norm)
-    gaps = F.transform(
-        "__c",
-        lambda c: F.struct(
-            c["k"].alias("k"),
-            c["n"].alias("n"),
-            (c["n"] * F.col("__norm") + c["q"] - 2 * dot(c["s"])).alias("total"),
-        ),
-    )
-    df = df.withColumn("__g", gaps)
-    own = F.get(F.filter("__g", lambda g: g["k"] == F.col(cluster)), 0)
-    a = own["total"] / F.greatest(own["n"] - 1, F.lit(1))
-    others = F.filter("__g", lambda g: g["k"] != F.col(cluster))
-    b = F.array_min(F.transform(others, lambda g: g["total"] / g["n"]))
+    def total(c: Column) -> Column:
+        """Squared distances from the row to all rows of a cluster."""
+        dot = F.aggregate(F.zip_with(x, c["s"], lambda a, b: a * b), F.lit(0.0), lambda t, p: t + p)
+        return c["n"] * F.col("__norm") + c["q"] - 2 * dot
+
+    rows = ordered.null_safe(
+        df.select(row_id, cluster, x).withColumn("__norm", norm),
+        records.select(F.col("k").alias(cluster), F.struct("n", "q", "s").alias("__own")), [cluster], "inner",
+    ).withColumn("__b", F.lit(None).cast("double"))
+    for i in range(0 if blocks is None else blocks + 1):
+        some = records.where(F.col("__block") == i).agg(F.collect_list(F.struct("k", "n", "q", "s")).alias("c"))
+        others = F.filter("__c", lambda c: ~c["k"].eqNullSafe(F.col(cluster)))
+        least = F.array_min(F.transform(others, lambda c: total(c) / c["n"]))
+        rows = rows.withColumn("__c", some.scalar()).withColumn("__b", F.least("__b", least)).drop("__c")
+        if i % 8 == 7:
+            rows = stored(rows)
+    own = F.col("__own")
+    a, b = total(own) / F.greatest(own["n"] - 1, F.lit(1)), F.col("__b")
     score = F.when(own["n"] == 1, 0.0).otherwise((b - a) / F.greatest(a, b))
-    return df.select(row_id, cluster, score.alias("silhouette"))
+    return rows.select(row_id, cluster, score.alias("silhouette"))
 
 
 def spread_and_representatives(

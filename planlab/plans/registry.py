@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("tpch", "basics", "featured", "sequenced", "sampled", "learned", "jobbed")
+FAMILIES = ("tpch", "basics", "featured", "sequenced", "sampled", "learned", "settled", "filed", "jobbed")
 
 
 def all_queries() -> dict:

@@ -84,3 +84,22 @@ def test_catalogue_becomes_predicates(rows):
             assert measured[p.name] == sum(r[5] == p.literal for r in data)
         else:
             assert measured[p.name] == sum(r[6] <= datetime(p.literal.year, p.literal.month, p.literal.day) for r in data)
+
+
+def test_contained_words(spark, monkeypatch):
+    draw = random.Random(5)
+    words = {"".join(draw.choice("abé") for _ in range(draw.randint(1, 9))) for _ in range(150)} | {"a", "ab", "aba", "abab" * 20, "b" + "abab" * 20 + "c", "%", "a.b", "Z", "zz", "\u00e9" * 70}
+    df = spark.createDataFrame([(w,) for w in words], "word string").repartition(4)
+    want = {(o, p) for o in words for p in words if p in o}
+    for head in (64, 3):
+        monkeypatch.setattr(profile, "HEAD", head)
+        got = [tuple(r) for r in profile.contained(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_long_word_gives_a_row_per_character(spark):
+    """A word of 20,000 letters beside a few short ones."""
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(20_000))
+    words = [long, long[5000:9000], "abc", "a", "hgfedcbahgfedcba"]
+    got = {tuple(r) for r in profile.contained(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {(o, p) for o in words for p in words if p in o}

@@ -126,3 +126,66 @@ def test_null_group_has_percentiles(spark):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3)], "g string, v double, id int").withColumn("w", F.lit(1.0))
     got = sampling.weighted_percentile(df, ["g"], "v", "w", "id", [50]).collect()
     assert {r.g: r.q50 for r in got} == {None: 2.0, "a": 5.0}
+
+
+def agglomerated(points, k):
+    """Ward's criterion as it is defined: merge the two clusters whose union raises the sum of squares least, again and again."""
+    clusters = [[i] for i in range(len(points))]
+    x = np.array(points)
+    n, m = np.ones(len(x)), x.copy()
+    alive = list(range(len(x)))
+    while len(alive) > k:
+        a = np.array(alive)
+        gap = ((m[a][:, None, :] - m[a][None, :, :]) ** 2).sum(axis=2)
+        cost = n[a][:, None] * n[a][None, :] / (n[a][:, None] + n[a][None, :]) * gap
+        np.fill_diagonal(cost, np.inf)
+        i, j = sorted(divmod(int(cost.argmin()), len(a)))
+        i, j = a[i], a[j]
+        m[i] = (n[i] * m[i] + n[j] * m[j]) / (n[i] + n[j])
+        n[i] += n[j]
+        clusters[i] += clusters[j]
+        alive.remove(j)
+    return {frozenset(clusters[i]) for i in alive}
+
+
+def groups_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["cluster"], set()).add(r["id"])
+    return {frozenset(v) for v in out.values()}
+
+
+@pytest.mark.parametrize("k", [1, 7, 40])
+def test_ward_equals_plain_agglomeration(spark, k):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, s, (100, 3)) for c, s in ((0, 1), (4, 2), (9, 0.5), (-5, 3), (2, 0.1))])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "id long, x array<double>").repartition(5)
+    assert groups_of(sampling.ward(df, "id", k).collect()) == agglomerated(points, k)
+
+
+def test_ward_over_features_keeps_every_row(spark):
+    """More points than features: far groups still come out whole, copies of a point together."""
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(c, 1, (400, 2)) for c in (0, 40, 100)])
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)] + [(2000 + i, [0.5, 0.5]) for i in range(50)]
+    got = groups_of(sampling.ward(spark.createDataFrame(rows, "id long, x array<double>"), "id", 3, summaries=60).collect())
+    assert got == {frozenset([*range(400), *range(2000, 2050)]), frozenset(range(400, 800)), frozenset(range(800, 1200))}
+
+
+def test_silhouettes_in_blocks_of_clusters(spark):
+    rng = np.random.default_rng(7)
+    points, label = rng.normal(0, 1, (90, 3)), [i % 30 if i else 77 for i in range(90)]
+    df = spark.createDataFrame([(i, label[i], [float(v) for v in p]) for i, p in enumerate(points)], "id long, c int, x array<double>")
+    gap = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    want = {}
+    for i in range(90):
+        own = [j for j in range(90) if label[j] == label[i] and j != i]
+        others = {}
+        for j in range(90):
+            if label[j] != label[i]:
+                others.setdefault(label[j], []).append(gap[i, j])
+        a, b = (np.mean(gap[i, own]) if own else 0), min(np.mean(v) for v in others.values())
+        want[i] = (b - a) / max(a, b) if own else 0.0
+    for block in (1000, 7, 1):
+        got = {r.id: r.silhouette for r in sampling.silhouettes(df, "id", "c", "x", block).collect()}
+        assert got == {i: pytest.approx(v, abs=1e-9) for i, v in want.items()}
