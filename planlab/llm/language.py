@@ -40,7 +40,6 @@ END = CLASSES - 1  # class of the end alone
 BLOCKS_PER_BUCKET = 16
 LEAST_GROUP = 64  # blocks of a group, if there are so many
 TURNS = 64  # parts of the words that take turns where not all move at once
-DENSE = 1 << 24  # cells of a block that are counted in one array
 
 
 def held_out(doc_id):
@@ -48,13 +47,20 @@ def held_out(doc_id):
 
 
 def _packed(x: np.ndarray) -> bytes:
-    raw = x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes of all numbers side by side
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Numbers from 0 on in as few bytes each as the greatest one needs, equal bytes of all numbers side by side."""
+    most = int(x.max(initial=0))
+    wide = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    raw = x.astype(f"<u{wide}").view(np.uint8)
+    raw = (raw.reshape(-1, wide).T if wide > 1 else raw).tobytes()
+    return bytes([wide]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    wide, size = x[0], int.from_bytes(x[1:9], "little")
+    raw = np.frombuffer(pa.decompress(x[9:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    if wide > 1:
+        raw = np.ascontiguousarray(raw.reshape(wide, -1).T).view(f"<u{wide}").ravel()
+    return raw.astype(np.int64)
 
 
 def _steps(x: np.ndarray) -> bytes:
@@ -216,12 +222,9 @@ def _sums(data: pa.Table, classes: pa.Table) -> pa.Table:
     width, first = 2 * CLASSES, 0
     size = width * sum(len(x) for x in own)
     cells = np.concatenate([codes * width + before[places], codes * width + CLASSES + kind[places + 1]])
-    if size <= DENSE:
-        counts = np.bincount(cells, minlength=size)
-        at = np.flatnonzero(counts)
-        counts = counts[at]
-    else:  # many distinct words: the same counts without an array of all cells
-        at, counts = np.unique(cells, return_counts=True)
+    cells = np.sort(cells.astype(np.int32) if size < 1 << 31 else cells)
+    heads = np.flatnonzero(np.diff(cells, prepend=-1))
+    at, counts = cells[heads].astype(np.int64), np.diff(np.append(heads, len(cells)))
     for bucket, ids, kinds in zip(data.column("bucket")[0].as_py(), data.column("ids")[0].as_py(), own):
         x, y = np.searchsorted(at, [first * width, (first + len(kinds)) * width])
         rows.append({"bucket": bucket, "part": part, "ids": ids, "at": _steps(at[x:y] - first * width), "n": _packed(counts[x:y])})

@@ -109,10 +109,10 @@ def test_every_training_word_has_a_class_of_its_own(spark, rounds):
     assert got == _plain(texts, rounds)
 
 
-def test_blocks_groups_and_cells_change_nothing(spark, monkeypatch):
-    """Small blocks in groups of two, counted without an array of all cells."""
+def test_blocks_and_groups_change_nothing(spark, monkeypatch):
+    """Small blocks in groups of two."""
     texts = _texts()
-    for name, value in (("BLOCK_BYTES", 300), ("LEAST_GROUP", 2), ("isqrt", lambda n: 2), ("DENSE", 0), ("BLOCKS_PER_BUCKET", 1)):
+    for name, value in (("BLOCK_BYTES", 300), ("LEAST_GROUP", 2), ("isqrt", lambda n: 2), ("BLOCKS_PER_BUCKET", 1)):
         monkeypatch.setattr(language, name, value)
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     got = Counter((str(r.doc_id), round(r.score, 6)) for r in language.score_texts(df, gain=-1.0, rounds=2).collect())
