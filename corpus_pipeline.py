@@ -34,8 +34,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = substrings.cut_texts(docs, kept)
     new = F.coalesce(kept, "text")
     columns = [
-        new.alias(c) if c == "text" else F.when(F.col(kept).isNull(), F.col(c)).otherwise(F.length(kept)).cast(t).alias(c)
-        if c == "n_chars" else F.col(c)
+        new.alias(c) if c == "text" else F.when(F.col(kept).isNull(), F.col(f"`{c}`")).otherwise(F.length(kept)).cast(t).alias(c)
+        if c == "n_chars" else F.col(f"`{c}`")
         for c, t in docs.dtypes
     ]
     return joined.where(F.coalesce(F.col(kept) != "", F.lit(True))).select(*columns)

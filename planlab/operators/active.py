@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planlab.functions.scalars import draw
 from planlab.operators import evaluate, forest, ordered
 from planlab.operators.relational import stack
-from planlab.session import checkpointed
+from planlab.session import stored
 
 
 def split_labelled(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -106,9 +106,9 @@ def complete_labels(
     ``threshold``, or when nothing is left to ask. State is the table of known labels, cut from
     its lineage every round on the shared checkpoint folder; the driver keeps two numbers.
     """
-    rows = checkpointed(forest.with_vector(features, columns).select(row_id, "features"))
+    rows = stored(forest.with_vector(features, columns).select(row_id, "features"))
     known, missing = reveal(initial, truth, row_id)
-    known = checkpointed(known.select(row_id, label).withColumn("round", F.lit(0)))
+    known = stored(known.select(row_id, label).withColumn("round", F.lit(0)))
     missing = [missing.withColumn("round", F.lit(0))]
     rounds, before, stops = [], None, 0
     spark = features.sparkSession
@@ -116,7 +116,7 @@ def complete_labels(
         train = rows.join(known.select(row_id, label), row_id)
         test = rows.join(known.select(row_id), row_id, "left_anti")
         intervals, _ = one_round(train, test, row_id, label, trees, depth, seed, search)
-        intervals = checkpointed(intervals)
+        intervals = stored(intervals)
         width = F.exp(F.col("high")) - F.exp(F.col("low"))
         now = intervals.agg(
             F.avg(width), F.stddev_pop(width), F.avg(F.abs("width")), F.count(F.lit(1))
@@ -136,11 +136,11 @@ def complete_labels(
         if random_choice:
             chosen = select_random(intervals, row_id, chosen.count(), seed + turn).select(row_id)
         new, lost = reveal(chosen, truth, row_id)
-        new = checkpointed(new.select(row_id, label).withColumn("round", F.lit(turn + 1)))
-        missing.append(checkpointed(lost.withColumn("round", F.lit(turn + 1))))
+        new = stored(new.select(row_id, label).withColumn("round", F.lit(turn + 1)))
+        missing.append(stored(lost.withColumn("round", F.lit(turn + 1))))
         if new.isEmpty():
             break
-        known = checkpointed(known.unionByName(new))
+        known = stored(known.unionByName(new))
     rounds_table = spark.createDataFrame(
         rounds,
         "iteration int, data_size long, open_rows long, uncertainty double, uncertainty_std double, mean_width double",

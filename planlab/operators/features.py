@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlab.operators import ordered
-from planlab.session import broadcast_if_small, checkpointed, stored
+from planlab.session import broadcast_if_small, stored
 
 PERCENTILES = [0.1, 0.5, 0.9]
 
@@ -67,9 +67,9 @@ def propagate(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], unk
         {"__slot": ("sum", "__push"), "__segment": ("sum", "__starts"), "__k": ("sum", "__join")},
     )
     ops = ordered.running(
-        checkpointed(ops), ["plan_id", "__segment"], ["pos"], {"__product": ("product", "__factor")}
+        ops, ["plan_id", "__segment"], ["pos"], {"__product": ("product", "__factor")}
     )
-    ops = checkpointed(ops)  # read three times below
+    ops = stored(ops)  # read three times below
 
     start_pos = F.when(F.col("__starts") == 1, F.col("pos"))
     origin = F.struct("table_name", "selectivity", "__given", "__join")
@@ -125,7 +125,7 @@ def _settle(slots: DataFrame) -> DataFrame:
         .join(joins, [*owner, "__c"], "left")
         .select(*owner, "__slot", "__val", "__up", "__upf")
     )
-    state = checkpointed(state)
+    state = stored(state)
     while not state.where("__up is not null").isEmpty():
         gain = (
             state.where("__up is not null and __val is not null")
@@ -146,7 +146,7 @@ def _settle(slots: DataFrame) -> DataFrame:
                 (F.col("__upf") * F.col("__upf2")).alias("__upf"),
             )
         )
-        state = checkpointed(state)
+        state = stored(state)
     return state
 
 
@@ -269,7 +269,7 @@ def pca_factors(df: DataFrame, columns: list[str], k: int, prefix: str = "t_F")
 
 def plan_feature_table(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], tables: list[str]) -> DataFrame:
     """Operators and table sizes to one feature row per plan and size."""
-    sized = checkpointed(propagate(ops, cardinalities, data_ids))
+    sized = stored(propagate(ops, cardinalities, data_ids))
     features = cardinality_features(sized)
     extra = table_features(used_values(ops, "plan_id", "tables"), cardinalities, tables)
     return features.join(extra, ["plan_id", "data_id"])

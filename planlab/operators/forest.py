@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlab.operators import ordered
-from planlab.session import checkpointed
+from planlab.session import stored
 
 FANOUT = 64
 MAX_DEPTH = 30  # the deepest tree MLlib grows
@@ -105,7 +105,7 @@ def quantile_predictions(
     block sums per tree, so the work is test rows x trees x levels however large leaves get, and
     the last level is exact to the single training row.
     """
-    weights = checkpointed(leaf_weights(train, row_id, label, bags))
+    weights = stored(leaf_weights(train, row_id, label, bags))
     n = weights.agg(F.max("pos")).first()[0]
     if n is None:
         raise ValueError("no training rows")

@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,20 +71,16 @@ def _narrowed(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], b
     A sketch only proposes; the counts say whether the positions lie inside, and where they do not the bracket stays
     and is final, as is one that was not even halved.
     """
-    grid = []
-    for b in brackets:
-        for p in b.wanted:
-            share = (p * (sizes[b.field] - 1) - b.below) / max(b.inside - 1, 1)
-            grid.append((b, p, [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)]))
-    sketches = [
-        F.percentile_approx(F.when(b.holds(values[b.field]), values[b.field]), ends, ACCURACY).alias(f"e{i}")
-        for i, (b, _, ends) in enumerate(grid)
-    ]
+    sketches = []
+    for i, b in enumerate(brackets):
+        at = [(p * (sizes[b.field] - 1) - b.below) / max(b.inside - 1, 1) for p in b.wanted]
+        ends = [min(1.0, max(0.0, x + d)) for x in at for d in (-2 / ACCURACY, 2 / ACCURACY)]
+        sketches.append(F.percentile_approx(F.when(b.holds(values[b.field]), values[b.field]), ends, ACCURACY).alias(f"e{i}"))
     found = df.agg(*sketches).first()
     proposed: dict[tuple, _Bracket] = {}
-    for i, (b, p, _) in enumerate(grid):
-        low, high = found[f"e{i}"]
-        proposed.setdefault((b.field, low, high), _Bracket(b.field, low, high, 0, 0, [])).wanted.append(p)
+    for i, b in enumerate(brackets):
+        for p, low, high in zip(b.wanted, found[i][::2], found[i][1::2]):
+            proposed.setdefault((b.field, low, high), _Bracket(b.field, low, high, 0, 0, [])).wanted.append(p)
     new = list(proposed.values())
     counts = df.agg(
         *[F.count_if(values[b.field] < b.low).alias(f"b{i}") for i, b in enumerate(new)],
@@ -114,6 +111,16 @@ def quantile_literals(df: DataFrame, columns: list[str], probabilities=QUARTILES
     """
     spark = df.sparkSession
     values = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    if df.count() <= FEW:  # a table of few rows is one bracket a column
+        cells = F.array(*[F.struct(F.lit(c).alias("field"), v.alias("__v")) for c, v in values.items()])
+        runs = df.select(F.inline(cells)).where(F.col("__v").isNotNull()).groupBy("field", "__v").agg(F.count(F.lit(1)).alias("__c"))
+        of_field = W.partitionBy("field")
+        upto = of_field.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+        runs = runs.withColumns({"__low": F.sum("__c").over(upto) - F.col("__c"), "__n": F.sum("__c").over(of_field)})
+        asked = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+        both = runs.withColumn("selectivity", asked).withColumn("place", F.col("selectivity") * (F.col("__n") - 1))
+        both = both.groupBy("field", "selectivity", "place").agg(*ordered.ends_at(F.col("place")))
+        return both.select("field", "selectivity", ordered.between(F.col("place")).alias("literal"))
     sizes = df.agg(*[F.count(v).alias(c) for c, v in values.items()]).first().asDict()
     brackets = [_Bracket(c, -math.inf, math.inf, 0, n, list(probabilities)) for c, n in sizes.items() if n]
     schema = T.StructType.fromDDL("field string, selectivity double, literal double")
@@ -128,7 +135,7 @@ def quantile_literals(df: DataFrame, columns: list[str], probabilities=QUARTILES
         placed = ordered.placed(ordered.value_index(rows, ["i"], "v"))
     else:  # few rows each, or one value
         runs = rows.groupBy("i", F.col("v").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-        upto = ordered.W.partitionBy("i").orderBy("__v").rowsBetween(ordered.W.unboundedPreceding, 0)
+        upto = W.partitionBy("i").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
         placed = runs.withColumn("__low", F.sum("__c").over(upto) - F.col("__c"))
     asked = [(i, b.field, float(p), p * (sizes[b.field] - 1) - b.below) for i, b in enumerate(brackets) for p in b.wanted]
     asked = spark.createDataFrame(asked, "i int, field string, selectivity double, place double")
@@ -226,7 +233,6 @@ def contained(words: DataFrame) -> DataFrame:
     suffixes = words.select("id", "word", starts.alias("start")).select(
         "id", "start", F.substring(F.col("word"), F.col("start"), F.lit(HEAD)).alias("head")
     )
-    suffixes = stored(suffixes)
     short = words.where(F.length("word") <= HEAD).select("word")
     marked = suffixes.groupBy("head").agg(F.lit(None).cast("string").alias("word")).withColumn("kind", F.lit(1))
     lined = marked.unionByName(short.select(F.col("word").alias("head"), "word", F.lit(0).alias("kind")))
@@ -256,7 +262,7 @@ def token_share(df: DataFrame, column: str, sep: str = ",") -> DataFrame:
         F.count(F.lit(1)).alias("__n")
     )
     words = F.array_distinct(F.split("__text", rf"\Q{sep}\E"))
-    long = stored(texts.select("__text", "__n", F.explode(words).alias("__word")).where("__word <> ''"))
+    long = texts.select("__text", "__n", F.explode(words).alias("__word")).where("__word <> ''")
     inside = contained(long.select(F.col("__word").alias("word")).distinct())
     found = long.join(inside, F.col("__word") == F.col("outer")).select("__text", "__n", "piece").distinct()
     return found.groupBy(F.col("piece").alias("token")).agg(

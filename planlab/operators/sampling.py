@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planlab.functions.scalars import draw, hash_rank
 from planlab.operators import ordered
-from planlab.session import broadcast_if_small, checkpointed, stored
+from planlab.session import broadcast_if_small, stored
 
 SUMMARIES = 1000  # cluster features that are merged one by one
 CLUSTERS = 1000  # cluster records a row meets at once
@@ -97,7 +97,7 @@ def uniform_sample(df: DataFrame, row_id: str, value: str, k: int, shrink: float
     are gives all rows; so many ties at the least value that no step does raises.
     """
     df = df.withColumn(value, F.when(F.abs(value) < F.lit(math.inf), F.col(value)))
-    runs = checkpointed(value_runs(df, [], value))
+    runs = stored(value_runs(df, [], value))
     total, low, high = runs.agg(F.sum("c"), F.min("v"), F.max("v")).first()
     if total is None or k >= total:
         return df.select(row_id)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from planlab.functions.scalars import draw, hash_rank
 from planlab.operators import ordered
+from planlab.operators.relational import stack
 from planlab.session import stored
 
 STEPS_PER_PLAN = 8  # steps joined before the walks are written
@@ -40,14 +41,6 @@ def _fans(cells: DataFrame, name: str) -> DataFrame:
     return cells.select(F.col("from_state").alias("state"), F.col("fan").alias(name)).distinct()
 
 
-def _leading(cells: DataFrame, fans: list[DataFrame]) -> DataFrame:
-    """``cells`` with the fans of the state each leads to, which the next draw from it asks for."""
-    rows = cells.withColumnRenamed("to_state", "state")
-    for fan in fans:
-        rows = ordered.null_safe(rows, fan, ["state"], "left")
-    return stored(rows.withColumnRenamed("state", "to_state"))
-
-
 def _drawn(walks: DataFrame, cells: DataFrame, fan: str, u: Column, active: Column, out: str) -> DataFrame:
     """``walks`` with the cell drawn by ``u`` among those of ``state``, as the struct ``out``, null where the walk is not active.
 
@@ -112,16 +105,18 @@ def walks(
         deepest = rows.agg(F.max("depth")).first()[0] or 0
     else:
         rows, deepest = ids.select("walk_id").withColumn("depth", F.lit(max_depth)), max_depth
-    forward, backward = stored(forward.select("from_state", "to_state", "n")), stored(backward.select("from_state", "to_state", "n"))
-    any_cells, plain_cells, back_cells = _cells(forward), _cells(forward, join), _cells(backward, join)
-    fans = [_fans(any_cells, "next_any"), _fans(plain_cells, "next_plain")]
-    any_cells, plain_cells = _leading(any_cells, fans), _leading(plain_cells, fans)
-    back_cells = _leading(back_cells, [_fans(back_cells, "next_any")])
-
-    sizes = stored(fans[0].where(F.col("state").eqNullSafe(F.lit(start))).join(fans[1], "state", "left"))
+    kinds = {"any": _cells(forward), "plain": _cells(forward, join), "back": _cells(backward, join)}
+    cells = stored(stack([c.withColumn("kind", F.lit(k)) for k, c in kinds.items()]))
+    fans = cells.select("kind", F.col("from_state").alias("state"), "fan").distinct()
+    fans = fans.groupBy("state").agg(*[F.max(F.when(F.col("kind") == k, F.col("fan"))).alias(f"next_{k}") for k in kinds])
+    led = ordered.null_safe(cells.withColumnRenamed("to_state", "state"), fans, ["state"], "left").withColumnRenamed("state", "to_state")
+    led = stored(led)
+    any_cells, plain_cells, back_cells = (led.where(F.col("kind") == k) for k in kinds)
+    begin = {r["state"]: r for r in fans.where(F.col("state").isin(start, join)).collect()}  # two states
+    fan = lambda state, k: F.lit(begin[state][f"next_{k}"] if state in begin else None).cast("bigint")
     main = rows.withColumns({
         "line": F.array(F.lit(start)), "joins": F.lit(0), "state": F.lit(start),
-        "any": sizes.select("next_any").scalar(), "plain": sizes.select("next_plain").scalar(),
+        "any": fan(start, "any"), "plain": fan(start, "plain"),
     })
     for i in range(1, deepest + 1):
         u = draw(F.lit(seed), F.col("walk_id"), F.lit(i))
@@ -148,18 +143,17 @@ def walks(
     closed = F.when(F.col("state").eqNullSafe(F.lit(end)), F.col("line")).otherwise(F.concat("line", F.array(F.lit(end))))
     main = stored(main.select("walk_id", "depth", F.posexplode(closed).alias("step", "state")))
 
-    fan = back_cells.where(F.col("from_state").eqNullSafe(F.lit(join))).agg(F.max("fan").alias("fan"))
     side = main.where(F.col("state") == join).select("walk_id", "step", "depth", F.lit(join).alias("state"))
-    side = side.withColumns({"grown": F.array().cast("array<string>"), "any": fan.scalar()})
+    side = side.withColumns({"grown": F.array().cast("array<string>"), "back": fan(join, "back")})
     for i in range(1, deepest // 2 + 1):
         u = draw(F.lit(seed), F.col("walk_id"), F.col("step"), F.lit("b"), F.lit(i))
         goes = ~F.col("state").eqNullSafe(F.lit(start)) & (F.lit(i) <= F.floor(F.col("depth") / 2))
-        side = _drawn(side.withColumn("__goes", goes), back_cells, "any", u, F.col("__goes"), "__to")
+        side = _drawn(side.withColumn("__goes", goes), back_cells, "back", u, F.col("__goes"), "__to")
         state = F.when(F.col("__goes") & F.col("__to").isNull(), _stuck(F.col("state"))).otherwise(F.col("__to.to_state"))
         side = side.withColumn("__state", state).select(
             "walk_id", "step", "depth", F.when(F.col("__goes"), F.col("__state")).otherwise(F.col("state")).alias("state"),
             F.when(F.col("__goes"), F.concat("grown", F.array("__state"))).otherwise(F.col("grown")).alias("grown"),
-            F.col("__to.next_any").alias("any"),
+            F.col("__to.next_back").alias("back"),
         )
         if i % STEPS_PER_PLAN == 0:
             side = stored(side)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planlab import catalog
@@ -114,16 +115,14 @@ def join_hot_key(t: Tables) -> DataFrame:
 
 
 def join_chain(t: Tables) -> DataFrame:
-    """Four tables; the fact side is collapsed to its join keys before any join."""
-    lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(
-        F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n")
-    )
+    """Four tables; the fact side is collapsed to segment and part before the last join."""
     buyers = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
     brands = t.part.select("p_partkey", "p_brand")
     return (
-        lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+        t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
+        .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("c_mktsegment", "l_partkey")
-        .agg(F.sum("quantity").alias("quantity"), F.sum("n").alias("n"))
+        .agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
         .join(brands, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("c_mktsegment", "p_brand")
         .agg(F.sum("quantity").alias("quantity"), F.sum("n").alias("n_lines"))
@@ -209,6 +208,26 @@ def two_columns(t: Tables) -> DataFrame:
     return R.keep_one(t.lineitem.select("l_orderkey", "l_partkey"), ["l_orderkey"])
 
 
+def partition_faults(t: Tables) -> DataFrame:
+    """What the partitioning operators promise, held against the partitions they made: no key in two partitions, no range that
+    overlaps the one before, no row that sorts below the row before it in its partition."""
+    place = F.spark_partition_id().alias("p")
+    hashed = R.hash_partition(t.customer, "c_nationkey", 7).select("c_nationkey", place)
+    split = hashed.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("parts"))
+    split = split.agg(F.sum("n").alias("rows_in"), F.count_if(F.col("parts") > 1).alias("faults"))
+    ranges = R.range_partition(t.supplier, "s_acctbal", 5).select("s_acctbal", place).groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high")
+    )
+    before = F.lag("high").over(W.orderBy("p"))  # five partitions
+    ranges = ranges.withColumn("before", before).agg(F.sum("n").alias("rows_in"), F.count_if(F.col("low") <= F.col("before")).alias("faults"))
+    rows = R.sort_partitions(R.hash_partition(t.part, "p_brand", 6), "p_retailprice")
+    rows = rows.select("p_retailprice", place, F.monotonically_increasing_id().alias("at"))
+    last = F.lag("p_retailprice").over(W.partitionBy("p").orderBy("at"))
+    rows = rows.withColumn("last", last).agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("p_retailprice") < F.col("last")).alias("faults"))
+    frames = (("hash", split), ("range", ranges), ("sort", rows))
+    return R.stack([df.select(F.lit(name).alias("kind"), "rows_in", "faults") for name, df in frames])
+
+
 # ---- profiling -----------------------------------------------------------------------------
 
 
@@ -564,6 +583,11 @@ QUERIES = {
         q(lambda t: R.sort_partitions(R.hash_partition(R.map_rows(t.part), "p_brand"), "p_retailprice")),
         "SELECT * FROM part",
     ),
+    "partition_faults": (
+        q(partition_faults),
+        """SELECT 'hash' AS kind, COUNT(*) AS rows_in, 0 AS faults FROM customer UNION ALL SELECT 'range', COUNT(*), 0 FROM supplier
+           UNION ALL SELECT 'sort', COUNT(*), 0 FROM part""",
+    ),
     "table_counts": (
         q(lambda t: profile.table_counts({n: getattr(t, n) for n in ALL_TABLES})),
         _union(f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {n}" for n in ALL_TABLES),

@@ -90,6 +90,12 @@ def plan_features(t: Tables) -> DataFrame:
     return rounded(out.withColumnsRenamed(names))
 
 
+def plan_products(t: Tables) -> DataFrame:
+    """Logarithms of the product columns, whose values pass what rounding can compare."""
+    logs = [F.when(F.col(c) > 0, F.round(F.log(c), 6)).alias(c) for c in ("sourceCardinalityProd", "joinOutCard_prod")]
+    return feature_columns(t).select("plan_id", "data_id", *logs)
+
+
 def complexity_block(t: Tables) -> DataFrame:
     ops = joblog.sized_operators(t)
     effort = F.when(F.col("pact") == "Map", F.col("out_cardinality") * F.pow(F.lit(10.0), F.col("complexity")))
@@ -223,6 +229,13 @@ QUERIES = {
         f"WITH {joblog.OPERATORS_SQL} SELECT plan_id, pos, pact, tables, selectivity, out_cardinality, complexity FROM ops",
     ),
     "plan_features": (q(plan_features), _PLAN_SQL),
+    "plan_products": (
+        q(plan_products),
+        f"""WITH RECURSIVE {joblog.propagated_sql()} SELECT plan_id, data_id,
+            ROUND(SUM(CASE WHEN pact = 'Data Source' THEN ln(out_cardinality) END), 6) AS "sourceCardinalityProd",
+            ROUND(SUM(CASE WHEN pact = 'Join' THEN ln(out_cardinality) END), 6) AS "joinOutCard_prod" FROM sized GROUP BY 1, 2
+            HAVING COUNT(*) FILTER (WHERE pact = 'Map') > 0 AND COUNT(*) FILTER (WHERE pact = 'Data Source') > 0""",
+    ),
     "complexity_block": (
         q(complexity_block),
         f"""WITH RECURSIVE {joblog.propagated_sql()} SELECT plan_id, data_id,

@@ -1,14 +1,16 @@
 """The six workload queries, as DataFrames and as SQL text.
 
-Sides are aggregated on the join key before they are joined, so the shuffle of a key that
-repeats a lot carries one partial row per map task, not every row of the key.
+Rows that a small side rules out go before anything is shuffled; what is left is aggregated with
+partial rows, so the shuffle of a key that repeats a lot carries one row per map task, not every row of the key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planlab.session import broadcast_if_small
 from planlab.sources.tables import Tables
 
 
@@ -81,11 +83,9 @@ def important_stock(t: Tables, nation: str = "NATION_7", share: float = 0.001) -
         F.broadcast(home), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi"
     ).select("s_suppkey")
     value = (
-        t.lineitem.groupBy("l_partkey", "l_suppkey")
-        .agg(F.sum(F.col("l_extendedprice") * F.col("l_quantity")).alias("v"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+        t.lineitem.join(broadcast_if_small(suppliers), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
         .groupBy("l_partkey")
-        .agg(F.sum("v").alias("value"))
+        .agg(F.sum(F.col("l_extendedprice") * F.col("l_quantity")).alias("value"))
     )
     total = value.agg(F.sum("value") * share)
     return (
@@ -117,20 +117,21 @@ def customer_distribution(t: Tables) -> DataFrame:
 def small_quantity_revenue(t: Tables) -> DataFrame:
     """T17: yearly revenue of lines below a fifth of their part's average quantity.
 
-    Lines collapse to one row per part and quantity before anything is joined.
+    Lines of other parts go first; the others collapse to one row per part and quantity, which know
+    their part's average by a window over those few rows.
     """
     parts = t.part.where(
         (F.col("p_brand") == "Brand#23") & F.col("p_size").between(1, 25)
     ).select("p_partkey")
     lines = (
-        t.lineitem.groupBy("l_partkey", "l_quantity")
+        t.lineitem.join(broadcast_if_small(parts), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+        .groupBy("l_partkey", "l_quantity")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("price"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     )
-    average = F.sum(F.col("l_quantity") * F.col("n")) / F.sum("n")
-    threshold = lines.groupBy(F.col("l_partkey").alias("k")).agg((0.2 * average).alias("below"))
+    of_part = W.partitionBy("l_partkey")
+    average = F.sum(F.col("l_quantity") * F.col("n")).over(of_part) / F.sum("n").over(of_part)
     return (
-        lines.join(threshold, F.col("l_partkey") == F.col("k"))
+        lines.withColumn("below", 0.2 * average)
         .where(F.col("l_quantity") < F.col("below"))
         .agg(F.round(F.sum("price") / 7.0, 4).alias("avg_yearly"))
     )
