@@ -92,7 +92,7 @@ def test_texts_of_a_megabyte(spark):
     assert counts == {1: 180_000, 2: 1, 3: len(text[:4000].split())}
     assert {r.doc_id for r in rules.keep(rows).collect()} == {1, 3}
     got = {r.doc_id: r.taken for r in mixing.mix(rows).collect()}
-    assert sum(got.values()) == round(1.5 * (180_001 + counts[3]))
+    assert abs(sum(got.values()) - 1.5 * (180_001 + counts[3])) <= 1
     known = spark.createDataFrame(list(licences.KNOWN), "licence string, text string")
     assert licences.scan(rows.select("doc_id", "text"), known).count() == 3
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
