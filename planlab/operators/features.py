@@ -67,7 +67,7 @@ def propagate(ops: DataFrame, cardinalities: DataFrame, data_ids: list[str], unk
         {"__slot": ("sum", "__push"), "__segment": ("sum", "__starts"), "__k": ("sum", "__join")},
     )
     ops = ordered.running(
-        ops, ["plan_id", "__segment"], ["pos"], {"__product": ("product", "__factor")}
+        stored(ops), ["plan_id", "__segment"], ["pos"], {"__product": ("product", "__factor")}
     )
     ops = stored(ops)  # read three times below
 
