@@ -13,6 +13,7 @@ from planlab.operators import evaluate, features, forest, graphs, ordered, sampl
 from planlab.plans.basics import q
 from planlab.plans.featured import rounded
 from planlab.plans.sampled import RANK, SPLIT, _walk_sql, _weighted_sql
+from planlab.session import stored
 from planlab.sources import documents
 from planlab.sources.tables import Tables
 
@@ -61,7 +62,7 @@ def group_spread(t: Tables) -> DataFrame:
 def widest_intervals(t: Tables) -> DataFrame:
     """Centred intervals, and of them the rows above the 0.95 quantile of the width."""
     train, test = leaves(t, 3)
-    rows = forest.interval(train, test, "p_partkey", "y")
+    rows = stored(forest.interval(train, test, "p_partkey", "y"))
     wide = rows.where(F.col("width") > ordered.quantile_scalar(rows, "width", 0.95))
     return rounded(forest.centred(wide).select("p_partkey", "width", "low_centred", "high_centred", "pred_centred"), 7)
 
