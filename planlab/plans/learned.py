@@ -9,6 +9,7 @@ from planlab.operators import active, evaluate, features, forest, sampling
 from planlab.plans.basics import q
 from planlab.plans.featured import rounded
 from planlab.plans.sampled import SPLIT, part_features
+from planlab.session import stored
 from planlab.sources.tables import Tables
 
 COLUMNS = ["quantity", "discount", "tax", "lines", "orders", "returned"]
@@ -75,7 +76,8 @@ FOLDS_SQL = """n AS (SELECT o_orderkey, o_orderpriority, ln(o_totalprice) AS y,
 
 
 def labelled_parts(t: Tables) -> DataFrame:
-    return forest.with_vector(part_features(t), COLUMNS)
+    """Features of the parts, summed up from their lines once for all that learn from them."""
+    return forest.with_vector(stored(part_features(t)), COLUMNS)
 
 
 def trained(t: Tables):
@@ -267,7 +269,7 @@ def highest(t: Tables) -> DataFrame:
 
 
 def completion(t: Tables, **options):
-    rows = part_features(t)
+    rows = stored(part_features(t))
     truth = rows.select("l_partkey", F.col("price").alias("label"))
     start = sampling.uniform_sample(rows, "l_partkey", "price", 40)
     return active.complete_labels(
