@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from planlab.functions.scalars import draw
 from planlab.operators import forest, ordered
 from planlab.operators.relational import stack
+from planlab.session import stored
 
 # The grid the forests are searched over.
 GRID_TREES = [10, 50, 100, 200, 500]
@@ -230,7 +231,9 @@ def sweep(
     from planlab.operators.features import trim_upper
 
     frames = []
-    versions = {False: df} if trim is None else {False: df, True: trim_upper(df, trim)}
+    versions = {False: stored(df)}  # every fit passes over its rows several times
+    if trim is not None:
+        versions[True] = stored(trim_upper(versions[False], trim))
     for kind, columns in labels.items():
         for label in columns:
             for trimmed, rows in versions.items():
