@@ -113,8 +113,10 @@ def complete_labels(
     rounds, before, stops = [], None, 0
     spark = features.sparkSession
     for turn in range(max_rounds):
-        train = rows.join(known.select(row_id, label), row_id)
-        test = rows.join(known.select(row_id), row_id, "left_anti")
+        told = known.select(row_id, label, F.lit(True).alias("__known"))
+        sides = stored(rows.join(told, row_id, "left"))  # both sides are passed over several times
+        train = sides.where("__known").drop("__known")
+        test = sides.where("__known IS NULL").drop("__known", label)
         intervals, _ = one_round(train, test, row_id, label, trees, depth, seed, search)
         intervals = stored(intervals)
         width = F.exp(F.col("high")) - F.exp(F.col("low"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planlab.operators import active, evaluate
+from planlab.operators import active, evaluate, forest
 
 
 def test_hc3_matches_matrix_form(spark):
@@ -69,3 +69,24 @@ def test_completion(spark, random_choice):
             assert r["low"] <= r["high"] and r["label"] == r["pred"]
     rounds = out.rounds.orderBy("iteration").collect()
     assert rounds[0]["data_size"] == 29 and [r["data_size"] for r in rounds] == sorted(r["data_size"] for r in rounds)
+
+
+def test_completion_and_sweep_read_their_rows_once(spark):
+    """Rows come from a costly plan: each is worked out once, however many rounds and fits there are."""
+    seen = spark.sparkContext.accumulator(0)
+    rng = np.random.RandomState(2)
+    plain = [(i, float(a), float(np.exp(a))) for i, a in enumerate(rng.randn(60))]
+
+    def watched(it):
+        for batch in it:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(plain, "id long, a double, label double").coalesce(1).mapInArrow(watched, "id long, a double, label double")
+    out = evaluate.sweep(forest.with_vector(df, ["a"]), "id", {"linear": ["label"], "forest": ["label"]}, [0.5], "label", trees=2).collect()
+    assert len(out) == 4 and seen.value == 60
+    truth = spark.createDataFrame([r[::2] for r in plain], "id long, label double")
+    out = active.complete_labels(df.drop("label"), "id", ["a"], truth, spark.range(20), max_rounds=2, trees=2, depth=2)
+    assert out.final.count() == 60 and seen.value == 120
+    steps = [tuple(r) for r in out.rounds.select("iteration", "data_size", "open_rows").orderBy("iteration").collect()]
+    assert steps[0] == (0, 20, 40) and all(known + left == 60 for _, known, left in steps)
