@@ -1,5 +1,6 @@
 """Joins and reducers with a key that holds most rows, forced onto the hot path."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from planlab.operators import ordered
 from planlab.operators import relational as R
+from planlab.plans.basics import join_hot_key
+from planlab.sources.tables import Tables
 
 
 def frames(spark):
@@ -48,6 +51,18 @@ def test_copies_of_one_row_are_spread(spark):
     assert sum(sizes) == 3_000_000 and max(sizes) < 1.5 * sum(sizes) / 8
 
 
+def test_hot_key_copies_are_counted_by_number(spark, tmp_path):
+    """Numbers that come twice, are null or below 0, types that are null or nobody's; no text in the key of the copies' count."""
+    numbers = [0, 1, 1, 4, 6, -1, None]
+    types = ["click"] * 3 + ["error"] * 2 + ["view", "other", None]
+    spark.createDataFrame([(n, "s") for n in numbers], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(x,) for x in types], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = join_hot_key(Tables(spark, str(tmp_path)))
+    assert got.columns == ["s_suppkey", "kind", "copies"]
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "click", 3), (1, "error", 4), (4, "view", 1), (6, "error", 2)]
+    assert re.search(r"Aggregate \[s_suppkey#\d+L?\],", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_weights_pass_through_joins(spark):
     """A chain of joins by weights stands for the rows of the chain that repeats them."""
     a = spark.createDataFrame([(i % 3, i) for i in range(20)], "k int, v int")
