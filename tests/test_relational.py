@@ -63,6 +63,45 @@ def test_hot_key_copies_are_counted_by_number(spark, tmp_path):
     assert re.search(r"Aggregate \[s_suppkey#\d+L?\],", got._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_hot_rows_beside_many_others_stay_whole(spark, tmp_path, monkeypatch):
+    """1,500 suppliers of 200 copies, pieces of 10 at least: no supplier comes out in more than one task, tasks get the same."""
+    monkeypatch.setattr(R, "REPEAT", 10)
+    monkeypatch.setattr(R, "SHARES", 100, raising=False)
+    made, real = [], R.repeated
+    monkeypatch.setattr(R, "repeated", lambda *args, **named: made.append(real(*args, **named)) or made[-1])
+    spark.range(1500).selectExpr("id AS s_suppkey", "'s' AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    kinds = "array('click', 'error', 'purchase', 'signup', 'view')"
+    spark.range(1000).selectExpr(f"{kinds}[cast(id % 5 AS int)] AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = join_hot_key(Tables(spark, str(tmp_path)))
+    assert sorted(tuple(r) for r in got.select("s_suppkey", "copies").collect()) == [(i, 200) for i in range(1500)]
+    met = made[0].groupBy("s_suppkey", F.spark_partition_id().alias("task")).count().collect()
+    assert len(met) == 1500 and {r["count"] for r in met} == {200}
+    sizes = Counter(r["task"] for r in met)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.3 * 1500 / 8
+
+
+def test_one_hot_row_beside_many_others_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(R, "REPEAT", 100)
+    left = spark.range(2_004_000).selectExpr("if(id < 2000000, -1, id % 4000) AS k")
+    right = spark.range(-1, 4000).selectExpr("id AS k", "'x' AS name")
+    rows = R.join_keep_right(left, right, "k", "k", hot=True)
+    sizes = rows.groupBy("k", F.spark_partition_id().alias("task")).count().collect()
+    hot = [r["count"] for r in sizes if r["k"] == -1]
+    assert sum(hot) == 2_000_000 and len(hot) == 8 and max(hot) < 1.2 * 250_000
+    assert sum(r["count"] for r in sizes) == 2_004_000
+
+
+def test_copies_at_the_borders_of_pieces_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "REPEAT", 2500)
+    weights = [0, 1, 999, 1000, 1001, 2000, 2001, 2499, 2500, 2501, 5000, 7001, 3, 3, -2, None]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], f"id int, {R.WEIGHT} long")
+    for total in (None, F.lit(None).cast("double"), F.lit(1.0), F.lit(5e6), F.lit(1e12)):
+        rows = R.repeated(df, total=total)
+        assert rows.columns == ["id"]
+        got = {r["id"]: r["count"] for r in rows.groupBy("id").count().collect()}
+        assert got == {i: w for i, w in enumerate(weights) if w and w > 0}
+
+
 def test_weights_pass_through_joins(spark):
     """A chain of joins by weights stands for the rows of the chain that repeats them."""
     a = spark.createDataFrame([(i % 3, i) for i in range(20)], "k int, v int")
